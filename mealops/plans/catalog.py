@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.bind import Bound
 from .oracle_bindings import with_bindings
@@ -20,11 +22,20 @@ QUERIES: dict[str, Callable[[Bound], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _decimals_to_double(df: DataFrame) -> DataFrame:
+    """Report money and macros as double (exact decimals are kept inside)."""
+    if not any(isinstance(f.dataType, T.DecimalType) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f.name).cast("double").alias(f.name)
+                       if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda b: _decimals_to_double(fn(b))
         if sql is not None:
             ORACLES[name] = with_bindings(sql)
         return fn

@@ -18,3 +18,195 @@ WHERE CAST(created_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' A
 GROUP BY 1""")
 def q_revenue_report(b):
     return reports.revenue_report(b.orders, date_from="1998-01-01", date_to="1998-03-31")
+
+
+# ----------------------------------------------------------------- orders
+from ..operators import orders as ord_ops  # noqa: E402
+from ..sources import parse  # noqa: E402
+
+PARSED_SQL = """parsed AS (SELECT * FROM (SELECT order_id, line_no, unnest(from_json(items_json,
+  '[{"product_id":"BIGINT","qty":"INTEGER","notes":"VARCHAR"}]'), recursive := true) FROM requests) x
+  WHERE product_id IS NOT NULL)"""
+
+
+@register("parse_order_items", f", {PARSED_SQL} SELECT order_id, line_no, product_id, qty, notes FROM parsed")
+def q_parse_order_items(b):
+    return parse.parse_order_items(b.requests)
+
+
+@register("parse_health_tags", """
+SELECT product_id, unnest(from_json(health_tags, '["VARCHAR"]')) AS tag FROM products""")
+def q_parse_health_tags(b):
+    return parse.parse_health_tags(b.products)
+
+
+@register("orders_listing", """
+, t AS (SELECT * FROM orders_b WHERE status IN ('pending', 'preparing') AND order_type = 'online'
+        ORDER BY created_at DESC, order_id DESC LIMIT 200)
+SELECT t.order_id, t.status, t.order_type, CAST(t.subtotal AS DOUBLE) AS subtotal,
+       CAST(t.total AS DOUBLE) AS total, t.created_at, u.full_name AS customer_name
+FROM t LEFT JOIN users u ON u.user_id = t.user_id""")
+def q_orders_listing(b):
+    return ord_ops.orders_listing(b.orders, b.users, role="admin", statuses=" pending, preparing,, ",
+                                  order_type="online", limit="500")
+
+
+@register("row_scope_by_role", """
+SELECT user_id AS viewer_id, role, CAST(NULL AS BIGINT) AS order_id, 'all' AS scope
+FROM users WHERE role IN ('admin', 'kitchen')
+UNION ALL
+SELECT u.user_id, u.role, o.order_id, 'own' FROM users u JOIN orders_b o ON o.user_id = u.user_id
+WHERE u.role NOT IN ('admin', 'kitchen')""")
+def q_row_scope_by_role(b):
+    return ord_ops.row_scope_by_role(b.orders, b.users)
+
+
+@register("my_orders", """
+, ic AS (SELECT order_id, count(*) AS item_count FROM order_items GROUP BY order_id)
+SELECT o.user_id, o.order_id, o.status, CAST(o.total AS DOUBLE) AS total,
+       coalesce(ic.item_count, 0) AS item_count, o.created_at
+FROM orders_b o LEFT JOIN ic ON ic.order_id = o.order_id WHERE o.user_id IS NOT NULL""")
+def q_my_orders(b):
+    return ord_ops.my_orders(b.orders, b.order_items)
+
+
+@register("orders_by_status", "SELECT order_id, status FROM orders_b WHERE status = 'preparing'")
+def q_orders_by_status(b):
+    return ord_ops.orders_by_status(b.orders, "preparing")
+
+
+@register("current_delivering_order", """
+SELECT user_id, order_id FROM (
+  SELECT user_id, order_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_id DESC) AS rn
+  FROM orders_b WHERE status = 'pending' AND user_id IS NOT NULL) t WHERE rn = 1""")
+def q_current_delivering_order(b):
+    # The bound data has no 'delivering' orders; the same rule runs on 'pending'.
+    return ord_ops.current_delivering_order(b.orders, status="pending")
+
+
+@register("order_summary", """
+, ic AS (SELECT order_id, count(*) AS item_count,
+                CAST(sum(CAST(quantity AS BIGINT) * calories_snapshot) AS BIGINT) AS total_calories
+         FROM order_items GROUP BY order_id)
+SELECT o.order_id, u.full_name AS customer_name, CAST(o.total AS DOUBLE) AS total,
+       coalesce(ic.item_count, 0) AS item_count, ic.total_calories
+FROM orders_b o LEFT JOIN ic ON ic.order_id = o.order_id LEFT JOIN users u ON u.user_id = o.user_id""")
+def q_order_summary(b):
+    return ord_ops.order_summary(b.orders, b.users, b.order_items)
+
+
+@register("price_order_items", f"""
+, {PARSED_SQL}
+SELECT it.order_id, it.line_no, it.product_id, it.qty, it.notes, CAST(p.price AS DOUBLE) AS unit_price,
+       CAST(CAST(p.price * it.qty AS DECIMAL(18,2)) AS DOUBLE) AS line_subtotal,
+       p.calories AS calories_snapshot, CAST(p.protein_g AS DOUBLE) AS protein_snapshot,
+       CAST(p.carbs_g AS DOUBLE) AS carbs_snapshot, CAST(p.fat_g AS DOUBLE) AS fat_snapshot
+FROM parsed it JOIN products p ON p.product_id = it.product_id""")
+def q_price_order_items(b):
+    return ord_ops.price_order_items(parse.parse_order_items(b.requests), b.products)
+
+
+@register("order_subtotal", f"""
+, {PARSED_SQL},
+pr AS (SELECT it.order_id, CAST(p.price * it.qty AS DECIMAL(18,2)) AS s FROM parsed it JOIN products p ON p.product_id = it.product_id)
+SELECT r.order_id, CAST(sum(pr.s) AS DOUBLE) AS subtotal
+FROM (SELECT DISTINCT order_id FROM requests) r LEFT JOIN pr ON pr.order_id = r.order_id GROUP BY r.order_id""")
+def q_order_subtotal(b):
+    priced = ord_ops.price_order_items(parse.parse_order_items(b.requests), b.products)
+    return ord_ops.order_subtotal(b.requests, priced)
+
+
+TRANSITIONS_SQL = """tr AS (SELECT order_id, event_id, ts FROM (
+  SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS prev_status FROM status_events) t
+  WHERE status = 'preparing' AND prev_status IS NOT NULL AND prev_status <> 'preparing')"""
+
+
+@register("status_transitions", f", {TRANSITIONS_SQL} SELECT * FROM tr")
+def q_status_transitions(b):
+    return ord_ops.status_transitions(b.status_events, "preparing")
+
+
+@register("preparing_exists", f", {TRANSITIONS_SQL} SELECT order_id, status FROM orders_b o WHERE EXISTS (SELECT 1 FROM tr WHERE tr.order_id = o.order_id)")
+def q_preparing_exists(b):
+    return ord_ops.preparing_exists(b.orders, ord_ops.status_transitions(b.status_events, "preparing"))
+
+
+@register("status_durations", """
+, f AS (SELECT order_id,
+          min(ts) FILTER (WHERE status = 'pending') AS t_pending,
+          min(ts) FILTER (WHERE status = 'confirmed') AS t_confirmed,
+          min(ts) FILTER (WHERE status = 'preparing') AS t_preparing,
+          min(ts) FILTER (WHERE status = 'ready') AS t_ready,
+          min(ts) FILTER (WHERE status = 'done') AS t_done
+        FROM status_events GROUP BY order_id),
+s AS (
+  SELECT order_id, 'pending->confirmed' AS step, CAST(epoch_us(t_confirmed) - epoch_us(t_pending) AS DOUBLE) / 60000000.0 AS minutes FROM f
+  UNION ALL SELECT order_id, 'confirmed->preparing', CAST(epoch_us(t_preparing) - epoch_us(t_confirmed) AS DOUBLE) / 60000000.0 FROM f
+  UNION ALL SELECT order_id, 'preparing->ready', CAST(epoch_us(t_ready) - epoch_us(t_preparing) AS DOUBLE) / 60000000.0 FROM f
+  UNION ALL SELECT order_id, 'ready->done', CAST(epoch_us(t_done) - epoch_us(t_ready) AS DOUBLE) / 60000000.0 FROM f)
+SELECT * FROM s WHERE minutes IS NOT NULL""")
+def q_status_durations(b):
+    return ord_ops.status_durations(b.status_events)
+
+
+RANK_SQL = "CASE {c} WHEN 'pending' THEN 1 WHEN 'confirmed' THEN 2 WHEN 'preparing' THEN 3 WHEN 'ready' THEN 4 WHEN 'delivering' THEN 5 WHEN 'done' THEN 6 WHEN 'cancelled' THEN 7 END"
+
+
+@register("status_history_check", f"""
+, e AS (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS prev_status FROM status_events),
+c AS (SELECT order_id, event_id, prev_status AS from_status, status AS to_status,
+        CASE WHEN prev_status = 'cancelled' THEN 'after_cancel'
+             WHEN status = 'cancelled' THEN NULL
+             WHEN {RANK_SQL.format(c='status')} < {RANK_SQL.format(c='prev_status')} THEN 'backward'
+             WHEN {RANK_SQL.format(c='status')} > {RANK_SQL.format(c='prev_status')} + 1 THEN 'skipped' END AS problem
+      FROM e WHERE prev_status IS NOT NULL)
+SELECT * FROM c WHERE problem IS NOT NULL""")
+def q_status_history_check(b):
+    return ord_ops.status_history_check(b.status_events)
+
+
+@register("order_notifications", """
+SELECT order_id, 'kitchen' AS target_role, 'new_order' AS type, 'Đơn hàng mới' AS title,
+       'Đơn ' || order_code || ' cần chế biến: ' || CAST(subtotal AS VARCHAR) AS message
+FROM orders_b""")
+def q_order_notifications(b):
+    return ord_ops.order_notifications(b.orders)
+
+
+@register("order_progress", """
+SELECT order_id, status, step, greatest(step - 1, 0) AS stages_done FROM (
+  SELECT order_id, status, CASE status WHEN 'pending' THEN 1 WHEN 'confirmed' THEN 2 WHEN 'preparing' THEN 3
+    WHEN 'ready' THEN 3 WHEN 'delivering' THEN 4 WHEN 'done' THEN 5 ELSE 0 END AS step FROM orders_b) t""")
+def q_order_progress(b):
+    return ord_ops.order_progress(b.orders)
+
+
+@register("kitchen_ticket_priority", """
+, l AS (SELECT order_id, status, ts, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) AS rn
+        FROM status_events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'),
+p AS (SELECT order_id, ts AS arrived_at,
+        CAST(floor((epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(ts)) / 60000000) AS BIGINT) AS elapsed_min
+      FROM l WHERE rn = 1 AND status = 'pending')
+SELECT order_id, arrived_at, elapsed_min,
+       CASE WHEN elapsed_min >= 20 THEN 'high' WHEN elapsed_min >= 12 THEN 'medium' ELSE 'normal' END AS priority,
+       elapsed_min >= 15 AS urgent FROM p""")
+def q_kitchen_ticket_priority(b):
+    return ord_ops.kitchen_ticket_priority(b.status_events, as_of="2024-01-15 12:00:00")
+
+
+@register("kitchen_backlog", """
+SELECT 'pending' AS status, count(*) FILTER (WHERE status = 'pending') AS n FROM orders_b
+UNION ALL SELECT 'preparing', count(*) FILTER (WHERE status = 'preparing') FROM orders_b""")
+def q_kitchen_backlog(b):
+    return ord_ops.kitchen_backlog(b.orders)
+
+
+@register("label_rows", """
+SELECT '#' || CAST(oi.order_id AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (
+         PARTITION BY oi.order_id ORDER BY oi.line_no, oi.product_id, oi.quantity, oi.subtotal) AS VARCHAR), 2, '0') AS label_id,
+       oi.order_id, p.name, oi.quantity, oi.calories_snapshot AS kcal,
+       CAST(oi.protein_snapshot AS DOUBLE) AS protein_g, CAST(oi.carbs_snapshot AS DOUBLE) AS carbs_g,
+       CAST(oi.fat_snapshot AS DOUBLE) AS fat_g
+FROM order_items oi LEFT JOIN products p ON p.product_id = oi.product_id""")
+def q_label_rows(b):
+    return ord_ops.label_rows(b.orders, b.order_items, b.products)
