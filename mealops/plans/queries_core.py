@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import reports
 from .catalog import register
 
@@ -210,3 +212,193 @@ SELECT '#' || CAST(oi.order_id AS VARCHAR) || '-' || lpad(CAST(row_number() OVER
 FROM order_items oi LEFT JOIN products p ON p.product_id = oi.product_id""")
 def q_label_rows(b):
     return ord_ops.label_rows(b.orders, b.order_items, b.products)
+
+
+# ------------------------------------------------------------------ stock
+from ..operators import stock  # noqa: E402
+
+AS_OF = "2001-08-01"
+
+INV_STATUS_SQL = """ist AS (SELECT i.*, s.name AS supplier_name,
+    CAST(datediff('day', DATE '2001-08-01', i.expiry_date) AS INT) AS days_until_expiry,
+    CASE WHEN datediff('day', DATE '2001-08-01', i.expiry_date) <= 1 THEN 'critical'
+         WHEN datediff('day', DATE '2001-08-01', i.expiry_date) <= 3 THEN 'warning' ELSE 'ok' END AS expiry_status,
+    CASE WHEN i.quantity <= 0 THEN 'out_of_stock' WHEN i.quantity <= i.min_quantity THEN 'low_stock'
+         ELSE 'in_stock' END AS stock_status
+  FROM inventory i LEFT JOIN suppliers s ON s.supplier_id = i.supplier_id)"""
+
+
+def _inv_status(b):
+    return stock.inventory_status(b.inventory, b.suppliers, as_of=AS_OF)
+
+
+@register("inventory_by_category", """
+SELECT inventory_id, name FROM inventory WHERE category = (SELECT min(category) FROM inventory)""")
+def q_inventory_by_category(b):
+    # The category chosen is the first one in name order, found by a
+    # one-row aggregate joined back (no value passes through the driver).
+    first = b.inventory.agg(F.min("category").alias("category"))
+    return b.inventory.join(F.broadcast(first), "category", "left_semi").select("inventory_id", "name")
+
+
+@register("inventory_status", f"""
+, {INV_STATUS_SQL}
+SELECT inventory_id, name, supplier_name, CAST(quantity AS DOUBLE) AS quantity, days_until_expiry,
+       expiry_status, stock_status FROM ist""")
+def q_inventory_status(b):
+    return _inv_status(b).select("inventory_id", "name", "supplier_name", "quantity",
+                                 "days_until_expiry", "expiry_status", "stock_status")
+
+
+@register("inventory_listing", f"""
+, {INV_STATUS_SQL}
+SELECT inventory_id, name, supplier_name, CAST(quantity AS DOUBLE) AS quantity,
+       strftime(import_date, '%d/%m') AS import_day, strftime(expiry_date, '%d/%m') AS expiry_day,
+       days_until_expiry, expiry_status, stock_status FROM ist""")
+def q_inventory_listing(b):
+    return stock.inventory_listing(_inv_status(b))
+
+
+@register("inventory_status_counts", f", {INV_STATUS_SQL} SELECT expiry_status AS status, count(*) AS n FROM ist GROUP BY 1")
+def q_inventory_status_counts(b):
+    return stock.inventory_status_counts(_inv_status(b))
+
+
+@register("restock_suggestions", f"""
+, {INV_STATUS_SQL}
+SELECT inventory_id, name, CAST(quantity AS DOUBLE) AS quantity, expiry_status, days_until_expiry
+FROM ist WHERE expiry_status <> 'ok'""")
+def q_restock_suggestions(b):
+    return stock.restock_suggestions(_inv_status(b))
+
+
+@register("expiry_notifications", f"""
+, {INV_STATUS_SQL}
+SELECT inventory_id, 'admin' AS target_role, 'expiry_warning' AS type,
+       name || ' hết hạn sau ' || CAST(days_until_expiry AS VARCHAR) || ' ngày (' || expiry_status || ')' AS message
+FROM ist WHERE expiry_status IN ('warning', 'critical')""")
+def q_expiry_notifications(b):
+    return stock.expiry_notifications(_inv_status(b))
+
+
+@register("stock_bar", """
+SELECT inventory_id, name, CAST(quantity AS DOUBLE) AS quantity,
+       CASE WHEN quantity > 8 THEN 'high' WHEN quantity > 3 THEN 'medium' ELSE 'low' END AS level,
+       CAST(least(CAST(100 AS DECIMAL(10,2)), quantity * 8) AS DOUBLE) AS width
+FROM inventory""")
+def q_stock_bar(b):
+    return stock.stock_bar(b.inventory)
+
+
+BOM_SQL = """bom AS (SELECT pi.inventory_id, oi.order_id, sum(oi.quantity * pi.qty_per_portion) AS need
+  FROM orders_b o JOIN order_items oi ON oi.order_id = o.order_id
+  JOIN product_ingredients pi ON pi.product_id = oi.product_id
+  WHERE o.status = 'preparing' AND pi.inventory_id IN (SELECT inventory_id FROM inventory)
+  GROUP BY pi.inventory_id, oi.order_id)"""
+
+
+def _bom(b):
+    return stock.bom_explosion(b.orders, b.order_items, b.product_ingredients, b.inventory, status="preparing")
+
+
+@register("bom_explosion", f", {BOM_SQL} SELECT inventory_id, order_id, CAST(need AS DOUBLE) AS need FROM bom")
+def q_bom_explosion(b):
+    return _bom(b)
+
+
+@register("stock_update_from", f"""
+, {BOM_SQL}, used AS (SELECT inventory_id, sum(need) AS used FROM bom GROUP BY inventory_id)
+SELECT i.inventory_id, CAST(CASE WHEN u.used IS NULL THEN i.quantity ELSE greatest(i.quantity - u.used, 0) END AS DOUBLE) AS quantity
+FROM inventory i LEFT JOIN used u ON u.inventory_id = i.inventory_id""")
+def q_stock_update_from(b):
+    return stock.stock_update_from(b.inventory, stock.need_by_item(_bom(b)))
+
+
+LEDGER_ORDER_SQL = "ORDER BY created_at, order_id, line_no, action_type, quantity_change ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+@register("stock_running_balance", f"""
+SELECT inventory_id, order_id, line_no,
+       count(*) OVER (PARTITION BY inventory_id {LEDGER_ORDER_SQL}) AS seq,
+       CAST(sum(quantity_change) OVER (PARTITION BY inventory_id {LEDGER_ORDER_SQL}) AS DOUBLE) AS balance
+FROM inventory_logs""")
+def q_stock_running_balance(b):
+    return stock.stock_running_balance(b.inventory_logs)
+
+
+@register("low_stock_crossings", f"""
+, r AS (SELECT l.*, sum(quantity_change) OVER (PARTITION BY inventory_id {LEDGER_ORDER_SQL}) AS run FROM inventory_logs l),
+x AS (SELECT r.inventory_id, r.order_id, r.line_no, r.created_at, i.quantity + r.run - r.quantity_change AS before,
+             i.quantity + r.run AS after, i.min_quantity
+      FROM r JOIN inventory i ON i.inventory_id = r.inventory_id)
+SELECT inventory_id, order_id, line_no, created_at, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after
+FROM x WHERE before > min_quantity AND after <= min_quantity""")
+def q_low_stock_crossings(b):
+    return stock.low_stock_crossings(b.inventory_logs, b.inventory)
+
+
+@register("fifo_allocation", """
+, s AS (SELECT inventory_id, order_id AS batch_order, line_no AS batch_line, quantity_change AS q,
+          sum(quantity_change) OVER (PARTITION BY inventory_id ORDER BY created_at, order_id, line_no, quantity_change
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+        FROM inventory_logs WHERE action_type = 'import'),
+d AS (SELECT inventory_id, order_id AS need_order, line_no AS need_line, -quantity_change AS q,
+          sum(-quantity_change) OVER (PARTITION BY inventory_id ORDER BY created_at, order_id, line_no, -quantity_change
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+        FROM inventory_logs WHERE action_type = 'export')
+SELECT d.inventory_id, d.need_order, d.need_line, s.batch_order, s.batch_line,
+       CAST(least(s.hi, d.hi) - greatest(s.hi - s.q, d.hi - d.q) AS DOUBLE) AS qty
+FROM s JOIN d ON s.inventory_id = d.inventory_id AND s.hi - s.q < d.hi AND d.hi - d.q < s.hi""")
+def q_fifo_allocation(b):
+    logs = b.inventory_logs
+    return stock.fifo_allocation(stock.ledger_batches(logs), stock.ledger_needs(logs))
+
+
+@register("food_waste_pct", """
+, a AS (SELECT sum(abs(quantity_change)) FILTER (WHERE action_type = 'waste') AS waste,
+               sum(abs(quantity_change)) FILTER (WHERE action_type IN ('export', 'waste')) AS used
+        FROM inventory_logs WHERE CAST(created_at AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31')
+SELECT CAST(waste AS DOUBLE) AS waste, CAST(used AS DOUBLE) AS used,
+       CAST(waste AS DOUBLE) * 100.0 / CAST(used AS DOUBLE) AS waste_pct FROM a""")
+def q_food_waste_pct(b):
+    return stock.food_waste_pct(b.inventory_logs, date_from="1995-01-01", date_to="1996-12-31")
+
+
+@register("receipts_today", """
+, r AS (SELECT * FROM inventory_logs WHERE action_type = 'import' AND CAST(created_at AS DATE) = DATE '1996-03-13')
+SELECT inventory_id, order_id, line_no, CAST(quantity_change AS DOUBLE) AS quantity, created_at,
+       (SELECT count(*) FROM r) AS n_today FROM r""")
+def q_receipts_today(b):
+    return stock.receipts_today(b.inventory_logs, day="1996-03-13")
+
+
+@register("ingredient_plan", f"""
+, {BOM_SQL}, need AS (SELECT inventory_id, sum(need) AS need FROM bom GROUP BY inventory_id),
+r AS (SELECT n.inventory_id, i.name, n.need, i.quantity AS stock, greatest(n.need - i.quantity, 0) AS shortfall,
+             greatest(n.need - i.quantity, 0) * i.unit_price AS cost,
+             CASE WHEN i.quantity < n.need * 0.3 THEN 'red' WHEN i.quantity < n.need * 0.7 THEN 'mid' ELSE 'ok' END AS band
+      FROM need n JOIN inventory i ON i.inventory_id = n.inventory_id)
+SELECT inventory_id, name, CAST(need AS DOUBLE) AS need, CAST(stock AS DOUBLE) AS stock,
+       CAST(shortfall AS DOUBLE) AS shortfall, CAST(cost AS DOUBLE) AS cost, band FROM r
+UNION ALL
+SELECT NULL, 'TOTAL', CAST(sum(need) AS DOUBLE), CAST(sum(stock) AS DOUBLE), CAST(sum(shortfall) AS DOUBLE),
+       CAST(sum(cost) AS DOUBLE), NULL FROM r""")
+def q_ingredient_plan(b):
+    return stock.ingredient_plan(stock.need_by_item(_bom(b)), b.inventory)
+
+
+GROWTH_SQL = """g AS (SELECT inventory_id,
+    CAST(coalesce(sum(-quantity_change) FILTER (WHERE CAST(created_at AS DATE) >= DATE '1996-03-13' - 7), 0) AS BIGINT) AS current,
+    CAST(coalesce(sum(-quantity_change) FILTER (WHERE CAST(created_at AS DATE) < DATE '1996-03-13' - 7), 0) AS BIGINT) AS previous
+  FROM inventory_logs WHERE action_type = 'export' AND CAST(created_at AS DATE) >= DATE '1996-03-13' - 14
+    AND CAST(created_at AS DATE) < DATE '1996-03-13' GROUP BY inventory_id),
+gg AS (SELECT inventory_id, current, CAST(CASE WHEN previous = 0 THEN 0
+    ELSE floor((current - previous) * 100.0 / previous + 0.5) END AS BIGINT) AS growth FROM g)"""
+
+
+@register("forecast_ingredients", f"""
+, {GROWTH_SQL}
+SELECT inventory_id, current, growth, CAST(floor((current * (100 + growth) + 50) / 100) AS BIGINT) AS next_week,
+       growth >= 25 AS urgent FROM gg""")
+def q_forecast_ingredients(b):
+    return stock.forecast_ingredients(stock.weekly_usage_growth(b.inventory_logs, as_of="1996-03-13"))
