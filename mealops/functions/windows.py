@@ -111,3 +111,25 @@ def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
     res = d.join(carried, on=[*keys, _B], how="inner")
     res = res.withColumn(out, F.coalesce(F.col("__ff"), F.col("__carry")))
     return res.drop(_B, "__ff", "__carry")
+
+
+def global_position(df: DataFrame, order: Sequence, name: str = "pos") -> DataFrame:
+    """Dense 1-based position of each row in a total order, without a
+    single-partition window.
+
+    Rows are range-partitioned on the order and written once through the
+    checkpoint folder (so the partitioning is fixed); per-partition counts
+    (one row per partition) give each partition's offset, and a window per
+    partition numbers its rows.
+    """
+    order_cols = _cols(order)
+    parts = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    pinned = parts.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    counts = pinned.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    w_all = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w_all), F.lit(0)).alias("__off"))
+    w = Window.partitionBy("__pid").orderBy(*order_cols)
+    numbered = pinned.withColumn("__rn", F.row_number().over(w))
+    return (numbered.join(F.broadcast(offsets), "__pid")
+            .withColumn(name, F.col("__off") + F.col("__rn"))
+            .drop("__pid", "__off", "__rn"))

@@ -132,6 +132,18 @@ SELECT event_id, user_id, event_id % 10 AS product_id,
        CASE WHEN event_type = 'click' THEN 'note ' || CAST(event_id AS VARCHAR) END AS notes,
        ts
 FROM events WHERE event_type IN ('click', 'error', 'purchase')""",
+    "subscribe_requests": """
+SELECT event_id AS request_id, user_id,
+       CASE event_id % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'standard' WHEN 2 THEN 'premium' ELSE 'gold' END AS plan,
+       CASE WHEN event_id % 2 = 0 THEN 'weekly' ELSE 'monthly' END AS period, ts
+FROM events WHERE event_type = 'purchase'""",
+    "lifecycle_events": """
+SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'pause' WHEN 'click' THEN 'renew' ELSE 'cancel' END AS action, ts
+FROM events WHERE event_type IN ('view', 'click', 'error')""",
+    "voucher_requests": """
+SELECT o.order_id, o.user_id, o.subtotal, o.created_at,
+       CASE WHEN o.order_id % 7 = 0 THEN 'nope' ELSE lower(v.code) END AS voucher_code
+FROM orders_b o LEFT JOIN vouchers v ON v.voucher_id = o.order_id % 25""",
     "requests": """
 SELECT l_orderkey AS order_id, l_linenumber AS line_no,
        '[{"product_id":' || CAST(l_partkey AS VARCHAR) || ',"qty":' || CAST(CAST(l_quantity AS INT) AS VARCHAR)

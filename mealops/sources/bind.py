@@ -359,6 +359,33 @@ class Bound:
         return li.select(F.col("l_orderkey").alias("order_id"),
                          F.col("l_linenumber").alias("line_no"), txt.alias("items_json"))
 
+    @cached_property
+    def subscribe_requests(self) -> DataFrame:
+        e = self.raw("events")
+        eid = F.col("event_id")
+        return e.filter(F.col("event_type") == "purchase").select(
+            eid.alias("request_id"), "user_id",
+            F.when(eid % 4 == 0, "basic").when(eid % 4 == 1, "standard").when(eid % 4 == 2, "premium")
+             .otherwise("gold").alias("plan"),
+            F.when(eid % 2 == 0, "weekly").otherwise("monthly").alias("period"), "ts")
+
+    @cached_property
+    def lifecycle_events(self) -> DataFrame:
+        e = self.raw("events")
+        et = F.col("event_type")
+        return e.filter(et.isin("view", "click", "error")).select(
+            "event_id", "user_id",
+            F.when(et == "view", "pause").when(et == "click", "renew").otherwise("cancel").alias("action"), "ts")
+
+    @cached_property
+    def voucher_requests(self) -> DataFrame:
+        """Orders with a requested voucher code (lower-cased; every 7th order an unknown code)."""
+        v = self.vouchers.select(F.col("voucher_id").alias("_vid"), "code")
+        o = self.orders
+        j = o.join(v, (o.order_id % 25) == v._vid, "left")
+        code = F.when(o.order_id % 7 == 0, F.lit("nope")).otherwise(F.lower("code"))
+        return j.select("order_id", "user_id", "subtotal", "created_at", code.alias("voucher_code"))
+
     def frames(self) -> dict[str, DataFrame]:
         names = ["users", "categories", "products", "subscription_plans", "subscriptions",
                  "orders", "order_items", "suppliers", "inventory", "product_ingredients",
