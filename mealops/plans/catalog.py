@@ -44,7 +44,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Importing the modules fills the registries.
-    from . import queries_core, queries_menu_promo, queries_reports  # noqa: F401
+    from . import queries_core, queries_io, queries_menu_promo, queries_reports  # noqa: F401
 
 
 _load_all()

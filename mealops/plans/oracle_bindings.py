@@ -144,6 +144,22 @@ FROM events WHERE event_type IN ('view', 'click', 'error')""",
 SELECT o.order_id, o.user_id, o.subtotal, o.created_at,
        CASE WHEN o.order_id % 7 = 0 THEN 'nope' ELSE lower(v.code) END AS voucher_code
 FROM orders_b o LEFT JOIN vouchers v ON v.voucher_id = o.order_id % 25""",
+    "receipts": """
+SELECT l_orderkey AS receipt_id,
+       CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'item ' || CAST(l_partkey AS VARCHAR) END AS name,
+       CAST(l_quantity AS DECIMAL(10,2)) AS quantity, CAST(l_shipdate AS DATE) + 30 AS expiry_date,
+       l_suppkey % 10 AS supplier_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price
+FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1""",
+    "adjustments": """
+SELECT event_id, 'INV-' || CAST(user_id AS VARCHAR) AS inventory_code, CAST(value AS DECIMAL(10,2)) AS quantity,
+       'stock count' AS reason, ts
+FROM events WHERE event_type = 'view'""",
+    "product_feed": """
+SELECT CASE WHEN l_linenumber = 7 THEN l_partkey + 100000000 ELSE l_partkey END AS product_id,
+       CASE WHEN l_linenumber = 6 THEN NULL ELSE 'feed ' || CAST(l_partkey AS VARCHAR) END AS name,
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(NULL AS INT) AS calories,
+       l_shipdate AS ts, l_orderkey AS seq1, l_linenumber AS seq2
+FROM lineitem""",
     "requests": """
 SELECT l_orderkey AS order_id, l_linenumber AS line_no,
        '[{"product_id":' || CAST(l_partkey AS VARCHAR) || ',"qty":' || CAST(CAST(l_quantity AS INT) AS VARCHAR)

@@ -386,6 +386,37 @@ class Bound:
         code = F.when(o.order_id % 7 == 0, F.lit("nope")).otherwise(F.lower("code"))
         return j.select("order_id", "user_id", "subtotal", "created_at", code.alias("voucher_code"))
 
+    @cached_property
+    def receipts(self) -> DataFrame:
+        li = self.raw("lineitem")
+        k = F.col("l_orderkey")
+        return li.filter((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)).select(
+            k.alias("receipt_id"),
+            F.when(k % 13 == 0, F.lit(None)).otherwise(
+                F.concat(F.lit("item "), F.col("l_partkey").cast("string"))).alias("name"),
+            _dec(F.col("l_quantity"), 10, 2).alias("quantity"),
+            F.date_add(F.to_date("l_shipdate"), 30).alias("expiry_date"),
+            (F.col("l_suppkey") % 10).alias("supplier_id"),
+            _dec(F.col("l_extendedprice"), 18, 2).alias("unit_price"))
+
+    @cached_property
+    def adjustments(self) -> DataFrame:
+        e = self.raw("events")
+        return e.filter(F.col("event_type") == "view").select(
+            "event_id", F.concat(F.lit("INV-"), F.col("user_id").cast("string")).alias("inventory_code"),
+            _dec(F.col("value"), 10, 2).alias("quantity"), F.lit("stock count").alias("reason"), "ts")
+
+    @cached_property
+    def product_feed(self) -> DataFrame:
+        li = self.raw("lineitem")
+        ln, pk = F.col("l_linenumber"), F.col("l_partkey")
+        return li.select(
+            F.when(ln == 7, pk + F.lit(100000000)).otherwise(pk).alias("product_id"),
+            F.when(ln == 6, F.lit(None)).otherwise(F.concat(F.lit("feed "), pk.cast("string"))).alias("name"),
+            _dec(F.col("l_extendedprice"), 18, 2).alias("price"),
+            F.lit(None).cast("int").alias("calories"),
+            F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("seq1"), ln.alias("seq2"))
+
     def frames(self) -> dict[str, DataFrame]:
         names = ["users", "categories", "products", "subscription_plans", "subscriptions",
                  "orders", "order_items", "suppliers", "inventory", "product_ingredients",
