@@ -31,20 +31,21 @@ def _decimals_to_double(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, recursive: bool = False):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda b: _decimals_to_double(fn(b))
         if sql is not None:
-            ORACLES[name] = with_bindings(sql)
+            text = with_bindings(sql)
+            ORACLES[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
         return fn
     return deco
 
 
 def _load_all() -> None:
     # Importing the modules fills the registries.
-    from . import queries_core, queries_io, queries_menu_promo, queries_reports  # noqa: F401
+    from . import queries_core, queries_io, queries_menu_promo, queries_reports, queries_streams  # noqa: F401
 
 
 _load_all()
