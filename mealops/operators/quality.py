@@ -68,7 +68,7 @@ def orphan_check(frames: dict[str, DataFrame], fks=FOREIGN_KEYS) -> list[DataFra
     """Child rows whose non-null reference has no parent (left anti join per FK)."""
     out = []
     for child, ccols, parent, pcols, kcols in fks:
-        if child not in frames or parent not in frames:
+        if child not in frames or parent not in frames or not set(ccols) <= set(frames[child].columns):
             continue
         c = frames[child]
         nn = None
@@ -84,16 +84,16 @@ def validate_constraints(frames: dict[str, DataFrame], key_cols: dict[str, list[
     """All violations as (table_name, rule, key)."""
     parts: list[DataFrame] = []
     for (t, c), allowed in DOMAINS.items():
-        if t in frames:
+        if t in frames and c in frames[t].columns:
             df = frames[t]
             parts.append(_row(df.filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)), t, f"check_{c}", key_cols[t]))
     for t, cols in NOT_NULL.items():
         if t in frames:
-            for c in cols:
+            for c in [c for c in cols if c in frames[t].columns]:
                 parts.append(_row(frames[t].filter(F.col(c).isNull()), t, f"not_null_{c}", key_cols[t]))
     for t, groups in UNIQUE.items():
         if t in frames:
-            for cols in groups:
+            for cols in [g for g in groups if set(g) <= set(frames[t].columns)]:
                 dup = (frames[t].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
                 parts.append(_row(dup, t, f"unique_{'_'.join(cols)}", cols))
     parts.extend(orphan_check(frames))

@@ -187,14 +187,15 @@ def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window
 
 
 def rate_limit_stream(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
-                      limit: int = 10) -> DataFrame:
+                      limit: int = 10, watermark: str = "10 minutes") -> DataFrame:
     """Streaming rate limiter: ``applyInPandasWithState`` with (count, reset) per key.
 
-    State is dropped by a processing-time timeout once the window has
-    passed (the reference's periodic cleanup).
+    A key's state expires by event time once the watermark passes its
+    window end (the reference's periodic cleanup); a request after the
+    window starts a new one either way, so expiry never changes a count.
     """
     window_us = window_ms * 1000
-    r = _requests(events, key_col)
+    r = _requests(events, key_col).withColumn("wm", F.col("ts").cast("timestamp")).withWatermark("wm", watermark)
 
     def step(key, pdfs, state):
         if state.hasTimedOut:
@@ -204,11 +205,11 @@ def rate_limit_stream(events: DataFrame, *, key_col: str = "user_id", window_ms:
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "event_id"])
         res, new = _rate_fold(rows, st, window_us, limit)
         state.update(new)
-        state.setTimeoutDuration(max(window_ms, 1000))
+        state.setTimeoutTimestamp(int(new[1] // 1000) + 1)
         yield res
 
     return r.groupBy("key").applyInPandasWithState(
-        step, RATE_SCHEMA, "count long, reset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, RATE_SCHEMA, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 ALERT_SCHEMA = T.StructType([
