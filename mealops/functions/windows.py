@@ -90,27 +90,33 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket:
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
-                  col: str, out: str) -> DataFrame:
-    """Forward fill: ``out`` = last non-null ``col`` at or before each row of a key."""
+                  col: str | dict[str, str], out: str | None = None) -> DataFrame:
+    """Forward fill: ``out`` = last non-null ``col`` at or before each row of a key.
+
+    ``col`` may be a mapping {column: output} to fill several columns in one
+    pass (one window, one summary aggregate, one join).
+    """
+    pairs = dict(col) if isinstance(col, dict) else {col: out}
     keys = list(keys)
     order_cols = _cols(order)
     if bucket is None:
         w = (Window.partitionBy(*keys).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
-    d = df.withColumn(_B, bucket)
-    w_in = (Window.partitionBy(*keys, _B).orderBy(*order_cols)
-            .rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("__ff", F.last(col, ignorenulls=True).over(w_in))
+        return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(o) for c, o in pairs.items()])
+    base = df.withColumn(_B, bucket)
     sort_key = F.struct(*order_cols)
-    summary = d.groupBy(*keys, _B).agg(
-        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), sort_key)).alias("__lastv"))
+    summary = base.groupBy(*keys, _B).agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), sort_key)).alias(f"__l_{o}") for c, o in pairs.items()])
     w_b = (Window.partitionBy(*keys).orderBy(_B)
            .rowsBetween(Window.unboundedPreceding, -1))
-    carried = summary.select(*keys, _B, F.last("__lastv", ignorenulls=True).over(w_b).alias("__carry"))
+    carried = summary.select(*keys, _B, *[
+        F.last(f"__l_{o}", ignorenulls=True).over(w_b).alias(f"__c_{o}") for o in pairs.values()])
+    w_in = (Window.partitionBy(*keys, _B).orderBy(*order_cols)
+            .rowsBetween(Window.unboundedPreceding, 0))
+    d = base.select("*", *[F.last(c, ignorenulls=True).over(w_in).alias(f"__f_{o}") for c, o in pairs.items()])
     res = d.join(carried, on=[*keys, _B], how="inner")
-    res = res.withColumn(out, F.coalesce(F.col("__ff"), F.col("__carry")))
-    return res.drop(_B, "__ff", "__carry")
+    res = res.select("*", *[F.coalesce(F.col(f"__f_{o}"), F.col(f"__c_{o}")).alias(o) for o in pairs.values()])
+    return res.drop(_B, *[f"__f_{o}" for o in pairs.values()], *[f"__c_{o}" for o in pairs.values()])
 
 
 def global_position(df: DataFrame, order: Sequence, name: str = "pos") -> DataFrame:

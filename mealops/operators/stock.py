@@ -151,8 +151,7 @@ def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000)
               .unionByName(d.withColumn("b", F.lit(None).cast(s.schema["b"].dataType)))
               .groupBy("inventory_id", "pos").agg(F.max("b").alias("b"), F.max("n").alias("n")))
     bucket = F.floor(F.col("pos") / F.lit(width))
-    ff = last_non_null(bounds, ["inventory_id"], ["pos"], bucket, "b", "fb")
-    ff = last_non_null(ff, ["inventory_id"], ["pos"], bucket, "n", "fn")
+    ff = last_non_null(bounds, ["inventory_id"], ["pos"], bucket, {"b": "fb", "n": "fn"})
     qty = F.least(F.col("fb.hi"), F.col("fn.hi")) - F.col("pos")
     return (ff.filter(F.col("fb").isNotNull() & F.col("fn").isNotNull())
             .select("inventory_id", F.col("fn.need_order").alias("need_order"),

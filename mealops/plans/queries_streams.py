@@ -94,7 +94,16 @@ def q_low_stock_alert_stream(b):
         F.col("l_linenumber").alias("line_no"),
         F.when(rf == "R", "waste").when(rf == "A", "import").otherwise("export").alias("action_type"),
         F.when(rf == "A", qty).otherwise(-qty).alias("quantity_change"), F.col("l_shipdate").alias("created_at"))
-    return S.run_to_table(S.low_stock_alert_stream(ledger, b.inventory), "low_stock_alert_stream")
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    base = os.path.join(checkpoint_dir(b.spark), "streams", f"low_stock-{uuid.uuid4().hex[:12]}")
+    out = os.path.join(base, "alerts")
+    q = S.low_stock_alert_stream(ledger, b.inventory, out, os.path.join(base, "state"), os.path.join(base, "ck"))
+    q.awaitTermination()
+    cols = ["inventory_id", "order_id", "line_no", "created_at", "before", "after"]
+    return b.spark.read.parquet(out).select(*cols)
 
 
 @register("event_fanout", """

@@ -212,39 +212,62 @@ def rate_limit_stream(events: DataFrame, *, key_col: str = "user_id", window_ms:
         step, RATE_SCHEMA, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-ALERT_SCHEMA = T.StructType([
-    T.StructField("inventory_id", T.LongType()), T.StructField("order_id", T.LongType()),
-    T.StructField("line_no", T.IntegerType()), T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("before", T.DoubleType()), T.StructField("after", T.DoubleType())])
-
 _LEDGER_SORT = ["created_at", "order_id", "line_no", "action_type", "quantity_change"]
 
 
-def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Stateful low-stock crossings: state = last quantity per item.
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    ``ledger`` rows carry quantity_change; the opening stock and min come
-    from a join with ``inventory`` (a static dimension). Within a
-    micro-batch rows are folded in ledger order.
-    """
-    inv = inventory.select("inventory_id", F.col("quantity").cast("double").alias("opening"),
-                           F.col("min_quantity").cast("double").alias("min_q"))
-    l = ledger.join(inv, "inventory_id").withColumn("chg", F.col("quantity_change").cast("double"))
 
-    def step(key, pdfs, state):
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(_LEDGER_SORT)
-        qty = state.get[0] if state.exists else float(rows["opening"].iat[0])
-        min_q = float(rows["min_q"].iat[0])
-        out = []
-        for r in rows.itertuples(index=False):
-            before, qty = qty, qty + r.chg
-            if before > min_q >= qty:
-                out.append((r.inventory_id, r.order_id, r.line_no, r.created_at, before, qty))
-        state.update((qty,))
-        yield pd.DataFrame(out, columns=[f.name for f in ALERT_SCHEMA.fields])
+def low_stock_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch of ledger rows against the per-item stock state.
+
+    Returns (crossing alerts, new state). Running sums inside the batch use
+    the two-level window helper, so a hot item is split by day; the state
+    is one row per item (qty before the batch).
+    """
+    from ..functions.windows import prefix_sums
+    run = prefix_sums(batch, ["inventory_id"], _LEDGER_SORT, F.to_date("created_at"),
+                      {"run": F.col("quantity_change")})
+    mins = inventory.select("inventory_id", "min_quantity")
+    j = run.join(state, "inventory_id").join(mins, "inventory_id")
+    after = F.col("qty") + F.col("run")
+    before = after - F.col("quantity_change")
+    alerts = (j.select("inventory_id", "order_id", "line_no", "created_at",
+                       before.alias("before"), after.alias("after"), "min_quantity")
+              .filter((F.col("before") > F.col("min_quantity")) & (F.col("after") <= F.col("min_quantity")))
+              .select("inventory_id", "order_id", "line_no", "created_at",
+                      F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after")))
+    delta = batch.groupBy("inventory_id").agg(F.sum("quantity_change").alias("d"))
+    new_state = (state.join(delta, "inventory_id", "left")
+                 .select("inventory_id", (F.col("qty") + F.coalesce("d", F.lit(0))).cast("decimal(18,2)").alias("qty")))
+    return alerts, new_state
+
+
+def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str, state_dir: str,
+                           checkpoint: str):
+    """Start the low-stock crossing stream (``foreachBatch`` + versioned state table).
+
+    State = last quantity per item, kept as a parquet table with one version
+    per micro-batch (``state_dir/batch_id=<n>``); batch n reads version n−1
+    (or the inventory's opening stock) and overwrites version n and its
+    alerts (``out_dir/batch_id=<n>``), so a replayed batch is idempotent.
+    Everything runs as Spark SQL: no Python per row or per key.
+    """
+    opening = inventory.select("inventory_id", F.col("quantity").cast("decimal(18,2)").alias("qty"))
 
-    return l.groupBy("inventory_id").applyInPandasWithState(
-        step, ALERT_SCHEMA, "qty double", "append", GroupStateTimeout.NoTimeout)
+    def sink(df, batch_id):
+        spark = df.sparkSession
+        prev = os.path.join(state_dir, f"batch_id={batch_id - 1}")
+        state = spark.read.parquet(prev) if batch_id > 0 and _path_exists(spark, prev) else opening
+        alerts, new_state = low_stock_batch(df, state, inventory)
+        alerts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        new_state.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
+
+    return (ledger.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 # --------------------------------------------------------- foreachBatch sink
@@ -292,14 +315,12 @@ def entering_status(status_events: DataFrame, target: str) -> DataFrame:
     """Stateful transitions into ``target``: state = last status per order."""
     def step(key, pdfs, state):
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-        prev = state.get[0] if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.status == target and prev is not None and prev != target:
-                out.append((r.order_id, r.event_id, r.ts))
-            prev = r.status
-        state.update((prev,))
-        yield pd.DataFrame(out, columns=["order_id", "event_id", "ts"])
+        status = rows["status"].to_numpy(dtype=object)
+        prev = pd.Series(status).shift(1).to_numpy(dtype=object)
+        prev[0] = state.get[0] if state.exists else None
+        hit = (status == target) & pd.notna(prev) & (prev != target)
+        state.update((status[-1],))
+        yield rows.loc[hit, ["order_id", "event_id", "ts"]]
 
     return status_events.groupBy("order_id").applyInPandasWithState(
         step, TRANS_SCHEMA, "status string", "append", GroupStateTimeout.NoTimeout)
