@@ -262,9 +262,13 @@ def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str
         spark = df.sparkSession
         prev = os.path.join(state_dir, f"batch_id={batch_id - 1}")
         state = spark.read.parquet(prev) if batch_id > 0 and _path_exists(spark, prev) else opening
-        alerts, new_state = low_stock_batch(df, state, inventory)
-        alerts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
-        new_state.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
+        df = df.persist()   # read by the running sums and by the state delta
+        try:
+            alerts, new_state = low_stock_batch(df, state, inventory)
+            alerts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+            new_state.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
+        finally:
+            df.unpersist()
 
     return (ledger.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -299,9 +303,14 @@ def stock_deduction_stream(status_stream: DataFrame, frames: dict, out_dir: str,
     trans = entering_status(status_stream, "preparing")
 
     def sink(df, batch_id):
-        rows = stock_deduction_batch(df, frames["orders"], frames["order_items"],
-                                     frames["product_ingredients"], frames["inventory"])
-        rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        # The micro-batch is read twice below: materialise it once.
+        df = df.persist()
+        try:
+            rows = stock_deduction_batch(df, frames["orders"], frames["order_items"],
+                                         frames["product_ingredients"], frames["inventory"])
+            rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        finally:
+            df.unpersist()
 
     return (trans.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
