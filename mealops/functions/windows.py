@@ -128,6 +128,8 @@ def global_position(df: DataFrame, order: Sequence, name: str = "pos") -> DataFr
     (one row per partition) give each partition's offset, and a window per
     partition numbers its rows.
     """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)   # make sure a reliable checkpoint folder is registered
     order_cols = _cols(order)
     parts = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     pinned = parts.withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
