@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 _B = "__bucket"
 
 
+def time_bucket(col: str, unit: str = "hour") -> Column:
+    """A bucket that is a prefix of time order (default: the hour of ``col``)."""
+    return F.date_trunc(unit, F.col(col))
+
+
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 

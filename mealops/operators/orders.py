@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import dbl, status_rank
-from ..functions.windows import previous_values
+from ..functions.windows import previous_values, time_bucket
 
 STAFF_ROLES = ("admin", "kitchen")
 
@@ -138,13 +138,13 @@ def order_subtotal(requests: DataFrame, priced: DataFrame, key: str = "order_id"
     return requests.select(key).distinct().join(sums, key, "left")
 
 
-def status_transitions(status_events: DataFrame, target: str, day_buckets: bool = True) -> DataFrame:
+def status_transitions(status_events: DataFrame, target: str, buckets: bool = True) -> DataFrame:
     """Events that move an order *into* ``target`` (previous status differs).
 
     The first event of an order is an insert, not an update, so it never
     counts (the reference fires on UPDATE only).
     """
-    bucket = F.to_date("ts") if day_buckets else None
+    bucket = time_bucket("ts") if buckets else None
     e = previous_values(status_events, ["order_id"], ["ts", "event_id"], bucket, ["status"])
     return (e.filter((F.col("status") == target) & F.col("prev_status").isNotNull()
                      & (F.col("prev_status") != target))
@@ -178,9 +178,9 @@ def status_durations(status_events: DataFrame) -> DataFrame:
             .filter(F.col("minutes").isNotNull()))
 
 
-def status_history_check(status_events: DataFrame, day_buckets: bool = True) -> DataFrame:
+def status_history_check(status_events: DataFrame, buckets: bool = True) -> DataFrame:
     """Flag moves that go backward or skip a stage; cancel is allowed from anywhere."""
-    bucket = F.to_date("ts") if day_buckets else None
+    bucket = time_bucket("ts") if buckets else None
     e = previous_values(status_events, ["order_id"], ["ts", "event_id"], bucket, ["status"])
     r_new, r_old = status_rank(F.col("status")), status_rank(F.col("prev_status"))
     problem = (F.when(F.col("prev_status") == "cancelled", "after_cancel")

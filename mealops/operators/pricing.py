@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import lit_date
-from ..functions.windows import prefix_sums
+from ..functions.windows import prefix_sums, time_bucket
 from ..sources.parse import parse_order_items
 from .orders import order_notifications, price_order_items
 
@@ -52,8 +52,8 @@ def apply_voucher(orders: DataFrame, vouchers: DataFrame, *, as_of,
              & (F.col("subtotal") >= F.col("min_order")))
     j = j.withColumn("_valid", F.coalesce(valid, F.lit(False)))
     cand = j.filter(F.col("_valid"))
-    # Rank valid orders per voucher by time (two-level: voucher, day).
-    ranked = prefix_sums(cand, ["voucher_id"], ["created_at", "order_id"], F.to_date("created_at"),
+    # Rank valid orders per voucher by time (two-level: voucher, hour).
+    ranked = prefix_sums(cand, ["voucher_id"], ["created_at", "order_id"], time_bucket("created_at"),
                          {}, seq="_rank")
     ranked = ranked.withColumn("_ok", F.col("max_uses").isNull()
                                | (F.col("_rank") <= F.col("max_uses") - F.col("used_count")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import days_until, dbl, expiry_status, lit_date, stock_status
-from ..functions.windows import last_non_null, prefix_sums
+from ..functions.windows import last_non_null, prefix_sums, time_bucket
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -104,9 +104,9 @@ _LEDGER_ORDER = ["created_at", "order_id", "line_no", "action_type", "quantity_c
 def stock_running_balance(logs: DataFrame) -> DataFrame:
     """Running Σ quantity_change per item in ledger order (position ``seq``).
 
-    Two-level window (item, day) so a hot item spreads over many tasks.
+    Two-level window (item, hour) so a hot item spreads over many tasks.
     """
-    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, F.to_date("created_at"),
+    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, time_bucket("created_at"),
                     {"balance": F.col("quantity_change")}, seq="seq")
     return r.select("inventory_id", "order_id", "line_no", "seq", "balance")
 
@@ -117,7 +117,7 @@ def low_stock_crossings(logs: DataFrame, inventory: DataFrame) -> DataFrame:
     Opening stock is the inventory quantity; each row's ``after`` is opening +
     running Σ change and ``before`` = after − change.
     """
-    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, F.to_date("created_at"),
+    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, time_bucket("created_at"),
                     {"run": F.col("quantity_change")})
     inv = inventory.select("inventory_id", "quantity", "min_quantity")
     j = r.join(inv, "inventory_id")
@@ -140,7 +140,7 @@ def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000)
     bucket size (in quantity units) that splits hot items across tasks.
     """
     def ranges(df, idc, tag):
-        r = prefix_sums(df, ["inventory_id"], ["ts", *idc, "qty"], F.to_date("ts"),
+        r = prefix_sums(df, ["inventory_id"], ["ts", *idc, "qty"], time_bucket("ts"),
                         {"hi": F.col("qty")})
         return r.select("inventory_id", (F.col("hi") - F.col("qty")).alias("pos"),
                         F.struct(*[F.col(c) for c in idc], F.col("hi").alias("hi")).alias(tag))

@@ -228,8 +228,8 @@ def low_stock_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) ->
     the two-level window helper, so a hot item is split by day; the state
     is one row per item (qty before the batch).
     """
-    from ..functions.windows import prefix_sums
-    run = prefix_sums(batch, ["inventory_id"], _LEDGER_SORT, F.to_date("created_at"),
+    from ..functions.windows import prefix_sums, time_bucket
+    run = prefix_sums(batch, ["inventory_id"], _LEDGER_SORT, time_bucket("created_at"),
                       {"run": F.col("quantity_change")})
     mins = inventory.select("inventory_id", "min_quantity")
     j = run.join(state, "inventory_id").join(mins, "inventory_id")
