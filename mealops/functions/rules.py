@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = [
+__all__ = ["with_scalars", 
     "col_or", "as_date", "money", "dbl", "ratio", "days_until",
     "expiry_status", "stock_status", "ORDER_STATUSES", "STATUS_STEP",
     "status_rank", "not_cancelled", "lit_date", "lit_ts",
@@ -78,3 +78,18 @@ def status_rank(status: Column) -> Column:
 
 def not_cancelled(status: str | Column = "status") -> Column:
     return col_or(status) != "cancelled"
+
+
+def with_scalars(df, *one_row_frames):
+    """Attach the columns of one-row aggregates to every row of ``df``.
+
+    Each one-row frame becomes an uncorrelated scalar subquery
+    (``DataFrame.scalar``): Spark runs it once and inlines the value, so
+    there is no join (and no nested-loop join) at all.
+    """
+    out = df
+    for i, one in enumerate(one_row_frames):
+        tmp = f"__scalar{i}"
+        out = out.select("*", one.select(F.struct(*one.columns).alias(tmp)).scalar().alias(tmp))
+        out = out.select(*[c for c in out.columns if c != tmp], *[F.col(f"{tmp}.{c}").alias(c) for c in one.columns])
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import lit_date
+from ..functions.rules import lit_date, with_scalars
 from ..functions.windows import global_position
 from ..sources.parse import tags_array
 
@@ -142,6 +142,4 @@ def menu_week_stats(menu_schedule: DataFrame, products: DataFrame, active_subs:
         F.sum(F.col("max_quantity") * F.col("price")).alias("revenue"))
     subs = active_subs.agg(F.count(F.lit(1)).alias("active_subs"))
     buy = plan.filter(F.col("name") != "TOTAL").agg(F.sum("shortfall").alias("buy_qty"))
-    k = F.lit(1).alias("__one")
-    return (serv.select(k, "*").join(subs.select(k, "*"), "__one").join(buy.select(k, "*"), "__one")
-            .select("servings", "active_subs", "buy_qty", "revenue"))
+    return with_scalars(serv, subs, buy).select("servings", "active_subs", "buy_qty", "revenue")

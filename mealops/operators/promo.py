@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import lit_date
+from ..functions.rules import lit_date, with_scalars
 from .pricing import usable
 
 
@@ -24,8 +24,7 @@ def voucher_stats(vouchers: DataFrame, usages: DataFrame, *, as_of, month) -> Da
     u = usages.filter((F.col("used_at") >= lo.cast("timestamp_ntz")) & (F.col("used_at") < hi.cast("timestamp_ntz")))
     a = vouchers.agg(F.count_if(usable(as_of)).alias("active_vouchers"))
     b = u.agg(F.count(F.lit(1)).alias("uses_in_month"), F.sum("discount_amount").alias("discount_given"))
-    k = F.lit(1).alias("__one")
-    return a.select(k, "*").join(b.select(k, "*"), "__one").drop("__one")
+    return with_scalars(a, b)
 
 
 def voucher_redemption_rollup(vouchers: DataFrame, usages: DataFrame) -> DataFrame:

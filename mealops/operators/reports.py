@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import dbl, lit_date, money, not_cancelled
+from ..functions.rules import dbl, lit_date, money, not_cancelled, with_scalars
 
 
 def revenue_report(orders: DataFrame, *, date_from, date_to) -> DataFrame:
@@ -30,13 +30,9 @@ def revenue_report(orders: DataFrame, *, date_from, date_to) -> DataFrame:
                     "online_orders", "walkin_orders"))
 
 
-def _scalar_join(*frames: DataFrame) -> DataFrame:
-    """Side-by-side one-row frames (keyed equi-join on a constant; all sides are one row)."""
-    k = F.lit(1).alias("__one")
-    out = frames[0].select(k, "*")
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.select(k, "*")), "__one")
-    return out.drop("__one")
+def _scalar_join(df: DataFrame, *one_row_frames: DataFrame) -> DataFrame:
+    """``df`` with the columns of one-row aggregates attached (scalar subqueries, no join)."""
+    return with_scalars(df, *one_row_frames)
 
 
 def period_filter(df: DataFrame, *, as_of, days: int, ts_col: str = "created_at") -> DataFrame:

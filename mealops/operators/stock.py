@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import days_until, dbl, expiry_status, lit_date, stock_status
+from ..functions.rules import days_until, dbl, expiry_status, lit_date, stock_status, with_scalars
 from ..functions.windows import last_non_null, prefix_sums, time_bucket
 
 
-def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast, keyed join)."""
-    return (df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one"))
-
-
 def inventory_by_category(inventory: DataFrame, category: str | None = None) -> DataFrame:
     inv = inventory if not category or category == "all" else inventory.filter(F.col("category") == category)
     return inv.select("inventory_id", "name")
