@@ -40,6 +40,26 @@ TIMESLOTS = ["07:00 - 09:00", "09:00 - 11:00", "11:00 - 13:00",
 PAYMENT_METHODS = ["cod", "bank", "momo", "zalopay", "cash"]
 
 
+def balance_scan(df: DataFrame) -> DataFrame:
+    """Spread a large input that arrives in too few splits over all cores.
+
+    A big table stored as one file with one row group is read by a single
+    task, and every narrow step after the scan (parsing, join probes,
+    partial aggregation) runs in that task. When the optimizer's size
+    estimate is at least ``mealops.scan.rebalanceMinBytes`` (default 8 MiB)
+    and the scan has fewer splits than the default parallelism, the rows are
+    round-robin repartitioned once. On a cluster reading many files the scan
+    already has more splits than cores and this is a no-op.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    min_bytes = int(spark.conf.get("mealops.scan.rebalanceMinBytes", str(8 * 1024 * 1024)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= min_bytes and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _d(s: str):
     return F.lit(s).cast("date")
 
@@ -58,7 +78,7 @@ class Bound:
     # ------------------------------------------------------------------ raw
     def raw(self, name: str) -> DataFrame:
         path = os.path.join(self.sf_dir, f"{name}.parquet")
-        return self.spark.read.schema(RAW[name]).parquet(path)
+        return balance_scan(self.spark.read.schema(RAW[name]).parquet(path))
 
     # ------------------------------------------------------------ bindings
     @cached_property
