@@ -12,11 +12,11 @@ STAFF_ROLES = ("admin", "kitchen")
 
 
 def clamp_limit(limit) -> int:
-    """``min(max(int(limit) or 50, 1), 200)``; non-numeric or 0 gives 50."""
-    try:
-        n = int(str(limit).strip())
-    except (TypeError, ValueError):
-        n = 0
+    """``min(max(parseInt(limit) || 50, 1), 200)``: the leading integer of the
+    text counts; non-numeric or 0 gives 50."""
+    import re
+    m = re.match(r"\s*([+-]?\d+)", "" if limit is None else str(limit))
+    n = int(m.group(1)) if m else 0
     return min(max(n or 50, 1), 200)
 
 
