@@ -80,27 +80,40 @@ def orphan_check(frames: dict[str, DataFrame], fks=FOREIGN_KEYS) -> list[DataFra
     return out
 
 
-def validate_constraints(frames: dict[str, DataFrame], key_cols: dict[str, list[str]]) -> DataFrame:
-    """All violations as (table_name, rule, key)."""
-    parts: list[DataFrame] = []
+def row_rules(frames: dict[str, DataFrame], key_cols: dict[str, list[str]]) -> list[DataFrame]:
+    """CHECK and NOT NULL rules: one pass per table.
+
+    Every rule of a table becomes ``when(violated, rule_name)`` in one array;
+    the non-null entries are exploded, so a table is scanned once however
+    many rules it has.
+    """
+    per_table: dict[str, list] = {}
     for (t, c), allowed in DOMAINS.items():
         if t in frames and c in frames[t].columns:
-            df = frames[t]
-            parts.append(_row(df.filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)), t, f"check_{c}", key_cols[t]))
+            per_table.setdefault(t, []).append(
+                F.when(F.col(c).isNotNull() & ~F.col(c).isin(*allowed), F.lit(f"check_{c}")))
     for t, cols in NOT_NULL.items():
         if t in frames:
             for c in [c for c in cols if c in frames[t].columns]:
-                parts.append(_row(frames[t].filter(F.col(c).isNull()), t, f"not_null_{c}", key_cols[t]))
+                per_table.setdefault(t, []).append(F.when(F.col(c).isNull(), F.lit(f"not_null_{c}")))
+    out = []
+    for t, rules in per_table.items():
+        hits = F.filter(F.array(*rules), lambda x: x.isNotNull())
+        out.append(frames[t].select(F.lit(t).alias("table_name"), F.explode(hits).alias("rule"),
+                                    _key(key_cols[t]).alias("key")))
+    return out
+
+
+def validate_constraints(frames: dict[str, DataFrame], key_cols: dict[str, list[str]]) -> DataFrame:
+    """All violations as (table_name, rule, key)."""
+    parts: list[DataFrame] = row_rules(frames, key_cols)
     for t, groups in UNIQUE.items():
         if t in frames:
             for cols in [g for g in groups if set(g) <= set(frames[t].columns)]:
                 dup = (frames[t].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
                 parts.append(_row(dup, t, f"unique_{'_'.join(cols)}", cols))
     parts.extend(orphan_check(frames))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(parts)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
