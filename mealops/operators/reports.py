@@ -187,12 +187,19 @@ def share_of_total(df: DataFrame, key: str, value: str) -> DataFrame:
     return _scalar_join(g, t).select("key", "value", (dbl("value") / dbl("_t")).alias("share"))
 
 
-def ratio_to_max(df: DataFrame, key: str, value: str, floor_max=None) -> DataFrame:
-    """value / max × 100; ``floor_max`` raises the max (e.g. 2000 kcal for the calorie chart)."""
-    g = df.groupBy(F.col(key).alias("key")).agg(F.sum(value).alias("value"))
-    m = g.agg(F.max("value").alias("_m"))
+def ratio_to_max(df: DataFrame, key: str, value: str, floor_max=None, by: list[str] | None = None) -> DataFrame:
+    """value / max × 100; ``floor_max`` raises the max (e.g. 2000 kcal for the calorie chart).
+
+    With ``by`` the max is taken per group (one chart per user, say): the
+    per-group max is an aggregate joined back on the group key; without it
+    the max is a scalar subquery.
+    """
+    by = list(by or [])
+    g = df.groupBy(*by, F.col(key).alias("key")).agg(F.sum(value).alias("value"))
+    m = (g.groupBy(*by) if by else g).agg(F.max("value").alias("_m"))
+    j = g.join(m, by) if by else _scalar_join(g, m)
     mx = dbl("_m") if floor_max is None else F.greatest(dbl("_m"), F.lit(float(floor_max)))
-    return _scalar_join(g, m).select("key", "value", (dbl("value") * 100.0 / mx).alias("pct"))
+    return j.select(*by, "key", "value", (dbl("value") * 100.0 / mx).alias("pct"))
 
 
 def demand_forecast(orders: DataFrame, order_items: DataFrame, *, as_of, days: int = 30) -> DataFrame:

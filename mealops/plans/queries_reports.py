@@ -258,16 +258,18 @@ def q_share_of_total(b):
 
 
 @register("ratio_to_max", """
-, g AS (SELECT CAST(o.created_at AS DATE) AS key, CAST(sum(oi.quantity * oi.calories_snapshot) AS BIGINT) AS value
+, g AS (SELECT o.user_id, CAST(o.created_at AS DATE) AS key, CAST(sum(oi.quantity * oi.calories_snapshot) AS BIGINT) AS value
         FROM orders_b o JOIN order_items oi ON oi.order_id = o.order_id
-        WHERE o.user_id = 1 GROUP BY 1)
-SELECT key, value, CAST(value AS DOUBLE) * 100.0 / greatest(CAST((SELECT max(value) FROM g) AS DOUBLE), 2000.0) AS pct FROM g""")
+        WHERE o.user_id IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT user_id, max(value) AS mx FROM g GROUP BY user_id)
+SELECT g.user_id, g.key, g.value, CAST(g.value AS DOUBLE) * 100.0 / greatest(CAST(m.mx AS DOUBLE), 2000.0) AS pct
+FROM g JOIN m ON m.user_id = g.user_id""")
 def q_ratio_to_max(b):
-    # The calorie chart of one customer: the max is at least 2000 kcal.
-    o = b.orders.filter(F.col("user_id") == 1).select("order_id", F.to_date("created_at").alias("day"))
+    # Every customer's calorie chart: each day against max(2000, the customer's best day).
+    o = b.orders.filter(F.col("user_id").isNotNull()).select("order_id", "user_id", F.to_date("created_at").alias("day"))
     kcal = b.order_items.join(o, "order_id").select(
-        "day", (F.col("quantity") * F.col("calories_snapshot")).cast("bigint").alias("kcal"))
-    return reports.ratio_to_max(kcal, "day", "kcal", floor_max=2000)
+        "user_id", "day", (F.col("quantity") * F.col("calories_snapshot")).cast("bigint").alias("kcal"))
+    return reports.ratio_to_max(kcal, "day", "kcal", floor_max=2000, by=["user_id"])
 
 
 @register("demand_forecast", """
