@@ -133,25 +133,25 @@ def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000)
     (batch, need) overlap in O(rows) without pairing rows. ``width`` is the
     bucket size (in quantity units) that splits hot items across tasks.
     """
-    def ranges(df, idc, tag):
-        r = prefix_sums(df, ["inventory_id"], ["ts", *idc, "qty"], time_bucket("ts"),
-                        {"hi": F.col("qty")})
-        return r.select("inventory_id", (F.col("hi") - F.col("qty")).alias("pos"),
-                        F.struct(*[F.col(c) for c in idc], F.col("hi").alias("hi")).alias(tag))
-
-    s = ranges(batches, ["batch_order", "batch_line"], "b")
-    d = ranges(needs, ["need_order", "need_line"], "n")
-    bounds = (s.withColumn("n", F.lit(None).cast(d.schema["n"].dataType))
-              .unionByName(d.withColumn("b", F.lit(None).cast(s.schema["b"].dataType)))
-              .groupBy("inventory_id", "pos").agg(F.max("b").alias("b"), F.max("n").alias("n")))
+    # Supply and demand ranges in one pass: tag each side, key by (item, side).
+    both = (batches.select("inventory_id", F.lit(0).alias("side"), F.col("batch_order").alias("o"),
+                           F.col("batch_line").alias("l"), "ts", "qty")
+            .unionByName(needs.select("inventory_id", F.lit(1).alias("side"), F.col("need_order").alias("o"),
+                                      F.col("need_line").alias("l"), "ts", "qty")))
+    r = prefix_sums(both, ["inventory_id", "side"], ["ts", "o", "l", "qty"], time_bucket("ts"),
+                    {"hi": F.col("qty")})
+    rng = F.struct(F.col("o"), F.col("l"), F.col("hi"))
+    r = r.select("inventory_id", (F.col("hi") - F.col("qty")).alias("pos"),
+                 F.when(F.col("side") == 0, rng).alias("b"), F.when(F.col("side") == 1, rng).alias("n"))
+    bounds = r.groupBy("inventory_id", "pos").agg(F.max("b").alias("b"), F.max("n").alias("n"))
     bucket = F.floor(F.col("pos") / F.lit(width))
     ff = last_non_null(bounds, ["inventory_id"], ["pos"], bucket, {"b": "fb", "n": "fn"})
     qty = F.least(F.col("fb.hi"), F.col("fn.hi")) - F.col("pos")
     return (ff.filter(F.col("fb").isNotNull() & F.col("fn").isNotNull())
-            .select("inventory_id", F.col("fn.need_order").alias("need_order"),
-                    F.col("fn.need_line").alias("need_line"),
-                    F.col("fb.batch_order").alias("batch_order"),
-                    F.col("fb.batch_line").alias("batch_line"), qty.alias("qty"))
+            .select("inventory_id", F.col("fn.o").alias("need_order"),
+                    F.col("fn.l").alias("need_line"),
+                    F.col("fb.o").alias("batch_order"),
+                    F.col("fb.l").alias("batch_line"), qty.alias("qty"))
             .filter(F.col("qty") > 0))
 
 
