@@ -74,7 +74,7 @@ def orphan_check(frames: dict[str, DataFrame], fks=FOREIGN_KEYS) -> list[DataFra
         nn = None
         for x in ccols:
             nn = F.col(x).isNotNull() if nn is None else (nn & F.col(x).isNotNull())
-        p = frames[parent].select(*[F.col(a).alias(b) for a, b in zip(pcols, ccols)]).distinct()
+        p = frames[parent].select(*[F.col(a).alias(b) for a, b in zip(pcols, ccols)])
         orphans = c.filter(nn).join(p, ccols, "left_anti")
         out.append(_row(orphans, child, f"fk_{'_'.join(ccols)}_{parent}", kcols))
     return out
