@@ -135,3 +135,16 @@ def test_notification_feed_cuts_roles_first(bound):
     w = Window.partitionBy("user_id")
     unread = out.withColumn("u2", F.count_if(~F.col("is_read")).over(w))
     assert all(r["unread"] == r["u2"] for r in unread.collect())
+
+
+def test_hot_key_is_split_by_bucket(spark):
+    """A key holding most rows is windowed per (key, bucket), not per key."""
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(0 if i % 10 else i, i, t0 + dt.timedelta(minutes=17 * i), 1) for i in range(600)],
+                               "k long, i long, ts timestamp_ntz, v long")
+    from mealops.functions.windows import time_bucket
+    out = prefix_sums(df, ["k"], ["ts", "i"], time_bucket("ts"), {"run": F.col("v")}, seq="seq")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__bucket" in plan and "hashpartitioning(k#" in plan
+    hot = sorted(r["run"] for r in out.filter("k = 0").collect())
+    assert hot == list(range(1, len(hot) + 1))
