@@ -198,18 +198,16 @@ class Bound:
             expiry.alias("expiry_date"),
         )
 
-    @cached_property
-    def part_count(self) -> int:
-        # A scalar from parquet metadata; ingredient ids wrap around it.
-        return self.raw("part").count()
-
     @cached_property
     def product_ingredients(self) -> DataFrame:
-        n = self.part_count
-        p = self.raw("part").select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+        # Ingredient ids wrap around the number of parts: a lazy scalar
+        # subquery (answered from parquet metadata), not a driver-side count.
+        part = self.raw("part")
+        n = part.agg(F.count(F.lit(1))).scalar()
+        p = part.select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
         return p.select(
             F.col("p_partkey").alias("product_id"),
-            ((F.col("p_partkey") * 7 + F.col("k") * 13) % F.lit(n)).alias("inventory_id"),
+            ((F.col("p_partkey") * 7 + F.col("k") * 13) % n).alias("inventory_id"),
             (_dec(F.lit(0.05), 3, 2) * _dec(F.col("k"), 1, 0)).alias("qty_per_portion"),
         )
 
