@@ -155,9 +155,9 @@ def _requests(events: DataFrame, key_col: str) -> DataFrame:
                          F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
 
 
-def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
-                          limit: int = 10) -> DataFrame:
-    """Batch twin of the rate limiter: every request with its window count.
+def rate_limit_fold(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
+                    limit: int = 10) -> DataFrame:
+    """Reference fold of the rate limiter (sequential per key; used to check the parallel one).
 
     A key's window opens at its first request and resets on the first
     request after ``reset`` (start + window). Rows are hash-partitioned by
@@ -186,6 +186,77 @@ def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window
     return r.mapInPandas(fold, RATE_SCHEMA)
 
 
+def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
+                          limit: int = 10, max_rounds: int = 64) -> DataFrame:
+    """Batch rate limiter, exact and parallel even for one hot key.
+
+    Windows open at a key's first request; the next window opens at the
+    first request after start + window. So window starts form a chain
+    ``start -> next(start)`` where ``next(i)`` is the first request later
+    than ``t_i + window``. Steps, all joins/aggregates on (key, position):
+
+    1. position ``seq`` of each request per key (two-level running count);
+    2. ``next(i)`` = 1 + number of requests with t <= t_i + window, found as
+       a forward fill over requests merged with the probe times;
+    3. the chain from position 1 is marked by pointer doubling: the marked
+       set grows along ``next^(2^k)`` while ``next^(2^(k+1))`` is composed by
+       a self join, so about log2(windows per key) rounds (each round is
+       checkpointed to cut the lineage);
+    4. each request's window start is the last marked position before it
+       (forward fill); count = seq − start + 1.
+    """
+    from ..functions.windows import last_non_null, prefix_sums, time_bucket
+    from ..session import checkpoint_dir
+    spark = events.sparkSession
+    checkpoint_dir(spark)
+    w_us = window_ms * 1000
+    r = _requests(events, key_col)
+    # Positions feed every later step: materialise them once (reliable checkpoint).
+    r = prefix_sums(r, ["key"], ["_us", "event_id"], time_bucket("ts"), {}, seq="seq").checkpoint()
+    # 2. next(i): probes at t_i + window merged with the requests; a probe
+    #    sorts after requests with the same time, so the fill counts them.
+    reqs = r.select("key", "_us", F.lit(0).alias("_kind"), "event_id", F.col("seq").alias("_s"),
+                    F.lit(None).cast("long").alias("_q"))
+    probes = r.select("key", (F.col("_us") + F.lit(w_us)).alias("_us"), F.lit(1).alias("_kind"),
+                      F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("_s"),
+                      F.col("seq").alias("_q"))
+    merged = reqs.unionByName(probes)
+    bucket = F.date_trunc("hour", F.timestamp_micros("_us"))
+    filled = last_non_null(merged, ["key"], ["_us", "_kind", "event_id"], bucket, "_s", "_le")
+    n_per_key = r.groupBy("key").agg(F.max("seq").alias("_n"))
+    nxt = (filled.filter(F.col("_kind") == 1)
+           .join(n_per_key, "key")
+           .select("key", F.col("_q").alias("seq"),
+                   F.when(F.coalesce("_le", F.lit(0)) + 1 <= F.col("_n"),
+                          F.coalesce("_le", F.lit(0)) + 1).alias("nxt")))
+    # 3. pointer doubling from position 1 of every key. After round k the
+    #    marked set holds the chain nodes at distance < 2^k; the jump by 2^k
+    #    from them yields exactly the nodes at distance 2^k .. 2^(k+1)-1, so
+    #    the rounds never overlap and the loop ends on the first empty step.
+    jump = nxt.checkpoint()
+    marked = r.filter(F.col("seq") == 1).select("key", "seq")
+    for rnd in range(max_rounds):
+        step = (marked.join(jump, ["key", "seq"]).filter(F.col("nxt").isNotNull())
+                .select("key", F.col("nxt").alias("seq")).checkpoint())
+        if step.isEmpty():
+            break
+        marked = marked.unionByName(step)
+        if rnd % 4 == 3:
+            marked = marked.checkpoint()
+        j2 = jump.alias("a").join(jump.alias("b"), (F.col("a.key") == F.col("b.key"))
+                                  & (F.col("a.nxt") == F.col("b.seq")), "left")
+        jump = j2.select(F.col("a.key").alias("key"), F.col("a.seq").alias("seq"),
+                         F.col("b.nxt").alias("nxt")).checkpoint()
+    # 4. window start of every request = last marked position at or before it.
+    starts = marked.withColumn("_start", F.col("seq"))
+    tagged = r.join(starts, ["key", "seq"], "left")
+    ff = last_non_null(tagged, ["key"], ["seq"], time_bucket("ts"), "_start", "_from")
+    count = (F.col("seq") - F.col("_from") + 1).cast("long")
+    return ff.select("key", "event_id", "ts", count.alias("count"),
+                     F.greatest(F.lit(limit) - count, F.lit(0)).cast("long").alias("remaining"),
+                     (count > limit).alias("blocked"))
+
+
 def rate_limit_stream(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
                       limit: int = 10, watermark: str = "10 minutes") -> DataFrame:
     """Streaming rate limiter: ``applyInPandasWithState`` with (count, reset) per key.
