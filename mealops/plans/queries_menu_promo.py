@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import menu, pricing, promo, stock, subs
 from .catalog import register
 
@@ -284,5 +282,3 @@ SELECT t.user_id, v.voucher_id FROM tags t JOIN vouchers v ON v.condition_type =
 def q_voucher_eligibility(b):
     return promo.voucher_eligibility(b.users, b.orders, _active_subs(b), b.vouchers, as_of=STOCK_AS_OF)
 
-
-_ = F

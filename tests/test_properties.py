@@ -127,7 +127,6 @@ def test_load_tables_round_trip(spark, bound):
 
 
 def test_notification_feed_cuts_roles_first(bound):
-    feed = reports  # noqa: F841 - module import check
     from mealops.operators.delivery import notification_feed
     out = notification_feed(bound.notifications, bound.users, k=5)
     per_user = out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("m"))
