@@ -147,3 +147,15 @@ def test_hot_key_is_split_by_bucket(spark):
     assert "__bucket" in plan and "hashpartitioning(k#" in plan
     hot = sorted(r["run"] for r in out.filter("k = 0").collect())
     assert hot == list(range(1, len(hot) + 1))
+
+
+def test_export_csv_every_part_opens_with_header(spark):
+    df = spark.range(0, 40, numPartitions=4).select(F.col("id").alias("n"), (F.col("id") * 2).alias("m"))
+    out = os.path.join(tempfile.mkdtemp(prefix="mealops-csv-parts-"), "x")
+    assert sinks.export_csv(df, out)
+    parts = sorted(p for p in os.listdir(out) if p.startswith("part-"))
+    texts = [open(os.path.join(out, p), encoding="utf-8").read().splitlines() for p in parts]
+    texts = [t for t in texts if t]
+    assert len(texts) == 4 and all(t[0] == "﻿n,m" for t in texts)
+    body = sorted(line for t in texts for line in t[1:])
+    assert body == sorted(f'"{i}","{2 * i}"' for i in range(40))
