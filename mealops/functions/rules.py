@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["with_scalars", 
+__all__ = ["with_scalars", "ntz_micros", 
     "col_or", "as_date", "money", "dbl", "ratio", "days_until",
     "expiry_status", "stock_status", "ORDER_STATUSES", "STATUS_STEP",
     "status_rank", "not_cancelled", "lit_date", "lit_ts",
@@ -37,6 +37,17 @@ def lit_ts(t) -> Column:
     return F.lit(str(t)).cast("timestamp_ntz")
 
 
+def ntz_micros(c) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a wall-clock (``timestamp_ntz``) value.
+
+    Uses ``timestamp_diff`` on the wall-clock values, so differences do not
+    depend on the session time zone or its daylight-saving shifts (a cast to
+    ``timestamp`` followed by ``unix_micros`` would).
+    """
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            col_or(c).cast("timestamp_ntz"))
+
+
 def as_date(c) -> Column:
     return col_or(c).cast("date")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import dbl, status_rank
+from ..functions.rules import dbl, ntz_micros, status_rank
 from ..functions.windows import previous_values, time_bucket
 
 STAFF_ROLES = ("admin", "kitchen")
@@ -171,8 +171,7 @@ def status_durations(status_events: DataFrame) -> DataFrame:
     pairs = list(zip(STAGES[:-1], STAGES[1:]))
     steps = F.array(*[
         F.struct(F.lit(f"{a}->{b}").alias("step"),
-                 ((F.unix_micros(F.col(f"t_{b}").cast("timestamp"))
-                   - F.unix_micros(F.col(f"t_{a}").cast("timestamp"))) / F.lit(60_000_000.0)).alias("minutes"))
+                 ((ntz_micros(f"t_{b}") - ntz_micros(f"t_{a}")) / F.lit(60_000_000.0)).alias("minutes"))
         for a, b in pairs])
     return (firsts.select("order_id", F.inline(steps))
             .filter(F.col("minutes").isNotNull()))
@@ -223,7 +222,7 @@ def kitchen_ticket_priority(status_events: DataFrame, *, as_of) -> DataFrame:
     e = status_events.filter(F.col("ts") <= now)
     latest = e.groupBy("order_id").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("l"))
     pend = latest.filter(F.col("l.status") == "pending").select("order_id", F.col("l.ts").alias("arrived_at"))
-    secs = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("arrived_at").cast("timestamp"))) / F.lit(60_000_000)
+    secs = (ntz_micros(now) - ntz_micros("arrived_at")) / F.lit(60_000_000)
     elapsed = F.coalesce(F.floor(secs), F.lit(0)).cast("bigint")
     return pend.select(
         "order_id", "arrived_at", elapsed.alias("elapsed_min"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.rules import ntz_micros
 from ..operators.orders import STAGES, status_transitions
 from ..operators.stock import bom_explosion
 from ..sources.schemas import RAW
@@ -152,7 +153,7 @@ def _rate_fold(rows: pd.DataFrame, state: tuple | None, window_us: int, limit: i
 def _requests(events: DataFrame, key_col: str) -> DataFrame:
     return events.select(F.col(key_col).cast("string").alias("key"), "event_id",
                          F.col("ts").cast("timestamp_ntz").alias("ts"),
-                         F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+                         ntz_micros(F.col("ts").cast("timestamp_ntz")).alias("_us"))
 
 
 def rate_limit_fold(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,

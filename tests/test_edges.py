@@ -72,3 +72,16 @@ def test_first_event_is_not_a_transition(spark):
 def test_menu_filter_all_and_blank(bound):
     from mealops.operators import menu
     assert menu.menu_filter(bound.products, tag="all", q="  ").count() == bound.products.count()
+
+
+def test_durations_ignore_session_time_zone(spark):
+    ev = spark.createDataFrame([(1, 1, "pending", "2024-03-10 01:30:00"), (2, 1, "confirmed", "2024-03-10 03:30:00")],
+                               "event_id long, order_id long, status string, ts string")
+    ev = ev.withColumn("ts", ev.ts.cast("timestamp_ntz"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")   # DST starts 02:00 that day
+        out = rows(orders.status_durations(ev), "step", "minutes")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert out == [("pending->confirmed", 120.0)]
