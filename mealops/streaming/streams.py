@@ -113,10 +113,15 @@ def event_fanout(events: DataFrame) -> DataFrame:
 
 def recent_events(events: DataFrame, *, length: str = "30 seconds", slide: str = "10 seconds",
                   watermark: str | None = None) -> DataFrame:
-    """Event counts per sliding window and type (the last-30-seconds feed)."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """Event counts per sliding window and type (the last-30-seconds feed).
+
+    Windows are taken on wall-clock time (``timestamp_ntz``), so they do not
+    move with the session time zone; only a watermark needs a ``timestamp``.
+    """
     if watermark:
-        e = e.withWatermark("ts", watermark)
+        e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    else:
+        e = events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return (e.groupBy(F.window("ts", length, slide).alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
