@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import lit_date, with_scalars
-from ..functions.windows import global_position
+from ..functions.windows import global_position, prefix_sums
 from ..sources.parse import tags_array
 
 # The goal chips offered on the menu pages.
@@ -76,14 +76,16 @@ def menu_calendar(menu_schedule: DataFrame, products: DataFrame, *, week_start)
     The grid is built with ``pivot`` over fixed day values, so no list is
     collected per cell.
     """
-    from pyspark.sql import Window
     s = _week(menu_schedule, week_start)
     p = products.select(F.col("product_id").alias("_pid"), "name")
     j = s.join(p, s.product_id == p._pid).select(
         "schedule_date", "meal_type", "product_id", "name",
         (F.weekday("schedule_date") + 1).alias("dow"))
-    w = Window.partitionBy("schedule_date", "meal_type").orderBy("name", "product_id")
-    j = j.withColumn("slot", F.row_number().over(w))
+    # Slot = position of the dish in its (day, meal) cell by (name, id); two-level
+    # with the name's first character as bucket (a prefix of that order).
+    j = prefix_sums(j, ["schedule_date", "meal_type"], ["name", "product_id"],
+                    F.substring("name", 1, 1), {}, seq="slot")
+    j = j.withColumn("slot", F.col("slot").cast("int"))
     g = j.groupBy("meal_type", "slot").pivot("dow", list(range(1, 8))).agg(F.first("name"))
     return g.select("meal_type", "slot", *[F.col(str(i + 1)).alias(d) for i, d in enumerate(DAYS)])
 
