@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_named, text_of
+from .common import rows_named, text_of, written
 
 
 class Node:
@@ -195,7 +195,9 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tri
     d = rows_named(docs, doc_id, text)
     body = text_of(d, text)
     named = d.select(F.col(doc_id), F.octet_length(body).cast("long").alias("len"), F.sha2(body, 256).alias("sha"))
-    return (named.join(owners(docs, doc_id, text, trie_bytes), ["len", "sha"])
+    # The owners are a table of their own, so that the join can split a text with very many copies.
+    owned = written(owners(docs, doc_id, text, trie_bytes), "text-owners")
+    return (named.join(owned, ["len", "sha"])
             .select(doc_id, "keep_id", "group_size",
                     F.col(doc_id).cast("long").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.col("sha").alias("text_sha256")))

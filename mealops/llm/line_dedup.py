@@ -173,8 +173,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                     .mapInArrow(_suspects(shared, words, min_key), "doc long, mark long, at int, key binary"),
                     "line-suspects")
     order = F.struct(F.col("doc").isNotNull(), F.col("doc"))           # null before all others
-    first = (lines.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-             .where("low != high").select("key", F.col("low.doc").alias("keeper")))
+    # A table of its own, so that the join can split a line that very many documents share.
+    first = written(lines.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+             .where("low != high").select("key", F.col("low.doc").alias("keeper")), "line-keepers")
     gone = (lines.join(first, "key").where(~F.col("doc").eqNullSafe(F.col("keeper")))
             .groupBy("doc", "mark").agg(F.collect_set("at").alias("__gone")))
     d = docs.withColumn("__body", body).withColumn("__mark", mark)

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, secret_scan, sharding
+from . import bpe, exact_dedup, line_dedup, packing, secret_scan, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,29 @@ FROM marked GROUP BY doc_id"""
 def op10(spark, sf_dir):
     return (line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")))
+
+
+@_query("op1_simhash_near_dedup")
+def op1(spark, sf_dir):
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_warc", """
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 100 AND low <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 100 AND low <> page_id THEN low END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages)""")
+def op8(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    arch = warc.archive(pages)
+    return (warc.lookup(spark, arch, pages, keep_payload=False)
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+@_query("op5_byte_bpe")
+def op5(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder
+from .common import shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -124,8 +124,10 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
     update(docs, ledger, id_col, text, rules)
     current = F.concat_ws("@", "kind", "version").isin(*[f"{r.kind}@{r.version}" for r in rules])
     # A replayed append or a repeated id may hold a pair twice; collect_set keeps one.
-    found = (spark.read.schema(LEDGER).parquet(ledger).where(current & (F.size("spans") > 0))
-             .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("__spans")))
+    # A table of its own, so that the join can split a blob with very many paths.
+    found = written(spark.read.schema(LEDGER).parquet(ledger).where(current & (F.size("spans") > 0))
+             .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("__spans")),
+                    "secret-findings")
     d = _named(docs, text).drop("__body")
     return (d.join(found, d["__blob"] == found["blob"], "left")
             .select(*[d[c] for c in docs.columns],
