@@ -20,7 +20,8 @@ shorter than ``min_key`` code points are left alone.
 Defined cases: null or empty text -> one empty line; a null document id
 counts as one document, before all others; rows that repeat a document id are
 one document for the count; repeated lines within one document stay in the
-first document; empty table -> empty result; other columns are carried.
+first document; empty table -> empty result; other columns are carried
+(columns named ``n_lines`` or ``n_dropped`` are replaced).
 """
 
 from __future__ import annotations
@@ -185,6 +186,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     kept = F.when(F.col("__gone").isNull(), F.col("__body")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n"))
     out = joined.withColumn("__parts", parts)
-    return out.select(*[kept.alias(c) if c == text else d[c] for c in docs.columns],
+    carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[kept.alias(c) if c == text else d[c] for c in carried],
                       F.size("__parts").cast("long").alias("n_lines"),
                       F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_dropped"))

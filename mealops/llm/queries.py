@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, secret_scan, sharding, simhash, warc
+from . import bpe, exact_dedup, line_dedup, line_quality, packing, pii, secret_scan, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,21 @@ def op5(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op4_quality_rules")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    field = line_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return line_quality.decide(docs, field).select(
+        "doc_id", *[F.col(f"__quality.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                                     "n_repeat_words", "base_failed", "content_share", "kept")])
+
+
+@_query("op9_pii")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.fit(docs))
+    return found.select("doc_id", *[_count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+                        F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))

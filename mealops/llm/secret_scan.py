@@ -19,7 +19,8 @@ matches, and running sums of their lengths give code-point positions.
 
 Defined cases: null text counts as empty; rows that repeat an id are rows of
 their own; null ids are kept; empty table -> empty result and an unchanged
-ledger; columns of the input are carried by ``scan`` under their names.
+ledger; columns of the input are carried by ``scan`` (its own two replace those
+of the same name).
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
                     "secret-findings")
     d = _named(docs, text).drop("__body")
     return (d.join(found, d["__blob"] == found["blob"], "left")
-            .select(*[d[c] for c in docs.columns],
+            .select(*[d[c] for c in docs.columns if c not in ("secret_spans", "blob_sha256")],
                     F.coalesce(F.col("__spans"), F.array().cast(SPAN)).alias("secret_spans"),
                     F.col("__blob").alias("blob_sha256")))
 

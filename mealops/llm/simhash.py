@@ -81,8 +81,9 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc", "fp"])
+            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
+                                  names=["doc", "mark", "fp"])
     return run
 
 
@@ -182,17 +183,37 @@ def near_links(fps: DataFrame, radius: int = 3, per_bucket: int = 2048) -> DataF
             .mapInArrow(_stars(radius), "a long, b long").distinct())
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
-               radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest id reachable over links."""
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                radius: int = 3) -> DataFrame:
+    """(doc, mark, fp, root, component_id) per row: ``mark`` is a hash of the text, ``root`` the smallest
+    fingerprint of the group, ``component_id`` its smallest document id."""
     d = rows_named(docs, doc_id, text)
-    marked = written(d.select(F.col(doc_id).cast("long"), text_of(d, text))
-                     .mapInArrow(_fingerprints(shingle), "doc long, fp long"), "simhash")
+    body = text_of(d, text)
+    marked = written(d.select(F.col(doc_id).cast("long"), F.xxhash64(body), body)
+                     .mapInArrow(_fingerprints(shingle), "doc long, mark long, fp long"), "simhash")
     nodes = written(marked.groupBy("fp").agg(F.min("doc").alias("low")), "simhash-nodes")
     roots = components(near_links(nodes.select("fp"), radius))
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = grouped.join(least, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(
+    # A table of its own, so that the join can split a fingerprint that very many rows share.
+    of_fp = written(grouped.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
+    return marked.join(of_fp, "fp")
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+               radius: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the smallest id reachable over links."""
+    return near_groups(docs, doc_id, text, shingle, radius).select(
         F.col("doc").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+              radius: int = 3) -> DataFrame:
+    """One row of each group of ``docs``: that of the smallest id (null last; of its texts, the least hash)."""
+    groups = near_groups(docs, doc_id, text, shingle, radius)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("mark"))).alias("f"))
+    first = first.select(F.col("f.doc").alias("__doc"), F.col("f.mark").alias("__mark"))
+    d = docs.withColumn("__of", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    kept = d.join(first, d[doc_id].cast("long").eqNullSafe(first["__doc"]) & (d["__of"] == first["__mark"]))
+    return kept.dropDuplicates(["__doc", "__mark"]).select(*[d[c] for c in docs.columns])
