@@ -64,6 +64,14 @@ def _levels(leaves: list[Leaf]) -> list[dict[str, dict[str, float]]]:
     return levels
 
 
+def _draw(key: Column, depth: int):
+    def draw(child: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(depth), child["name"]), 11)
+        u = (bits.cast("double") + 0.5) / F.lit(float(2 ** 53))
+        return F.struct((-F.log(u) / child["weight"]).alias("draw"), child["name"].alias("name"))
+    return draw
+
+
 def placement(key: Column, leaves: list[Leaf]) -> Column:
     """The shard (int) that ``key`` descends to."""
     node: Column = F.lit("")
@@ -72,12 +80,7 @@ def placement(key: Column, leaves: list[Leaf]) -> Column:
             F.lit(parent), F.array(*[F.struct(F.lit(name).alias("name"), F.lit(w).alias("weight"))
                                      for name, w in kids.items()]))])
 
-        def draw(child: Column, depth: int = depth) -> Column:
-            bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(depth), child["name"]), 11)
-            u = (bits.cast("double") + 0.5) / F.lit(float(2 ** 53))
-            return F.struct((-F.log(u) / child["weight"]).alias("draw"), child["name"].alias("name"))
-
-        node = F.array_min(F.transform(F.element_at(children, node), draw))["name"]
+        node = F.array_min(F.transform(F.element_at(children, node), _draw(key, depth)))["name"]
     return node.cast("int")
 
 
