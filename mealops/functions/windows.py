@@ -11,7 +11,10 @@ prefix of the sort order (a day, for instance):
 3. a window over the small summary carries values across buckets;
 4. an equi-join on (key, bucket) puts the carried values back.
 
-Results are exactly those of the single-level window.
+Key and bucket travel as one struct, whose equality treats nulls as equal, so
+rows with a null key or bucket stay, and window, summary and join share one
+partitioning. Results are exactly those of the single-level window for any
+input whose bucket is monotone in the order (nulls first on both).
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "__bucket"
+_G = "__group"
+_B = f"{_G}.__bucket"
 
 
 def time_bucket(col: str, unit: str = "hour") -> Column:
@@ -29,6 +33,14 @@ def time_bucket(col: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(col))
 
 
+def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    return df.withColumn(_G, F.struct(*keys, bucket.alias("__bucket")))
+
+
+def _keys(keys: list[str]) -> list[Column]:
+    return [F.col(f"{_G}.{k}") for k in keys]
+
+
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -52,18 +64,18 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
         for name, c in all_sums.items():
             out = out.withColumn(name, F.sum(c).over(w))
         return out
-    base = df.withColumn(_B, bucket)
-    summary = base.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in all_sums.items()])
-    w_in = (Window.partitionBy(*keys, _B).orderBy(*order_cols)
+    base = _grouped(df, keys, bucket)
+    summary = base.groupBy(_G).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in all_sums.items()])
+    w_in = (Window.partitionBy(_G).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, 0))
     d = base.select("*", *[F.sum(c).over(w_in).alias(f"__r_{n}") for n, c in all_sums.items()])
-    w_b = (Window.partitionBy(*keys).orderBy(_B)
+    w_b = (Window.partitionBy(*_keys(keys)).orderBy(_B)
            .rowsBetween(Window.unboundedPreceding, -1))
-    carried = summary.select(*keys, _B, *[
+    carried = summary.select(_G, *[
         F.coalesce(F.sum(f"__t_{n}").over(w_b), F.lit(0)).alias(f"__c_{n}") for n in all_sums])
-    out = d.join(carried, on=[*keys, _B], how="inner")
+    out = d.join(carried, _G)
     out = out.select("*", *[(F.col(f"__r_{n}") + F.col(f"__c_{n}")).alias(n) for n in all_sums])
-    return out.drop(_B, *[f"__c_{n}" for n in all_sums], *[f"__r_{n}" for n in all_sums])
+    return out.drop(_G, *[f"__c_{n}" for n in all_sums], *[f"__r_{n}" for n in all_sums])
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
@@ -79,19 +91,19 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket:
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         p = F.lag(packed).over(w)
         return df.select("*", *[p[c].alias(prefix + c) for c in cols])
-    base = df.withColumn(_B, bucket)
+    base = _grouped(df, keys, bucket)
     # Last row of each (key, bucket): max_by over the full sort key.
     sort_key = F.struct(*order_cols)
-    summary = base.groupBy(*keys, _B).agg(F.max_by(packed, sort_key).alias("__last"))
-    w_in = Window.partitionBy(*keys, _B).orderBy(*order_cols)
+    summary = base.groupBy(_G).agg(F.max_by(packed, sort_key).alias("__last"))
+    w_in = Window.partitionBy(_G).orderBy(*order_cols)
     d = base.select("*", F.lag(packed).over(w_in).alias("__prev"),
                     (F.row_number().over(w_in) == 1).alias("__first"))
-    w_b = Window.partitionBy(*keys).orderBy(_B)
-    carried = summary.select(*keys, _B, F.lag("__last").over(w_b).alias("__carry"))
-    out = d.join(carried, on=[*keys, _B], how="inner")
+    w_b = Window.partitionBy(*_keys(keys)).orderBy(_B)
+    carried = summary.select(_G, F.lag("__last").over(w_b).alias("__carry"))
+    out = d.join(carried, _G)
     prev = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
     out = out.select("*", *[prev[c].alias(prefix + c) for c in cols])
-    return out.drop(_B, "__prev", "__first", "__carry")
+    return out.drop(_G, "__prev", "__first", "__carry")
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
@@ -108,20 +120,20 @@ def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
         w = (Window.partitionBy(*keys).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0))
         return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(o) for c, o in pairs.items()])
-    base = df.withColumn(_B, bucket)
+    base = _grouped(df, keys, bucket)
     sort_key = F.struct(*order_cols)
-    summary = base.groupBy(*keys, _B).agg(*[
+    summary = base.groupBy(_G).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), sort_key)).alias(f"__l_{o}") for c, o in pairs.items()])
-    w_b = (Window.partitionBy(*keys).orderBy(_B)
+    w_b = (Window.partitionBy(*_keys(keys)).orderBy(_B)
            .rowsBetween(Window.unboundedPreceding, -1))
-    carried = summary.select(*keys, _B, *[
+    carried = summary.select(_G, *[
         F.last(f"__l_{o}", ignorenulls=True).over(w_b).alias(f"__c_{o}") for o in pairs.values()])
-    w_in = (Window.partitionBy(*keys, _B).orderBy(*order_cols)
+    w_in = (Window.partitionBy(_G).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, 0))
     d = base.select("*", *[F.last(c, ignorenulls=True).over(w_in).alias(f"__f_{o}") for c, o in pairs.items()])
-    res = d.join(carried, on=[*keys, _B], how="inner")
+    res = d.join(carried, _G)
     res = res.select("*", *[F.coalesce(F.col(f"__f_{o}"), F.col(f"__c_{o}")).alias(o) for o in pairs.values()])
-    return res.drop(_B, *[f"__f_{o}" for o in pairs.values()], *[f"__c_{o}" for o in pairs.values()])
+    return res.drop(_G, *[f"__f_{o}" for o in pairs.values()], *[f"__c_{o}" for o in pairs.values()])
 
 
 def global_position(df: DataFrame, order: Sequence, name: str = "pos") -> DataFrame:

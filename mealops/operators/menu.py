@@ -135,7 +135,8 @@ def menu_week_stats(menu_schedule: DataFrame, products: DataFrame, active_subs:
                     plan: DataFrame, *, week_start) -> DataFrame:
     """One row: servings scheduled, active subscriptions, quantity to buy, expected revenue.
 
-    ``plan`` is the ingredient plan (#76) of the week's need.
+    ``plan`` is the ingredient plan (#76) of the week's need; its total row
+    is the one without an ingredient id.
     """
     s = _week(menu_schedule, week_start)
     p = products.select(F.col("product_id"), "price")
@@ -143,5 +144,5 @@ def menu_week_stats(menu_schedule: DataFrame, products: DataFrame, active_subs:
         F.sum("max_quantity").cast("bigint").alias("servings"),
         F.sum(F.col("max_quantity") * F.col("price")).alias("revenue"))
     subs = active_subs.agg(F.count(F.lit(1)).alias("active_subs"))
-    buy = plan.filter(F.col("name") != "TOTAL").agg(F.sum("shortfall").alias("buy_qty"))
+    buy = plan.filter(F.col("inventory_id").isNotNull()).agg(F.sum("shortfall").alias("buy_qty"))
     return with_scalars(serv, subs, buy).select("servings", "active_subs", "buy_qty", "revenue")

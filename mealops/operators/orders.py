@@ -240,20 +240,22 @@ def kitchen_backlog(orders: DataFrame) -> DataFrame:
 
 
 def label_rows(orders: DataFrame, order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """One label per order item: ``#<order>-<nn>`` (1-based, 2-digit), name, kcal, macros.
+    """One label per order item: ``#<order>-<nn>`` (1-based, at least 2 digits), name, kcal, macros.
 
     The item number is a running count per order in (line_no, product,
-    quantity, subtotal) order, computed two-level with line_no as the bucket
-    so even a huge order is numbered by many tasks.
+    quantity, subtotal) order, computed two-level (1,000 lines a bucket), so
+    even a huge order is numbered by many tasks. Numbers are padded to two
+    digits and never cut.
     """
     from ..functions.windows import prefix_sums
     p = products.select(F.col("product_id").alias("_pid"), "name")
     items = order_items.join(p, order_items.product_id == p._pid, "left")
     numbered = prefix_sums(items, ["order_id"], ["line_no", "product_id", "quantity", "subtotal"],
-                           F.col("line_no"), {}, seq="_nn")
+                           F.floor(F.col("line_no") / 1000), {}, seq="_nn")
+    nn = F.col("_nn").cast("string")
     return numbered.select(
         F.concat(F.lit("#"), F.col("order_id").cast("string"), F.lit("-"),
-                 F.lpad(F.col("_nn").cast("string"), 2, "0")).alias("label_id"),
+                 F.when(F.length(nn) < 2, F.lpad(nn, 2, "0")).otherwise(nn)).alias("label_id"),
         "order_id", "name", "quantity",
         F.col("calories_snapshot").alias("kcal"),
         dbl("protein_snapshot").alias("protein_g"), dbl("carbs_snapshot").alias("carbs_g"),

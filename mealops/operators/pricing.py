@@ -81,26 +81,47 @@ def loyalty_balance(transactions: DataFrame) -> DataFrame:
             .withColumn("value_vnd", F.col("points") * F.lit(1000)))
 
 
+# Checkout columns that an order takes over from its request where the request has them.
+CHECKOUT_COLS = ("order_type", "payment_method", "delivery_name", "delivery_phone", "delivery_address",
+                 "delivery_timeslot", "notes")
+
+
 def create_orders(order_requests: DataFrame, request_items: DataFrame, products: DataFrame,
                   vouchers: DataFrame, *, as_of) -> dict[str, DataFrame]:
-    """Batch order creation: orders, items, voucher usages, loyalty rows, notifications.
-
-    ``order_requests``: (order_id, user_id, voucher_code, created_at);
-    ``request_items``: (order_id, line_no, items_json). Order ids are given
-    (deterministic), so re-running the batch yields the same rows.
+    """Batch order creation.
+
+    ``order_requests``: (order_id, user_id, voucher_code, created_at, and any
+    of ``CHECKOUT_COLS``); ``request_items``: (order_id, line_no,
+    items_json). Order ids are given, so re-running the batch yields the same
+    rows. Frames:
+
+    * ``orders``, ``order_items``: priced orders and their item snapshots;
+    * ``voucher_usages``: one row per order whose voucher was accepted, a
+      discount of 0 included; ``voucher_counts``: used_count afterwards;
+    * ``loyalty_transactions``, ``loyalty_points``: points per order, and
+      the points to add per user;
+    * ``notifications``: one kitchen notice per order;
+    * ``rejects``: requests without any item that matches a product.
     """
-    items = price_order_items(parse_order_items(request_items), products).cache()
+    items = price_order_items(parse_order_items(request_items), products)
     sub = items.groupBy("order_id").agg(F.sum("line_subtotal").alias("subtotal"))
-    o = order_requests.join(sub, "order_id", "left")
-    priced = apply_voucher(o, vouchers, as_of=as_of)
+    asked = order_requests.join(sub, "order_id", "left")
+    rejects = asked.filter(F.col("subtotal").isNull()).select(
+        "order_id", "user_id", F.lit("no item matches a product").alias("reason"))
+    priced = apply_voucher(asked.filter(F.col("subtotal").isNotNull()), vouchers, as_of=as_of)
     orders = priced.select(
         "order_id", F.concat(F.lit("FF-"), F.col("order_id").cast("string")).alias("order_code"),
         "user_id", "voucher_code", "subtotal", F.col("discount").alias("discount_amount"),
-        "total", F.lit("pending").alias("status"), "created_at")
-    usages = priced.filter(F.col("applied_voucher_id").isNotNull() & (F.col("discount") > 0)).select(
+        "total", F.lit("pending").alias("status"), "created_at",
+        *[c for c in CHECKOUT_COLS if c in order_requests.columns])
+    usages = priced.filter(F.col("applied_voucher_id").isNotNull()).select(
         F.col("applied_voucher_id").alias("voucher_id"), "order_id", "user_id",
         F.col("discount").alias("discount_amount"), F.col("created_at").alias("used_at"))
+    uses = usages.groupBy("voucher_id").agg(F.count(F.lit(1)).alias("_uses"))
+    counts = vouchers.join(uses, "voucher_id", "left").select(
+        "voucher_id", "code", (F.col("used_count") + F.coalesce("_uses", F.lit(0))).alias("used_count"))
     loyalty = loyalty_accrual(orders).withColumn("reason", F.lit("order"))
-    notes = order_notifications(orders)
-    return {"orders": orders, "order_items": items, "voucher_usages": usages,
-            "loyalty_transactions": loyalty, "notifications": notes}
+    return {"orders": orders, "order_items": items.join(orders.select("order_id"), "order_id", "left_semi"),
+            "voucher_usages": usages, "voucher_counts": counts, "loyalty_transactions": loyalty,
+            "loyalty_points": loyalty.groupBy("user_id").agg(F.sum("points").cast("bigint").alias("points")),
+            "notifications": order_notifications(orders), "rejects": rejects}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import dbl, lit_date, money, not_cancelled, with_scalars
+from ..functions.rules import dbl, lit_date, money, not_cancelled, ratio, with_scalars
 
 
 def revenue_report(orders: DataFrame, *, date_from, date_to) -> DataFrame:
@@ -125,7 +125,7 @@ def product_performance(order_items: DataFrame, products: DataFrame) -> DataFram
     total = j.agg(F.sum("revenue").alias("_total"))
     return _scalar_join(j, total).select(
         "product_id", "name", "category", "orders", "sold", "revenue",
-        (dbl("revenue") * 100.0 / dbl("_total")).alias("share"))
+        ratio(dbl("revenue") * 100.0, "_total").alias("share"))
 
 
 def top_products(order_items: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
@@ -148,7 +148,7 @@ def health_goal_share(orders: DataFrame, order_items: DataFrame, products: DataF
                    .agg(F.sum("quantity").alias("q")))
     g = per_product.join(p, "product_id").groupBy("goal").agg(F.sum("q").cast("bigint").alias("n"))
     tot = g.agg(F.sum("n").alias("_t"), F.max("n").alias("_m"))
-    return _scalar_join(g, tot).select("goal", "n", (F.col("n") / F.col("_t")).alias("share"),
+    return _scalar_join(g, tot).select("goal", "n", ratio("n", "_t").alias("share"),
                                        (F.col("n") == F.col("_m")).alias("is_top"))
 
 
@@ -184,7 +184,7 @@ def share_of_total(df: DataFrame, key: str, value: str) -> DataFrame:
     """value / Σ value per key (the total is a one-row aggregate, not a global window)."""
     g = df.groupBy(F.col(key).alias("key")).agg(F.sum(value).alias("value"))
     t = g.agg(F.sum("value").alias("_t"))
-    return _scalar_join(g, t).select("key", "value", (dbl("value") / dbl("_t")).alias("share"))
+    return _scalar_join(g, t).select("key", "value", ratio("value", "_t").alias("share"))
 
 
 def ratio_to_max(df: DataFrame, key: str, value: str, floor_max=None, by: list[str] | None = None) -> DataFrame:
@@ -199,7 +199,7 @@ def ratio_to_max(df: DataFrame, key: str, value: str, floor_max=None, by: list[s
     m = (g.groupBy(*by) if by else g).agg(F.max("value").alias("_m"))
     j = g.join(m, by) if by else _scalar_join(g, m)
     mx = dbl("_m") if floor_max is None else F.greatest(dbl("_m"), F.lit(float(floor_max)))
-    return j.select(*by, "key", "value", (dbl("value") * 100.0 / mx).alias("pct"))
+    return j.select(*by, "key", "value", ratio(dbl("value") * 100.0, mx).alias("pct"))
 
 
 def demand_forecast(orders: DataFrame, order_items: DataFrame, *, as_of, days: int = 30) -> DataFrame:
@@ -218,7 +218,7 @@ def demand_forecast(orders: DataFrame, order_items: DataFrame, *, as_of, days: i
     tot = per_day.agg(F.sum(F.when(F.col("day") >= mid, F.col("q"))).alias("_c"),
                       F.sum(F.when(F.col("day") < mid, F.col("q"))).alias("_p"))
     # Number of each weekday in the window: a fixed-size date spine.
-    spine = (tot.select(F.explode(F.sequence(mid, F.date_sub(now, 1))).alias("day"))
+    spine = (orders.sparkSession.range(1).select(F.explode(F.sequence(mid, F.date_sub(now, 1))).alias("day"))
              .groupBy((F.weekday("day") + 1).alias("dow")).agg(F.count(F.lit(1)).alias("_k")))
     by_dow = cur.groupBy((F.weekday("day") + 1).alias("dow")).agg(F.sum("q").alias("q"))
     growth = F.coalesce(dbl("_c") / F.nullif(dbl("_p"), F.lit(0.0)), F.lit(1.0))

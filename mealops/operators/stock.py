@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import days_until, dbl, expiry_status, lit_date, stock_status, with_scalars
+from ..functions.rules import days_until, dbl, expiry_status, lit_date, ratio, stock_status, with_scalars
 from ..functions.windows import last_non_null, prefix_sums, time_bucket
 
 
@@ -168,7 +168,7 @@ def ledger_needs(logs: DataFrame) -> DataFrame:
 
 
 def food_waste_pct(logs: DataFrame, *, date_from, date_to) -> DataFrame:
-    """waste = Σ|waste|, used = Σ|export + waste|, pct = waste / used × 100."""
+    """waste = Σ|waste|, used = Σ|export + waste|, pct = waste / used × 100 (NULL when nothing was used)."""
     lo = lit_date(date_from).cast("timestamp_ntz")
     hi = F.date_add(lit_date(date_to), 1).cast("timestamp_ntz")
     l = logs.filter((F.col("created_at") >= lo) & (F.col("created_at") < hi))
@@ -176,7 +176,7 @@ def food_waste_pct(logs: DataFrame, *, date_from, date_to) -> DataFrame:
     agg = l.agg(F.sum(F.when(F.col("action_type") == "waste", a)).alias("waste"),
                 F.sum(F.when(F.col("action_type").isin("export", "waste"), a)).alias("used"))
     return agg.select(dbl("waste").alias("waste"), dbl("used").alias("used"),
-                      (dbl("waste") * 100.0 / dbl("used")).alias("waste_pct"))
+                      ratio(dbl("waste") * 100.0, "used").alias("waste_pct"))
 
 
 def receipts_today(logs: DataFrame, *, day) -> DataFrame:

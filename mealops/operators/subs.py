@@ -95,12 +95,14 @@ def subscription_lifecycle(subs: DataFrame, events: DataFrame, *, as_of) -> Data
     user's latest subscription created at or before it (an as-of match done
     as a forward fill over the merged, time-ordered rows, split by hour).
     """
-    s_rows = subs.select("user_id", F.col("created_at").alias("ts"), F.col("subscription_id").alias("id"),
+    # At one time a subscription comes before events, whatever the ids.
+    s_rows = subs.select("user_id", F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
+                         F.col("subscription_id").alias("id"),
                          F.col("subscription_id").alias("sid"), F.lit(None).cast("string").alias("action"))
-    e_rows = events.select("user_id", "ts", F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("sid"),
+    e_rows = events.select("user_id", "ts", F.lit(1).alias("kind"), F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("sid"),
                            "action")
     merged = s_rows.unionByName(e_rows)
-    ff = last_non_null(merged, ["user_id"], ["ts", "id"], time_bucket("ts"), "sid", "target")
+    ff = last_non_null(merged, ["user_id"], ["ts", "kind", "id"], time_bucket("ts"), "sid", "target")
     applied = ff.filter(F.col("action").isNotNull() & F.col("target").isNotNull())
     m = F.create_map(*[x for k, v in LIFECYCLE.items() for x in (F.lit(k), F.lit(v))])
     latest = applied.groupBy(F.col("target").alias("subscription_id")).agg(

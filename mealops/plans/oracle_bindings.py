@@ -145,11 +145,11 @@ SELECT o.order_id, o.user_id, o.subtotal, o.created_at,
        CASE WHEN o.order_id % 7 = 0 THEN 'nope' ELSE lower(v.code) END AS voucher_code
 FROM orders_b o LEFT JOIN vouchers v ON v.voucher_id = o.order_id % 25""",
     "receipts": """
-SELECT l_orderkey AS receipt_id,
+SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS receipt_id,
        CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'item ' || CAST(l_partkey AS VARCHAR) END AS name,
        CAST(l_quantity AS DECIMAL(10,2)) AS quantity, CAST(l_shipdate AS DATE) + 30 AS expiry_date,
        l_suppkey % 10 AS supplier_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price
-FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1""",
+FROM lineitem WHERE l_returnflag = 'A'""",
     "adjustments": """
 SELECT event_id, 'INV-' || CAST(user_id AS VARCHAR) AS inventory_code, CAST(value AS DECIMAL(10,2)) AS quantity,
        'stock count' AS reason, ts
@@ -166,6 +166,12 @@ SELECT l_orderkey AS order_id, l_linenumber AS line_no,
        || ',"notes":"n' || CAST(l_linenumber AS VARCHAR) || '","price":1.5},{"product_id":'
        || CAST(l_suppkey AS VARCHAR) || ',"qty":1}]' AS items_json
 FROM lineitem""",
+    "order_requests": """
+SELECT v.order_id, v.user_id, v.created_at, v.voucher_code, o.order_type, o.payment_method, o.delivery_timeslot
+FROM voucher_requests v JOIN orders_b o ON o.order_id = v.order_id""",
+    "order_request_items": """
+SELECT order_id, line_no, CASE WHEN order_id % 11 = 0 THEN '[{"product_id":-1,"qty":1}]' ELSE items_json END AS items_json
+FROM requests""",
 }
 
 

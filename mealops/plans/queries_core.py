@@ -204,12 +204,12 @@ def q_kitchen_backlog(b):
 
 
 @register("label_rows", """
-SELECT '#' || CAST(oi.order_id AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (
-         PARTITION BY oi.order_id ORDER BY oi.line_no, oi.product_id, oi.quantity, oi.subtotal) AS VARCHAR), 2, '0') AS label_id,
+SELECT '#' || CAST(oi.order_id AS VARCHAR) || '-' || CASE WHEN nn < 10 THEN '0' ELSE '' END || CAST(nn AS VARCHAR) AS label_id,
        oi.order_id, p.name, oi.quantity, oi.calories_snapshot AS kcal,
        CAST(oi.protein_snapshot AS DOUBLE) AS protein_g, CAST(oi.carbs_snapshot AS DOUBLE) AS carbs_g,
        CAST(oi.fat_snapshot AS DOUBLE) AS fat_g
-FROM order_items oi LEFT JOIN products p ON p.product_id = oi.product_id""")
+FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY line_no, product_id, quantity, subtotal) AS nn
+      FROM order_items) oi LEFT JOIN products p ON p.product_id = oi.product_id""")
 def q_label_rows(b):
     return ord_ops.label_rows(b.orders, b.order_items, b.products)
 

@@ -141,21 +141,85 @@ def q_apply_voucher(b):
     return pricing.apply_voucher(b.voucher_requests, b.vouchers, as_of=STOCK_AS_OF)
 
 
-@register("create_orders", f"""
-, parsed AS (SELECT * FROM (SELECT order_id, line_no, unnest(from_json(items_json,
-  '[{{"product_id":"BIGINT","qty":"INTEGER","notes":"VARCHAR"}}]'), recursive := true) FROM requests) x
+CREATE_SQL = f"""parsed AS (SELECT * FROM (SELECT order_id, line_no, unnest(from_json(items_json,
+  '[{{"product_id":"BIGINT","qty":"INTEGER","notes":"VARCHAR"}}]'), recursive := true) FROM order_request_items) x
   WHERE product_id IS NOT NULL),
-pr AS (SELECT it.order_id, CAST(p.price * it.qty AS DECIMAL(18,2)) AS s FROM parsed it JOIN products p ON p.product_id = it.product_id),
+pr AS (SELECT it.*, p.price, CAST(p.price * it.qty AS DECIMAL(18,2)) AS s, p.calories
+       FROM parsed it JOIN products p ON p.product_id = it.product_id),
 sub AS (SELECT order_id, sum(s) AS subtotal FROM pr GROUP BY order_id),
-req AS (SELECT q.order_id, q.user_id, q.created_at, q.voucher_code, sub.subtotal
-        FROM voucher_requests q LEFT JOIN sub ON sub.order_id = q.order_id),
-{voucher_sql('req')}
-SELECT order_id, 'FF-' || CAST(order_id AS VARCHAR) AS order_code, user_id, voucher_code,
-       CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount_amount,
-       CAST(total AS DOUBLE) AS total, 'pending' AS status, created_at FROM vres""")
+asked AS (SELECT q.order_id, q.user_id, q.created_at, q.voucher_code, q.order_type, q.payment_method, q.delivery_timeslot,
+                 sub.subtotal FROM order_requests q LEFT JOIN sub ON sub.order_id = q.order_id),
+req AS (SELECT * FROM asked WHERE subtotal IS NOT NULL),
+{voucher_sql('req')},
+made AS (SELECT v.*, 'FF-' || CAST(v.order_id AS VARCHAR) AS order_code, q.order_type, q.payment_method, q.delivery_timeslot
+         FROM vres v JOIN req q ON q.order_id = v.order_id),
+pts AS (SELECT * FROM (SELECT user_id, order_id, CAST(floor((subtotal - discount) / 10000) AS BIGINT) AS points
+                       FROM vres WHERE user_id IS NOT NULL) t WHERE points > 0)"""
+
+
+def _created(b, frame: str):
+    return pricing.create_orders(b.order_requests, b.order_request_items, b.products, b.vouchers, as_of=STOCK_AS_OF)[frame]
+
+
+@register("create_orders", f"""
+, {CREATE_SQL}
+SELECT order_id, order_code, user_id, voucher_code, CAST(subtotal AS DOUBLE) AS subtotal,
+       CAST(discount AS DOUBLE) AS discount_amount, CAST(total AS DOUBLE) AS total, 'pending' AS status, created_at,
+       order_type, payment_method, delivery_timeslot FROM made""")
 def q_create_orders(b):
-    req = b.voucher_requests.drop("subtotal")
-    return pricing.create_orders(req, b.requests, b.products, b.vouchers, as_of=STOCK_AS_OF)["orders"]
+    return _created(b, "orders")
+
+
+@register("create_orders_items", f"""
+, {CREATE_SQL}
+SELECT order_id, line_no, product_id, qty, notes, CAST(price AS DOUBLE) AS unit_price, CAST(s AS DOUBLE) AS line_subtotal,
+       calories AS calories_snapshot FROM pr""")
+def q_create_orders_items(b):
+    return _created(b, "order_items").drop("protein_snapshot", "carbs_snapshot", "fat_snapshot")
+
+
+@register("create_orders_usages", f"""
+, {CREATE_SQL}
+SELECT applied_voucher_id AS voucher_id, order_id, user_id, CAST(discount AS DOUBLE) AS discount_amount, created_at AS used_at
+FROM vres WHERE applied_voucher_id IS NOT NULL""")
+def q_create_orders_usages(b):
+    return _created(b, "voucher_usages")
+
+
+@register("create_orders_voucher_counts", f"""
+, {CREATE_SQL}
+SELECT v.voucher_id, v.code, v.used_count + coalesce(u.n, 0) AS used_count
+FROM vouchers v LEFT JOIN (SELECT applied_voucher_id, count(*) AS n FROM vres WHERE applied_voucher_id IS NOT NULL GROUP BY 1) u
+  ON u.applied_voucher_id = v.voucher_id""")
+def q_create_orders_voucher_counts(b):
+    return _created(b, "voucher_counts")
+
+
+@register("create_orders_loyalty", f"""
+, {CREATE_SQL} SELECT user_id, order_id, points, 'order' AS reason FROM pts""")
+def q_create_orders_loyalty(b):
+    return _created(b, "loyalty_transactions")
+
+
+@register("create_orders_points", f"""
+, {CREATE_SQL} SELECT user_id, CAST(sum(points) AS BIGINT) AS points FROM pts GROUP BY user_id""")
+def q_create_orders_points(b):
+    return _created(b, "loyalty_points")
+
+
+@register("create_orders_notifications", f"""
+, {CREATE_SQL}
+SELECT order_id, 'kitchen' AS target_role, 'new_order' AS type, 'Đơn hàng mới' AS title,
+       'Đơn ' || order_code || ' cần chế biến: ' || CAST(CAST(subtotal AS DECIMAL(28,2)) AS VARCHAR) AS message FROM made""")
+def q_create_orders_notifications(b):
+    return _created(b, "notifications")
+
+
+@register("create_orders_rejects", f"""
+, {CREATE_SQL}
+SELECT order_id, user_id, 'no item matches a product' AS reason FROM asked WHERE subtotal IS NULL""")
+def q_create_orders_rejects(b):
+    return _created(b, "rejects")
 
 
 ACCRUAL_SQL = """acc AS (SELECT * FROM (SELECT user_id, order_id,

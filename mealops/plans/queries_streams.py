@@ -70,11 +70,8 @@ def q_stock_deduction_stream(b):
     q = S.stock_deduction_stream(_status_stream(b), frames, os.path.join(base, "ledger"), os.path.join(base, "ck"))
     q.awaitTermination()
     schema = S.stock_deduction_twin(b.status_events, frames).schema
-    try:
-        # The per-batch folders (batch_id=<n>) are one table; keep the ledger columns.
-        return b.spark.read.parquet(os.path.join(base, "ledger")).select(*schema.fieldNames())
-    except Exception:  # noqa: BLE001
-        return b.spark.createDataFrame([], schema)
+    # The per-batch folders (batch_id=<n>) are one table of ledger rows.
+    return S.read_written(b.spark, os.path.join(base, "ledger"), schema)
 
 
 @register("low_stock_alert_stream", """

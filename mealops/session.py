@@ -1,14 +1,13 @@
-"""Spark session helpers.
+"""Session helpers.
 
 The session is configured for the engine's needs (UTC, AQE, skew joins,
-Arrow) and never starts the web UI. ``checkpoint_dir`` reads the cluster's
-``spark.checkpoint.dir`` and only falls back to a scratch folder when the
-setting is absent (local tests).
+Arrow) and never starts the web UI. Master, driver host and memory are the
+launcher's: they are set here only when the caller asks for a local master
+(tests, bench). ``checkpoint_dir`` reads ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,9 +24,9 @@ DEFAULT_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.driver.host": "127.0.0.1",
-    "spark.driver.bindAddress": "127.0.0.1",
 }
+LOCAL_CONF = {"spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1",
+              "spark.driver.memory": "16g"}
 
 
 def get_session(master: str | None = None, app: str = "mealops",
@@ -35,16 +34,15 @@ def get_session(master: str | None = None, app: str = "mealops",
                 extra: dict[str, str] | None = None) -> SparkSession:
     """Return (or create) a configured session.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when no master is
-    configured by the launcher (spark-submit on a cluster sets its own).
+    Without ``master`` the launcher's master stays (spark-submit and
+    spark-defaults.conf set their own).
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
+    conf = dict(DEFAULT_CONF)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf.setdefault("spark.driver.memory", os.environ.get("MEALOPS_DRIVER_MEMORY", "16g"))
+        if master.startswith("local"):
+            conf.update(LOCAL_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -52,22 +50,22 @@ def get_session(master: str | None = None, app: str = "mealops",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and
-    is used as is. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    Where it is unset, a scratch folder is made on a local master (tests);
+    on a cluster an error asks for the setting.
     """
     sc = spark.sparkContext
     cur = (sc.getCheckpointDir()
            or sc.getConf().get("spark.checkpoint.dir", None)
            or spark.conf.get("spark.checkpoint.dir", None))
     if not cur:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="mealops-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(cur)

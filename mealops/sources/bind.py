@@ -6,7 +6,7 @@ the raw table. Frames are built lazily and memoised per ``Bound`` instance;
 nothing is materialised here.
 
 The rules are fixed so that an independent SQL rendering (the DuckDB oracle)
-derives the same rows; see ``mealops.plans.oracle.BINDINGS``.
+derives the same rows; see ``mealops.plans.oracle_bindings.BINDINGS``.
 """
 
 from __future__ import annotations
@@ -40,26 +40,6 @@ TIMESLOTS = ["07:00 - 09:00", "09:00 - 11:00", "11:00 - 13:00",
 PAYMENT_METHODS = ["cod", "bank", "momo", "zalopay", "cash"]
 
 
-def balance_scan(df: DataFrame) -> DataFrame:
-    """Spread a large input that arrives in too few splits over all cores.
-
-    A big table stored as one file with one row group is read by a single
-    task, and every narrow step after the scan (parsing, join probes,
-    partial aggregation) runs in that task. When the optimizer's size
-    estimate is at least ``mealops.scan.rebalanceMinBytes`` (default 8 MiB)
-    and the scan has fewer splits than the default parallelism, the rows are
-    round-robin repartitioned once. On a cluster reading many files the scan
-    already has more splits than cores and this is a no-op.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    min_bytes = int(spark.conf.get("mealops.scan.rebalanceMinBytes", str(8 * 1024 * 1024)))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= min_bytes and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def _d(s: str):
     return F.lit(s).cast("date")
 
@@ -78,7 +58,7 @@ class Bound:
     # ------------------------------------------------------------------ raw
     def raw(self, name: str) -> DataFrame:
         path = os.path.join(self.sf_dir, f"{name}.parquet")
-        return balance_scan(self.spark.read.schema(RAW[name]).parquet(path))
+        return self.spark.read.schema(RAW[name]).parquet(path)
 
     # ------------------------------------------------------------ bindings
     @cached_property
@@ -404,12 +384,27 @@ class Bound:
         code = F.when(o.order_id % 7 == 0, F.lit("nope")).otherwise(F.lower("code"))
         return j.select("order_id", "user_id", "subtotal", "created_at", code.alias("voucher_code"))
 
+    @cached_property
+    def order_requests(self) -> DataFrame:
+        """Checkout requests: the voucher requests with the chosen type, payment and time slot."""
+        o = self.orders.select("order_id", "order_type", "payment_method", "delivery_timeslot")
+        return self.voucher_requests.drop("subtotal").join(o, "order_id")
+
+    @cached_property
+    def order_request_items(self) -> DataFrame:
+        """Items of the requests; every 11th request names only products that do not exist."""
+        r = self.requests
+        gone = F.lit('[{"product_id":-1,"qty":1}]')
+        return r.withColumn("items_json", F.when(F.col("order_id") % 11 == 0, gone).otherwise(F.col("items_json")))
+
     @cached_property
     def receipts(self) -> DataFrame:
         li = self.raw("lineitem")
         k = F.col("l_orderkey")
-        return li.filter((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)).select(
-            k.alias("receipt_id"),
+        # (order, line, part) names a line; the id packs the three.
+        rid = (k * F.lit(10) + F.col("l_linenumber")) * F.lit(1_000_000) + F.col("l_partkey") % F.lit(1_000_000)
+        return li.filter(F.col("l_returnflag") == "A").select(
+            rid.alias("receipt_id"),
             F.when(k % 13 == 0, F.lit(None)).otherwise(
                 F.concat(F.lit("item "), F.col("l_partkey").cast("string"))).alias("name"),
             _dec(F.col("l_quantity"), 10, 2).alias("quantity"),
@@ -442,7 +437,3 @@ class Bound:
                  "shipper_tracking", "notifications"]
         alias = {"subscription_plans": "plans", "shipper_tracking": "pings"}
         return {n: getattr(self, alias.get(n, n)) for n in names}
-
-
-def bind(spark: SparkSession, sf_dir: str) -> Bound:
-    return Bound(spark, sf_dir)

@@ -10,7 +10,6 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .schemas import DOMAIN
 
@@ -20,15 +19,12 @@ BOM = "﻿"
 def load_tables(spark: SparkSession, path: str, names=None) -> dict[str, DataFrame]:
     """Typed load of the domain tables stored as ``<path>/<table>.parquet``.
 
-    Only tables present are returned; each uses its explicit schema, so
-    missing columns read as NULL and the scan prunes unused ones.
+    Each table uses its explicit schema, so missing columns read as NULL and
+    the scan prunes unused ones. A table that is not there raises an error
+    that names its path; ``names`` asks for fewer tables.
     """
-    out = {}
-    for name in names or DOMAIN:
-        p = os.path.join(path, f"{name}.parquet")
-        if os.path.exists(p) or "://" in path:
-            out[name] = spark.read.schema(DOMAIN[name]).parquet(p)
-    return out
+    return {name: spark.read.schema(DOMAIN[name]).parquet(os.path.join(path, f"{name}.parquet"))
+            for name in names or DOMAIN}
 
 
 def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
@@ -64,22 +60,14 @@ def export_csv(df: DataFrame, path: str, *, single_file: bool = False) -> bool:
     """
     if df.isEmpty():
         return False
-    header = BOM + ",".join(df.columns)
     lines = csv_lines(df, with_header=False)
     if single_file:
         lines = lines.coalesce(1)
-    schema = T.StructType([T.StructField("line", T.StringType())])
-
-    def prepend(batches):
-        first = True
-        for b in batches:
-            if first and len(b):
-                import pandas as pd
-                b = pd.concat([pd.DataFrame({"line": [header]}), b], ignore_index=True)
-                first = False
-            yield b
-
-    lines.mapInPandas(prepend, schema).write.mode("overwrite").text(path)
+    # The low 33 bits of the generated id number the rows of a partition: row 0 carries the header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.lit(BOM + ",".join(df.columns) + "\n")
+    lines.select(F.when(first, F.concat(header, F.col("line"))).otherwise(F.col("line")).alias("line")) \
+        .write.mode("overwrite").text(path)
     return True
 
 
@@ -148,11 +136,12 @@ def merge_dimension(current: DataFrame, feed: DataFrame, *, key: str, required:
 
     The last valid feed row per key (by ``order``) wins. Updates keep the
     current value where the feed has NULL; inserts fill NULLs from
-    ``defaults``. Rejects: rows missing a required column, and (optionally)
+    ``defaults``. Rejects: rows missing the key or a required column, and (optionally)
     repeated rows of a key that is new, except the last.
     """
     defaults = defaults or {}
     f = feed.withColumn(key, F.upper(F.trim(F.col(key)))) if upper_key else feed
+    required = list(dict.fromkeys([key, *required]))     # a row without its key is always rejected
     missing = None
     for c in required:
         cond = F.col(c).isNull()

@@ -2,10 +2,10 @@
 
 Every transformation here is a function over a DataFrame that works the
 same on a static frame (the batch twin, used for checks) and on a streaming
-one. Stateful folds that Spark SQL cannot state (rate limiting, low-stock
-crossings across micro-batches) use ``applyInPandasWithState`` with O(1)
-state per key; the batch twins of those folds stream through key-sorted
-partitions with ``mapInPandas`` (no group is ever materialised whole).
+one. The folds that Spark SQL cannot state across micro-batches (rate limiting,
+the previous status of an order) use ``applyInPandasWithState`` with O(1)
+state per key; low-stock crossings fold each micro-batch with Spark SQL
+against a versioned per-item state table. The batch twins are Spark SQL.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def rate_limit_fold(events: DataFrame, *, key_col: str = "user_id", window_ms: i
 
 
 def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
-                          limit: int = 10, max_rounds: int = 64) -> DataFrame:
+                          limit: int = 10) -> DataFrame:
     """Batch rate limiter, exact and parallel even for one hot key.
 
     Windows open at a key's first request; the next window opens at the
@@ -231,7 +231,7 @@ def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window
     filled = last_non_null(merged, ["key"], ["_us", "_kind", "event_id"], bucket, "_s", "_le")
     n_per_key = r.groupBy("key").agg(F.max("seq").alias("_n"))
     nxt = (filled.filter(F.col("_kind") == 1)
-           .join(n_per_key, "key")
+           .join(n_per_key.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")))
            .select("key", F.col("_q").alias("seq"),
                    F.when(F.coalesce("_le", F.lit(0)) + 1 <= F.col("_n"),
                           F.coalesce("_le", F.lit(0)) + 1).alias("nxt")))
@@ -239,23 +239,27 @@ def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window
     #    marked set holds the chain nodes at distance < 2^k; the jump by 2^k
     #    from them yields exactly the nodes at distance 2^k .. 2^(k+1)-1, so
     #    the rounds never overlap and the loop ends on the first empty step.
-    jump = nxt.checkpoint()
+    #    Jumps that leave the key's requests are dropped, so the jump table
+    #    shrinks from round to round. A null key is one key like any other.
+    jump = nxt.filter(F.col("nxt").isNotNull()).checkpoint()
     marked = r.filter(F.col("seq") == 1).select("key", "seq")
-    for rnd in range(max_rounds):
-        step = (marked.join(jump, ["key", "seq"]).filter(F.col("nxt").isNotNull())
-                .select("key", F.col("nxt").alias("seq")).checkpoint())
+    rnd = 0
+    while True:
+        m, j = marked.alias("m"), jump.alias("j")
+        step = (m.join(j, F.col("m.key").eqNullSafe(F.col("j.key")) & (F.col("m.seq") == F.col("j.seq")))
+                .select("m.key", F.col("j.nxt").alias("seq")).checkpoint())
         if step.isEmpty():
             break
         marked = marked.unionByName(step)
-        if rnd % 4 == 3:
+        rnd += 1
+        if rnd % 4 == 0:
             marked = marked.checkpoint()
-        j2 = jump.alias("a").join(jump.alias("b"), (F.col("a.key") == F.col("b.key"))
-                                  & (F.col("a.nxt") == F.col("b.seq")), "left")
-        jump = j2.select(F.col("a.key").alias("key"), F.col("a.seq").alias("seq"),
-                         F.col("b.nxt").alias("nxt")).checkpoint()
+        jump = (jump.alias("a").join(jump.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key"))
+                                     & (F.col("a.nxt") == F.col("b.seq")))
+                .select("a.key", "a.seq", "b.nxt").checkpoint())
     # 4. window start of every request = last marked position at or before it.
-    starts = marked.withColumn("_start", F.col("seq"))
-    tagged = r.join(starts, ["key", "seq"], "left")
+    starts = marked.select(F.col("key").alias("_k"), F.col("seq").alias("_start"))
+    tagged = r.join(starts, F.col("key").eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("_start")), "left")
     ff = last_non_null(tagged, ["key"], ["seq"], time_bucket("ts"), "_start", "_from")
     count = (F.col("seq") - F.col("_from") + 1).cast("long")
     return ff.select("key", "event_id", "ts", count.alias("count"),
@@ -337,8 +341,9 @@ def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str
 
     def sink(df, batch_id):
         spark = df.sparkSession
+        # Version n - 1 must be there for n > 0; a lost one fails the batch.
         prev = os.path.join(state_dir, f"batch_id={batch_id - 1}")
-        state = spark.read.parquet(prev) if batch_id > 0 and _path_exists(spark, prev) else opening
+        state = spark.read.parquet(prev) if batch_id > 0 else opening
         df = df.persist()   # read by the running sums and by the state delta
         try:
             alerts, new_state = low_stock_batch(df, state, inventory)
@@ -417,6 +422,13 @@ def stock_deduction_twin(status_events: DataFrame, frames: dict) -> DataFrame:
                                  frames["order_items"], frames["product_ingredients"], frames["inventory"])
 
 
+def read_written(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table a stream wrote to ``path``; empty only if it wrote nothing at all."""
+    if not _path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     """Drive a streaming frame to completion into a memory table (tests, smoke runs)."""
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
@@ -448,7 +460,4 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
              .outputMode("complete").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.schema(df.schema).parquet(out)
-    except Exception:  # noqa: BLE001 - no file written: the stream produced nothing
-        return spark.createDataFrame([], df.schema)
+    return read_written(spark, out, df.schema)

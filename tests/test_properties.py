@@ -120,7 +120,7 @@ def test_validate_constraints_finds_violations(spark):
 def test_load_tables_round_trip(spark, bound):
     d = tempfile.mkdtemp(prefix="mealops-load-")
     bound.vouchers.write.parquet(os.path.join(d, "vouchers.parquet"))
-    t = sinks.load_tables(spark, d)
+    t = sinks.load_tables(spark, d, ["vouchers"])
     assert list(t) == ["vouchers"]
     assert t["vouchers"].count() == bound.vouchers.count()
     assert "starts_at" in t["vouchers"].columns   # schema columns absent from the file read as NULL
