@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: Words and stripped margins: ASCII white space only (fixed by the contracts).
 SPACE = " \t\n\x0b\x0c\r"
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir`` (shared by all machines).
-
-    A folder of our own is set only where the setting is missing, which is
-    accepted on a local master (tests) and refused on a cluster.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        if base is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="mealops-llm-")
-        sc.setCheckpointDir(base)
-    return f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder under ``spark.checkpoint.dir`` (shared by all machines)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

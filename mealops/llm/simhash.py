@@ -27,7 +27,7 @@ Equal fingerprints are one node: copies do not multiply any of this.
 
 Variants travel in blocks: a task computes the variants of a block of
 fingerprints with numpy and sends, per bucket of the variants' hash, the
-fingerprints with (fingerprint, flip) number pairs, about 6 bytes a variant.
+fingerprints, how many variants each has there, and the flips' numbers.
 
 Defined cases: null or empty text, or no word -> fingerprint 0, linked like
 any other; fewer words than a shingle -> the whole word sequence is the only
@@ -87,13 +87,13 @@ def _fingerprints(size: int):
     return run
 
 
-def flips(radius: int) -> tuple[np.ndarray, int, int]:
-    """Masks to flip, by number of bits, and how many of them have no more than one and none bit."""
+def flips(radius: int) -> tuple[np.ndarray, int]:
+    """Masks to flip, by number of bits, and how many of them have at most one bit."""
     bit = [np.uint64(1) << np.uint64(i) for i in range(64)]
     none, one = [np.uint64(0)], bit if radius >= 1 else []
     two = [bit[i] | bit[j] for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)] \
         if radius >= 3 else []
-    return np.array([*none, *one, *two], np.uint64), len(none) + len(one), len(none)
+    return np.array([*none, *one, *two], np.uint64), len(none) + len(one)
 
 
 def _scatter(v: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,26 +102,29 @@ def _scatter(v: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _variants(radius: int, buckets: int):
-    """Batches of different fingerprints -> (bucket, fingerprints, index, flip) blocks."""
-    schema = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("at", pa.binary()), ("flip", pa.binary())])
+    """Batches of different fingerprints -> (bucket, fingerprints, variants of each, flips) blocks."""
+    schema = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("runs", pa.binary()), ("flip", pa.binary())])
 
     def block(fps: np.ndarray) -> pa.RecordBatch:
-        masks, short, _ = flips(radius)
+        masks, short = flips(radius)
         even = (np.bitwise_count(fps) & 1) == 0
         at, flip = [], []
         for rows, count in ((np.flatnonzero(~even), short), (np.flatnonzero(even), len(masks))):
             at.append(np.repeat(rows, count))
-            flip.append(np.tile(np.arange(count), len(rows)))
+            flip.append(np.tile(np.arange(count, dtype="<u2"), len(rows)))
         at, flip = np.concatenate(at), np.concatenate(flip)
-        bucket = _scatter(fps[at] ^ masks[flip], buckets)
-        order = np.argsort(bucket, kind="stable")
-        at, flip, bucket = at[order].astype("<u2"), flip[order].astype("<u2"), bucket[order]
+        place = _scatter(fps[at] ^ masks[flip], buckets) * _BLOCK + at     # by bucket, then by fingerprint
+        order = np.argsort(place, kind="stable")
+        place, flip = place[order], flip[order]
+        heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])       # one per (bucket, fingerprint)
+        runs = np.diff(np.r_[heads, len(place)]).astype("<u2")
+        bucket, own = place[heads] // _BLOCK, fps[place[heads] % _BLOCK]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         cols: list[list] = [[], [], [], []]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            used, own = np.unique(at[a:b], return_inverse=True)
-            for col, x in zip(cols, (int(bucket[a]), fps[used].tobytes(), own.astype("<u2").tobytes(),
-                                     flip[a:b].tobytes()), strict=True):
+            last = heads[b] if b < len(heads) else len(place)
+            for col, x in zip(cols, (int(bucket[a]), own[a:b].tobytes(), runs[a:b].tobytes(),
+                                     flip[heads[a]:last].tobytes()), strict=True):
                 col.append(x)
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -131,7 +134,7 @@ def _variants(radius: int, buckets: int):
             for low in range(0, len(fps), _BLOCK):
                 yield block(fps[low:low + _BLOCK])
 
-    return run, "bucket int, fps binary, at binary, flip binary"
+    return run, "bucket int, fps binary, runs binary, flip binary"
 
 
 def _stars(radius: int):
@@ -150,7 +153,7 @@ def _stars(radius: int):
         return np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, short, _ = flips(radius)
+        masks, short = flips(radius)
         held: dict[int, list] = {}
         bucket = None
 
@@ -159,11 +162,11 @@ def _stars(radius: int):
             return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for b, fps, at, flip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, fps, runs, flip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket is not None and b != bucket:
                     yield out()
                 bucket = b
-                own = np.frombuffer(fps, np.uint64)[np.frombuffer(at, "<u2")]
+                own = np.repeat(np.frombuffer(fps, np.uint64), np.frombuffer(runs, "<u2"))
                 held.setdefault(b, []).append((own, np.frombuffer(flip, "<u2")))
         if bucket is not None:
             yield out()
@@ -171,14 +174,15 @@ def _stars(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3, per_bucket: int = 2048) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 3, per_bucket: int = 4096) -> DataFrame:
     """``fps``: one long column of different fingerprints. Links (a, b) that span each group of fingerprints
     within ``radius`` bits; buckets hold the variants of about ``per_bucket`` fingerprints."""
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3")
-    buckets = max(1, -(-fps.count() // per_bucket))
+    n = fps.count()
+    buckets = max(1, -(-n // per_bucket))
     run, schema = _variants(radius, buckets)
-    blocks = fps.mapInArrow(run, schema)
+    blocks = fps.repartition(max(1, -(-n // _BLOCK)), fps.columns[0]).mapInArrow(run, schema)
     return (blocks.repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(_stars(radius), "a long, b long").distinct())
 
