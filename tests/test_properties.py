@@ -144,7 +144,7 @@ def test_hot_key_is_split_by_bucket(spark):
     from mealops.functions.windows import time_bucket
     out = prefix_sums(df, ["k"], ["ts", "i"], time_bucket("ts"), {"run": F.col("v")}, seq="seq")
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "__bucket" in plan and "hashpartitioning(k#" in plan
+    assert "__bucket" in plan and "hashpartitioning(__group#" in plan
     hot = sorted(r["run"] for r in out.filter("k = 0").collect())
     assert hot == list(range(1, len(hot) + 1))
 
