@@ -36,8 +36,11 @@ def notification_feed(notifications: DataFrame, users: DataFrame, k: int = 20) -
     # a proven bound, so it is broadcast and the few roles never become hot
     # shuffle keys.
     by_role = users.select("user_id", "role").join(F.broadcast(role_top), "role").drop("role")
-    both = own.unionByName(by_role).dropDuplicates(["user_id", "notification_id"])
+    # Own notices are cut to the newest k per user before the shuffle (a top-k window), so at
+    # most 2k rows per user remain to be merged and de-duplicated.
     w = Window.partitionBy("user_id").orderBy(*order)
+    own = own.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    both = own.unionByName(by_role).dropDuplicates(["user_id", "notification_id"])
     top = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     unread = top.groupBy("user_id").agg(F.count_if(~F.col("is_read")).alias("unread"))
     return top.join(unread, "user_id")

@@ -45,10 +45,10 @@ def row_scope_by_role(orders: DataFrame, viewers: DataFrame) -> DataFrame:
 
 
 def scope_predicate(role: str, user_id) -> Column:
-    """The same rule as a predicate for one viewer."""
+    """The same rule as a predicate for one viewer (``user_id``: a value or a scalar subquery)."""
     if role in STAFF_ROLES:
         return F.lit(True)
-    return F.col("user_id") == F.lit(user_id)
+    return F.col("user_id") == (user_id if isinstance(user_id, Column) else F.lit(user_id))
 
 
 def orders_listing(orders: DataFrame, users: DataFrame, *, role: str, user_id=None,
@@ -80,7 +80,7 @@ def item_counts(order_items: DataFrame) -> DataFrame:
 
 def my_orders(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """Each known user's orders with item_count (0 when the order has no items)."""
-    ic = item_counts(order_items).select("order_id", "item_count")
+    ic = order_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"))
     o = orders.filter(F.col("user_id").isNotNull())
     return (o.join(ic, "order_id", "left")
             .select("user_id", "order_id", "status", dbl("total").alias("total"),

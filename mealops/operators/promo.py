@@ -34,14 +34,19 @@ def voucher_redemption_rollup(vouchers: DataFrame, usages: DataFrame) -> DataFra
             .select("voucher_id", "code", F.coalesce("used", F.lit(0)).alias("used")))
 
 
+SALTS = 64
+
+
 def voucher_eligibility(users: DataFrame, orders: DataFrame, active_subs: DataFrame,
                         vouchers: DataFrame, *, as_of) -> DataFrame:
-    """(customer, voucher) pairs by the voucher's condition.
+    """(customer, voucher, scope) by the voucher's condition.
 
-    all: every customer; new_user / first_order: no earlier counting order
-    (not cancelled, created before as_of); subscription: an active plan.
-    Customers are tagged with the conditions they meet (one row per tag),
-    then joined on condition_type to the usable vouchers (small dimension).
+    all: every customer, as one row with ``user_id`` NULL and scope ``all``
+    (customers x vouchers would emit all pairs); new_user / first_order: no
+    earlier counting order (not cancelled, created before as_of);
+    subscription: an active plan. Customers are tagged with the conditions
+    they meet and joined to the usable vouchers on (condition, salt): three
+    conditions alone would be three hot keys.
     """
     cust = users.filter(F.col("role") == "customer").select("user_id")
     before = orders.filter((F.col("status") != "cancelled")
@@ -49,8 +54,12 @@ def voucher_eligibility(users: DataFrame, orders: DataFrame, active_subs: DataFr
                            & F.col("user_id").isNotNull()).select("user_id")
     fresh = cust.join(before, "user_id", "left_anti")
     subscribed = cust.join(active_subs.select("user_id"), "user_id", "left_semi")
-    tags = (cust.withColumn("cond", F.lit("all"))
-            .unionByName(fresh.withColumn("cond", F.explode(F.array(F.lit("new_user"), F.lit("first_order")))))
+    tags = (fresh.withColumn("cond", F.explode(F.array(F.lit("new_user"), F.lit("first_order"))))
             .unionByName(subscribed.withColumn("cond", F.lit("subscription"))))
+    tags = tags.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)))
     v = vouchers.filter(usable(as_of)).select("voucher_id", F.col("condition_type").alias("cond"))
-    return tags.join(v, "cond").select("user_id", "voucher_id")
+    everyone = v.filter(F.col("cond") == "all").select(F.lit(None).cast("bigint").alias("user_id"), "voucher_id",
+                                                       F.lit("all").alias("scope"))
+    salted = v.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    own = tags.join(salted, ["cond", "salt"]).select("user_id", "voucher_id", F.lit("own").alias("scope"))
+    return everyone.unionByName(own)

@@ -17,6 +17,7 @@ DOMAINS = {
     ("orders", "order_type"): ["online", "walkin"],
     ("orders", "status"): ["pending", "confirmed", "preparing", "ready", "delivering", "done", "cancelled"],
     ("orders", "payment_method"): ["cod", "bank", "momo", "zalopay", "cash"],
+    ("orders", "payment_status"): ["pending", "paid", "failed"],
     ("inventory_logs", "action_type"): ["import", "export", "adjust", "waste"],
     ("menu_schedule", "meal_type"): ["breakfast", "lunch", "dinner", "snack"],
     ("vouchers", "discount_type"): ["percent", "fixed"],
@@ -29,9 +30,17 @@ NOT_NULL = {
     "orders": ["order_id", "order_code", "status", "order_type"],
     "inventory": ["inventory_id", "inventory_code", "name", "quantity"],
     "vouchers": ["voucher_id", "code", "discount_type", "discount_value"],
+    "order_items": ["order_id", "product_id", "quantity"],
+    "subscriptions": ["user_id", "plan_id", "start_date", "end_date"],
+    "inventory_logs": ["inventory_id", "action_type", "quantity_change"],
+    "product_ingredients": ["product_id", "inventory_id", "qty_per_portion"],
+    "menu_schedule": ["schedule_date", "product_id", "meal_type"],
+    "voucher_usages": ["voucher_id", "order_id"],
+    "pings": ["order_id", "shipper_id", "latitude", "longitude"],
 }
 
 UNIQUE = {
+    "users": [["email"]],
     "orders": [["order_code"]],
     "inventory": [["inventory_code"]],
     "vouchers": [["code"]],
@@ -53,6 +62,10 @@ FOREIGN_KEYS = [
     ("pings", ["shipper_id"], "shippers", ["shipper_id"], ["event_id"]),
     ("voucher_usages", ["voucher_id"], "vouchers", ["voucher_id"], ["usage_id"]),
     ("voucher_usages", ["order_id"], "orders", ["order_id"], ["usage_id"]),
+    ("voucher_usages", ["user_id"], "users", ["user_id"], ["usage_id"]),
+    ("menu_schedule", ["product_id"], "products", ["product_id"], ["schedule_id"]),
+    ("inventory_logs", ["inventory_id"], "inventory", ["inventory_id"], ["inventory_id", "order_id", "line_no"]),
+    ("pings", ["order_id"], "orders", ["order_id"], ["event_id"]),
 ]
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import days_until, dbl, expiry_status, lit_date, ratio, stock_status, with_scalars
 from ..functions.windows import last_non_null, prefix_sums, time_bucket
 
 
-def inventory_by_category(inventory: DataFrame, category: str | None = None) -> DataFrame:
-    inv = inventory if not category or category == "all" else inventory.filter(F.col("category") == category)
+def inventory_by_category(inventory: DataFrame, category: str | Column | None = None) -> DataFrame:
+    """Items of one category (a name, or a scalar subquery); None or ``all`` keeps every item."""
+    every = category is None or (isinstance(category, str) and category in ("", "all"))
+    inv = inventory if every else inventory.filter(F.col("category") == category)
     return inv.select("inventory_id", "name")
 
 
@@ -123,6 +125,17 @@ def low_stock_crossings(logs: DataFrame, inventory: DataFrame) -> DataFrame:
             .drop("min_quantity"))
 
 
+def low_stock_notifications(crossings: DataFrame, inventory: DataFrame) -> DataFrame:
+    """One admin notice per ledger row that takes an item to or below its minimum."""
+    # Role, type, title and the words of the message.
+    inv = inventory.select("inventory_id", "name")
+    left = F.col("after").cast("decimal(18,2)").cast("string")
+    return crossings.join(inv, "inventory_id").select(
+        "inventory_id", "order_id", "line_no", "created_at", F.lit("admin").alias("target_role"),
+        F.lit("inventory_alert").alias("type"), F.lit("Cảnh báo kho nguyên liệu").alias("title"),
+        F.concat(F.lit('Nguyên liệu "'), F.col("name"), F.lit('" còn '), left, F.lit(" (dưới mức tối thiểu)")).alias("message"))
+
+
 def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000) -> DataFrame:
     """First-in-first-out allocation of needs to stock batches, per item.
 

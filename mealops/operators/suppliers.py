@@ -33,14 +33,9 @@ def supplier_shelf_life(inventory: DataFrame) -> DataFrame:
 
 
 def supplier_deliveries(logs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Goods receipts per supplier and day: count, quantity and the distinct item names.
-
-    The name list is the distinct set of items one supplier delivered on one
-    day (bounded by the supplier's catalogue), sorted and joined as text.
-    """
+    """Goods receipts per supplier, day and item name: count and quantity (no list is gathered)."""
     inv = inventory.select("inventory_id", "supplier_id", "name")
     r = (logs.filter(F.col("action_type") == "import")
          .join(inv, "inventory_id").filter(F.col("supplier_id").isNotNull()))
-    return r.groupBy("supplier_id", F.to_date("created_at").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity_change").alias("qty"),
-        F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("items"))
+    return r.groupBy("supplier_id", F.to_date("created_at").alias("day"), F.col("name").alias("item")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity_change").alias("qty"))

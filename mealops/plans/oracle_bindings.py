@@ -166,6 +166,35 @@ SELECT l_orderkey AS order_id, l_linenumber AS line_no,
        || ',"notes":"n' || CAST(l_linenumber AS VARCHAR) || '","price":1.5},{"product_id":'
        || CAST(l_suppkey AS VARCHAR) || ',"qty":1}]' AS items_json
 FROM lineitem""",
+    "voucher_feed": """
+SELECT CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE ' ' || lower(coalesce(v.code, 'new' || CAST(s_suppkey % 40 AS VARCHAR))) || ' ' END AS code,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'percent' ELSE 'fixed' END AS discount_type,
+       CAST(5 + s_suppkey % 20 AS DECIMAL(10,2)) AS discount_value, CAST(NULL AS DECIMAL(10,0)) AS min_order, s_suppkey AS seq
+FROM supplier LEFT JOIN vouchers v ON v.voucher_id = s_suppkey % 40""",
+    "supplier_feed": """
+SELECT c_custkey % 150 AS supplier_id, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'supplier ' || CAST(c_custkey AS VARCHAR) END AS name,
+       CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'new contact ' || CAST(c_custkey AS VARCHAR) END AS contact_name, c_custkey AS seq
+FROM customer""",
+    "checked_users": """
+SELECT user_id, CASE WHEN user_id % 41 = 0 THEN NULL ELSE full_name END AS full_name,
+       CASE WHEN user_id % 43 = 0 THEN 'guest' ELSE role END AS role, is_active,
+       'u' || CAST(CASE WHEN user_id % 37 = 0 THEN 0 ELSE user_id END AS VARCHAR) || '@mail.test' AS email FROM users""",
+    "checked_orders": """
+SELECT order_id, order_code, CASE WHEN order_id % 83 = 0 THEN user_id + 100000000 ELSE user_id END AS user_id, status, order_type,
+       CASE WHEN order_id % 97 = 0 THEN 'card' ELSE payment_method END AS payment_method,
+       CASE WHEN order_id % 89 = 0 THEN 'lost' WHEN order_id % 3 = 0 THEN 'paid' ELSE 'pending' END AS payment_status FROM orders_b""",
+    "checked_order_items": """
+SELECT l_orderkey AS order_id, l_linenumber AS line_no,
+       CASE WHEN l_linenumber = 7 THEN l_partkey + 100000000 ELSE l_partkey END AS product_id,
+       CAST(l_quantity AS INT) AS quantity FROM lineitem""",
+    "checked_vouchers": """
+SELECT voucher_id, CASE WHEN voucher_id % 11 = 0 THEN 'TWICE' ELSE code END AS code, discount_type, discount_value, condition_type
+FROM vouchers""",
+    "checked_voucher_usages": """
+SELECT usage_id, CASE WHEN usage_id % 79 = 0 THEN 99 ELSE voucher_id END AS voucher_id, order_id, user_id FROM voucher_usages""",
+    "checked_subscriptions": """
+SELECT subscription_id, user_id, CASE WHEN subscription_id % 71 = 0 THEN 9 ELSE plan_id END AS plan_id, status, period, start_date, end_date
+FROM subscriptions""",
     "order_requests": """
 SELECT v.order_id, v.user_id, v.created_at, v.voucher_code, o.order_type, o.payment_method, o.delivery_timeslot
 FROM voucher_requests v JOIN orders_b o ON o.order_id = v.order_id""",

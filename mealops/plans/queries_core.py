@@ -53,6 +53,17 @@ def q_orders_listing(b):
                                   order_type="online", limit="500")
 
 
+@register("orders_listing_customer", """
+, t AS (SELECT * FROM orders_b WHERE user_id = (SELECT min(user_id) FROM orders_b) ORDER BY created_at DESC, order_id DESC LIMIT 50)
+SELECT t.order_id, t.status, t.order_type, CAST(t.subtotal AS DOUBLE) AS subtotal,
+       CAST(t.total AS DOUBLE) AS total, t.created_at, u.full_name AS customer_name
+FROM t LEFT JOIN users u ON u.user_id = t.user_id""")
+def q_orders_listing_customer(b):
+    """A customer sees only their own orders (here the customer with the smallest id)."""
+    me = b.orders.agg(F.min("user_id")).scalar()
+    return ord_ops.orders_listing(b.orders, b.users, role="customer", user_id=me)
+
+
 @register("row_scope_by_role", """
 SELECT user_id AS viewer_id, role, CAST(NULL AS BIGINT) AS order_id, 'all' AS scope
 FROM users WHERE role IN ('admin', 'kitchen')
@@ -69,7 +80,7 @@ SELECT o.user_id, o.order_id, o.status, CAST(o.total AS DOUBLE) AS total,
        coalesce(ic.item_count, 0) AS item_count, o.created_at
 FROM orders_b o LEFT JOIN ic ON ic.order_id = o.order_id WHERE o.user_id IS NOT NULL""")
 def q_my_orders(b):
-    return ord_ops.my_orders(b.orders, b.order_items)
+    return ord_ops.my_orders(b.orders, b.order_lines)
 
 
 @register("orders_by_status", "SELECT order_id, status FROM orders_b WHERE status = 'preparing'")
@@ -235,10 +246,8 @@ def _inv_status(b):
 @register("inventory_by_category", """
 SELECT inventory_id, name FROM inventory WHERE category = (SELECT min(category) FROM inventory)""")
 def q_inventory_by_category(b):
-    # The category chosen is the first one in name order, found by a
-    # one-row aggregate joined back (no value passes through the driver).
-    first = b.inventory.agg(F.min("category").alias("category"))
-    return b.inventory.join(F.broadcast(first), "category", "left_semi").select("inventory_id", "name")
+    # The first category in name order, as a scalar subquery.
+    return stock.inventory_by_category(b.inventory, b.inventory.agg(F.min("category")).scalar())
 
 
 @register("inventory_status", f"""
@@ -298,7 +307,7 @@ BOM_SQL = """bom AS (SELECT pi.inventory_id, oi.order_id, sum(oi.quantity * pi.q
 
 
 def _bom(b):
-    return stock.bom_explosion(b.orders, b.order_items, b.product_ingredients, b.inventory, status="preparing")
+    return stock.bom_explosion(b.orders, b.order_lines, b.product_ingredients, b.inventory, status="preparing")
 
 
 @register("bom_explosion", f", {BOM_SQL} SELECT inventory_id, order_id, CAST(need AS DOUBLE) AS need FROM bom")
@@ -326,6 +335,18 @@ def q_stock_running_balance(b):
     return stock.stock_running_balance(b.inventory_logs)
 
 
+@register("low_stock_notifications", f"""
+, r AS (SELECT l.*, sum(quantity_change) OVER (PARTITION BY inventory_id {LEDGER_ORDER_SQL}) AS run FROM inventory_logs l),
+x AS (SELECT r.*, i.name, i.quantity + r.run - r.quantity_change AS before, i.quantity + r.run AS after, i.min_quantity
+      FROM r JOIN inventory i ON i.inventory_id = r.inventory_id)
+SELECT inventory_id, order_id, line_no, created_at, 'admin' AS target_role, 'inventory_alert' AS type,
+       'Cảnh báo kho nguyên liệu' AS title,
+       'Nguyên liệu "' || name || '" còn ' || CAST(CAST(after AS DECIMAL(18,2)) AS VARCHAR) || ' (dưới mức tối thiểu)' AS message
+FROM x WHERE before > min_quantity AND after <= min_quantity""")
+def q_low_stock_notifications(b):
+    return stock.low_stock_notifications(stock.low_stock_crossings(b.inventory_logs, b.inventory), b.inventory)
+
+
 @register("low_stock_crossings", f"""
 , r AS (SELECT l.*, sum(quantity_change) OVER (PARTITION BY inventory_id {LEDGER_ORDER_SQL}) AS run FROM inventory_logs l),
 x AS (SELECT r.inventory_id, r.order_id, r.line_no, r.created_at, i.quantity + r.run - r.quantity_change AS before,

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import quality
+from ..session import checkpoint_dir
 from ..sources import sinks
 from .catalog import register
 
@@ -20,8 +25,16 @@ KEY_COLS = {"users": ["user_id"], "products": ["product_id"], "orders": ["order_
             "inventory_logs": ["inventory_id", "order_id", "line_no"]}
 
 
+# The tables whose checked version holds rows that break the rules.
+CHECKED = ("users", "orders", "order_items", "vouchers", "voucher_usages", "subscriptions")
+
+
+def _checked_sql(table: str) -> str:
+    return f"checked_{table}" if table in CHECKED else SQL_NAME.get(table, table)
+
+
 def _frames(b):
-    return {t: getattr(b, t) for t in KEY_COLS}
+    return b.checked
 
 
 @register("load_tables", "\nUNION ALL\n".join(
@@ -30,15 +43,21 @@ def q_load_tables(b):
     return sinks.table_counts({t: getattr(b, t) for t in BOUND_TABLES})
 
 
-CSV_COLS = ["voucher_id", "code", "discount_type", "max_uses", "expires_at"]
+CSV_COLS = ["order_id", "order_code", "user_id", "status", "order_type", "payment_method"]
 
 
 @register("export_csv", f"""
 SELECT '{",".join(CSV_COLS)}' AS line
 UNION ALL
-SELECT {" || ',' || ".join(f"'\"' || replace(coalesce(CAST({c} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for c in CSV_COLS)} FROM vouchers""")
+SELECT {" || ',' || ".join(f"'\"' || replace(coalesce(CAST({c} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for c in CSV_COLS)} FROM orders_b""")
 def q_export_csv(b):
-    return sinks.csv_lines(b.vouchers.select(*CSV_COLS))
+    """The files are written and read back; every part opens with BOM and header, shown once."""
+    path = f"{checkpoint_dir(b.spark)}/export-{uuid.uuid4().hex[:12]}"
+    sinks.export_csv(b.orders.select(*CSV_COLS), path)
+    lines = b.spark.read.text(path).withColumnRenamed("value", "line")
+    head = F.col("line").startswith(sinks.BOM)
+    header = lines.filter(head).select(F.replace("line", F.lit(sinks.BOM), F.lit("")).alias("line")).distinct()
+    return lines.filter(~head).unionByName(header)
 
 
 @register("append_receipts", """
@@ -51,6 +70,24 @@ def q_append_receipts(b):
     return inv
 
 
+@register("append_receipts_logs", """
+SELECT receipt_id + 10000000 AS inventory_id, 'import' AS action_type, CAST(quantity AS DOUBLE) AS quantity_change,
+       CAST(quantity AS DOUBLE) AS quantity_after, 'goods receipt' AS reason, TIMESTAMP '2001-08-01 08:00:00' AS created_at
+FROM receipts WHERE name IS NOT NULL AND quantity > 0 AND expiry_date IS NOT NULL""")
+def q_append_receipts_logs(b):
+    return sinks.receipt_rows(b.receipts, as_of="2001-08-01 08:00:00", id_offset=10000000)[1]
+
+
+@register("apply_stock_adjustments_logs", """
+, last AS (SELECT inventory_code, quantity, reason FROM (
+    SELECT *, row_number() OVER (PARTITION BY inventory_code ORDER BY ts DESC, event_id DESC) AS rn FROM adjustments) t WHERE rn = 1)
+SELECT i.inventory_id, 'adjust' AS action_type, CAST(l.quantity - i.quantity AS DOUBLE) AS quantity_change,
+       CAST(l.quantity AS DOUBLE) AS quantity_after, l.reason, TIMESTAMP '2001-08-01 09:00:00' AS created_at
+FROM inventory i JOIN last l ON l.inventory_code = i.inventory_code""")
+def q_apply_stock_adjustments_logs(b):
+    return sinks.apply_stock_adjustments(b.inventory, b.adjustments, as_of="2001-08-01 09:00:00")[1]
+
+
 @register("apply_stock_adjustments", """
 , last AS (SELECT inventory_code, quantity FROM (
     SELECT *, row_number() OVER (PARTITION BY inventory_code ORDER BY ts DESC, event_id DESC) AS rn FROM adjustments) t WHERE rn = 1)
@@ -78,6 +115,63 @@ def q_merge_dimension(b):
     return merged
 
 
+@register("merge_dimension_rejects", """
+SELECT product_id, name, CAST(price AS DOUBLE) AS price, calories, ts, seq1, seq2, 'missing name' AS reason
+FROM product_feed WHERE name IS NULL""")
+def q_merge_dimension_rejects(b):
+    cur = b.products.select("product_id", "name", "price", "calories")
+    return sinks.merge_dimension(cur, b.product_feed, key="product_id", required=["name"],
+                                 order=["ts", "seq1", "seq2", "price"], defaults={"calories": 0})[1]
+
+
+VOUCHER_COLS = ["code", "discount_type", "discount_value", "min_order"]
+VOUCHER_FEED_SQL = """vf AS (SELECT upper(trim(code)) AS code, discount_type, discount_value, min_order, seq FROM voucher_feed),
+good AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq DESC) AS rn FROM vf
+         WHERE code IS NOT NULL AND discount_type IS NOT NULL AND discount_value IS NOT NULL),
+f AS (SELECT * FROM good WHERE rn = 1),
+c AS (SELECT code, discount_type, discount_value, min_order FROM vouchers)"""
+
+
+def _merged_vouchers(b):
+    return sinks.merge_dimension(b.vouchers.select(*VOUCHER_COLS), b.voucher_feed, key="code",
+                                 required=["discount_type", "discount_value"], order=["seq"], defaults={"min_order": 0},
+                                 upper_key=True, reject_duplicate_new=True)
+
+
+@register("merge_vouchers", f"""
+, {VOUCHER_FEED_SQL}
+SELECT coalesce(c.code, f.code) AS code, coalesce(f.discount_type, c.discount_type) AS discount_type,
+       CAST(coalesce(f.discount_value, c.discount_value) AS DOUBLE) AS discount_value,
+       CAST(CASE WHEN c.code IS NULL THEN coalesce(f.min_order, 0) ELSE coalesce(f.min_order, c.min_order) END AS DOUBLE) AS min_order
+FROM c FULL OUTER JOIN f ON f.code = c.code""")
+def q_merge_vouchers(b):
+    """The marketing feed: codes are trimmed and upper-cased, the last valid row of a code wins."""
+    return _merged_vouchers(b)[0]
+
+
+@register("merge_vouchers_rejects", f"""
+, {VOUCHER_FEED_SQL}
+SELECT code, discount_type, CAST(discount_value AS DOUBLE) AS discount_value, CAST(min_order AS DOUBLE) AS min_order, seq,
+       CASE WHEN code IS NULL THEN 'missing code' WHEN discount_type IS NULL THEN 'missing discount_type' END AS reason
+FROM vf WHERE code IS NULL OR discount_type IS NULL
+UNION ALL
+SELECT code, discount_type, CAST(discount_value AS DOUBLE), CAST(min_order AS DOUBLE), seq, 'duplicate new key'
+FROM good WHERE rn > 1 AND code NOT IN (SELECT code FROM c)""")
+def q_merge_vouchers_rejects(b):
+    return _merged_vouchers(b)[1]
+
+
+@register("merge_suppliers", """
+, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY seq DESC) AS rn
+                       FROM supplier_feed WHERE name IS NOT NULL) t WHERE rn = 1)
+SELECT coalesce(c.supplier_id, f.supplier_id) AS supplier_id, coalesce(f.name, c.name) AS name,
+       coalesce(f.contact_name, c.contact_name) AS contact_name
+FROM suppliers c FULL OUTER JOIN f ON f.supplier_id = c.supplier_id""")
+def q_merge_suppliers(b):
+    return sinks.merge_dimension(b.suppliers.select("supplier_id", "name", "contact_name"), b.supplier_feed,
+                                 key="supplier_id", required=["name"], order=["seq"])[0]
+
+
 def _sql_key(cols):
     return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
 
@@ -85,7 +179,7 @@ def _sql_key(cols):
 def _fk_sql():
     parts = []
     for child, ccols, parent, pcols, kcols in quality.FOREIGN_KEYS:
-        ct, pt = SQL_NAME.get(child, child), SQL_NAME.get(parent, parent)
+        ct, pt = _checked_sql(child), _checked_sql(parent)
         cond = " AND ".join(f"p.{a} = c.{b}" for a, b in zip(pcols, ccols))
         nn = " AND ".join(f"c.{x} IS NOT NULL" for x in ccols)
         key = " || '|' || ".join(f"coalesce(CAST(c.{k} AS VARCHAR), '')" for k in kcols)
@@ -99,13 +193,13 @@ def _validate_sql():
     for (t, c), allowed in quality.DOMAINS.items():
         vals = ", ".join(f"'{v}'" for v in allowed)
         parts.append(f"SELECT '{t}' AS table_name, 'check_{c}' AS rule, {_sql_key(KEY_COLS[t])} AS key "
-                     f"FROM {SQL_NAME.get(t, t)} WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})")
+                     f"FROM {_checked_sql(t)} WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})")
     for t, cols in quality.NOT_NULL.items():
         for c in cols:
-            parts.append(f"SELECT '{t}', 'not_null_{c}', {_sql_key(KEY_COLS[t])} FROM {SQL_NAME.get(t, t)} WHERE {c} IS NULL")
+            parts.append(f"SELECT '{t}', 'not_null_{c}', {_sql_key(KEY_COLS[t])} FROM {_checked_sql(t)} WHERE {c} IS NULL")
     for t, groups in quality.UNIQUE.items():
         for cols in groups:
-            parts.append(f"SELECT '{t}', 'unique_{'_'.join(cols)}', {_sql_key(cols)} FROM {SQL_NAME.get(t, t)} "
+            parts.append(f"SELECT '{t}', 'unique_{'_'.join(cols)}', {_sql_key(cols)} FROM {_checked_sql(t)} "
                          f"GROUP BY {', '.join(cols)} HAVING count(*) > 1")
     return "\nUNION ALL\n".join(parts + _fk_sql())
 

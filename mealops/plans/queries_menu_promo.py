@@ -66,7 +66,7 @@ SELECT m.schedule_date, m.product_id, m.meal_type, m.max_quantity, coalesce(s.so
        greatest(m.max_quantity - coalesce(s.sold, 0), 0) AS remaining, coalesce(s.sold, 0) >= m.max_quantity AS sold_out
 FROM menu_schedule m LEFT JOIN sold s ON s.schedule_date = m.schedule_date AND s.product_id = m.product_id""")
 def q_menu_capacity(b):
-    return menu.menu_capacity(b.menu_schedule, b.order_items, b.orders)
+    return menu.menu_capacity(b.menu_schedule, b.order_lines, b.orders)
 
 
 ACTIVE_SUBS_SQL = """asub AS (SELECT * FROM subscriptions WHERE status = 'active' AND DATE '2024-01-20' BETWEEN start_date AND end_date)"""
@@ -339,10 +339,11 @@ def q_voucher_redemption_rollup(b):
 cust AS (SELECT user_id FROM users WHERE role = 'customer'),
 fresh AS (SELECT user_id FROM cust WHERE user_id NOT IN (SELECT user_id FROM orders_b WHERE status <> 'cancelled'
             AND created_at < TIMESTAMP '2001-08-01' AND user_id IS NOT NULL)),
-tags AS (SELECT user_id, 'all' AS cond FROM cust
-         UNION ALL SELECT user_id, 'new_user' FROM fresh UNION ALL SELECT user_id, 'first_order' FROM fresh
+tags AS (SELECT user_id, 'new_user' AS cond FROM fresh UNION ALL SELECT user_id, 'first_order' FROM fresh
          UNION ALL SELECT user_id, 'subscription' FROM cust WHERE user_id IN (SELECT user_id FROM asub))
-SELECT t.user_id, v.voucher_id FROM tags t JOIN vouchers v ON v.condition_type = t.cond WHERE {USABLE_SQL.replace('is_active', 'v.is_active')}""")
+SELECT t.user_id, v.voucher_id, 'own' AS scope FROM tags t JOIN vouchers v ON v.condition_type = t.cond
+WHERE {USABLE_SQL.replace('is_active', 'v.is_active')}
+UNION ALL SELECT NULL, voucher_id, 'all' FROM vouchers WHERE condition_type = 'all' AND {USABLE_SQL}""")
 def q_voucher_eligibility(b):
     return promo.voucher_eligibility(b.users, b.orders, _active_subs(b), b.vouchers, as_of=STOCK_AS_OF)
 

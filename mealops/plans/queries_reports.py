@@ -131,10 +131,10 @@ def q_supplier_shelf_life(b):
 
 
 @register("supplier_deliveries", """
-SELECT i.supplier_id, CAST(l.created_at AS DATE) AS day, count(*) AS n, CAST(sum(l.quantity_change) AS DOUBLE) AS qty,
-       array_to_string(list_sort(list_distinct(list(i.name))), ', ') AS items
+SELECT i.supplier_id, CAST(l.created_at AS DATE) AS day, i.name AS item, count(*) AS n,
+       CAST(sum(l.quantity_change) AS DOUBLE) AS qty
 FROM inventory_logs l JOIN inventory i ON i.inventory_id = l.inventory_id
-WHERE l.action_type = 'import' AND i.supplier_id IS NOT NULL GROUP BY 1, 2""")
+WHERE l.action_type = 'import' AND i.supplier_id IS NOT NULL GROUP BY 1, 2, 3""")
 def q_supplier_deliveries(b):
     return suppliers.supplier_deliveries(b.inventory_logs, b.inventory)
 
@@ -169,7 +169,7 @@ SELECT pp.product_id, p.name AS product_name, pp.total_portions, p.calories AS c
        CAST(pp.total_portions * p.fat_g AS DOUBLE) AS fat_needed_g
 FROM pp JOIN products p ON p.product_id = pp.product_id""")
 def q_nutrient_needs(b):
-    return reports.nutrient_needs(b.orders, b.order_items, b.products, date_from="1998-01-01", date_to="1998-03-31")
+    return reports.nutrient_needs(b.orders, b.order_lines, b.products, date_from="1998-01-01", date_to="1998-03-31")
 
 
 @register("dashboard_kpi", """
@@ -210,7 +210,7 @@ j AS (SELECT per.*, p.name, from_json(p.health_tags, '["VARCHAR"]')[1] AS catego
 SELECT product_id, name, category, orders, sold, CAST(revenue AS DOUBLE) AS revenue,
        CAST(revenue AS DOUBLE) * 100.0 / CAST((SELECT sum(revenue) FROM j) AS DOUBLE) AS share FROM j""")
 def q_product_performance(b):
-    return reports.product_performance(b.order_items, b.products)
+    return reports.product_performance(b.order_lines, b.products)
 
 
 @register("top_products", """
@@ -218,7 +218,7 @@ def q_product_performance(b):
 SELECT CAST(row_number() OVER (ORDER BY s.sold DESC, s.product_id) AS INT) AS rank, s.product_id, p.name, s.sold
 FROM s JOIN products p ON p.product_id = s.product_id""")
 def q_top_products(b):
-    return reports.top_products(b.order_items, b.products)
+    return reports.top_products(b.order_lines, b.products)
 
 
 @register("health_goal_share", """
@@ -227,7 +227,7 @@ def q_top_products(b):
         WHERE o.status <> 'cancelled' GROUP BY 1)
 SELECT goal, n, n / CAST((SELECT sum(n) FROM g) AS DOUBLE) AS share, n = (SELECT max(n) FROM g) AS is_top FROM g""")
 def q_health_goal_share(b):
-    return reports.health_goal_share(b.orders, b.order_items, b.products)
+    return reports.health_goal_share(b.orders, b.order_lines, b.products)
 
 
 @register("hourly_profile", """
@@ -283,7 +283,7 @@ bd AS (SELECT isodow(day) AS dow, sum(q) AS q FROM pd WHERE day >= DATE '1998-08
 SELECT CAST(sp.dow AS INT) AS dow, coalesce(CAST(bd.q AS DOUBLE), 0.0) / sp.k * coalesce(CAST(t.c AS DOUBLE) / nullif(CAST(t.p AS DOUBLE), 0.0), 1.0) AS portions
 FROM sp LEFT JOIN bd ON bd.dow = sp.dow, t""")
 def q_demand_forecast(b):
-    return reports.demand_forecast(b.orders, b.order_items, as_of="1998-08-01", days=30)
+    return reports.demand_forecast(b.orders, b.order_lines, as_of="1998-08-01", days=30)
 
 
 @register("daily_revenue_series", """

@@ -64,7 +64,7 @@ def q_stock_deduction_stream(b):
     import uuid
 
     from ..session import checkpoint_dir
-    frames = {"orders": b.orders, "order_items": b.order_items,
+    frames = {"orders": b.orders, "order_items": b.order_lines,
               "product_ingredients": b.product_ingredients, "inventory": b.inventory}
     base = os.path.join(checkpoint_dir(b.spark), "streams", f"stock_deduction-{uuid.uuid4().hex[:12]}")
     q = S.stock_deduction_stream(_status_stream(b), frames, os.path.join(base, "ledger"), os.path.join(base, "ck"))
@@ -74,6 +74,23 @@ def q_stock_deduction_stream(b):
     return S.read_written(b.spark, os.path.join(base, "ledger"), schema)
 
 
+@register("stock_after_deduction_stream", """
+, tr AS (SELECT order_id FROM (
+    SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS prev_status FROM status_events) t
+    WHERE status = 'preparing' AND prev_status IS NOT NULL AND prev_status <> 'preparing'),
+used AS (SELECT pi.inventory_id, sum(oi.quantity * pi.qty_per_portion) AS used
+         FROM tr JOIN orders_b o ON o.order_id = tr.order_id JOIN order_items oi ON oi.order_id = tr.order_id
+         JOIN product_ingredients pi ON pi.product_id = oi.product_id GROUP BY 1)
+SELECT i.inventory_id, CAST(CASE WHEN u.used IS NULL THEN i.quantity ELSE greatest(i.quantity - u.used, 0) END AS DOUBLE) AS quantity
+FROM inventory i LEFT JOIN used u ON u.inventory_id = i.inventory_id""")
+def q_stock_after_deduction_stream(b):
+    """Stock after the streamed deductions: only exports are applied, so one floor at 0 equals one per step."""
+    from ..operators import stock
+    used = (q_stock_deduction_stream(b).groupBy("inventory_id")
+            .agg(F.sum(-F.col("quantity_change")).alias("need")))
+    return stock.stock_update_from(b.inventory, used)
+
+
 @register("low_stock_alert_stream", """
 , r AS (SELECT l.*, sum(quantity_change) OVER (PARTITION BY inventory_id ORDER BY created_at, order_id, line_no, action_type,
           quantity_change ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM inventory_logs l),
@@ -142,3 +159,18 @@ SELECT key, event_id, ts, CAST(cnt AS BIGINT) AS count, CAST(greatest(0, {RATE_M
        cnt > {RATE_MAX} AS blocked FROM f""", recursive=True)
 def q_rate_limit_violations(b):
     return S.rate_limit_violations(b.raw("events"), key_col="user_id", window_ms=RATE_W, limit=RATE_MAX)
+
+
+@register("rate_limit_stream", f"""
+, r AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, epoch_us(ts) AS us,
+          row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+f AS (SELECT key, event_id, ts, rn, us, 1 AS cnt, us + {RATE_W * 1000} AS reset FROM r WHERE rn = 1
+      UNION ALL
+      SELECT r.key, r.event_id, r.ts, r.rn, r.us, CASE WHEN r.us > f.reset THEN 1 ELSE f.cnt + 1 END,
+             CASE WHEN r.us > f.reset THEN r.us + {RATE_W * 1000} ELSE f.reset END
+      FROM f JOIN r ON r.key = f.key AND r.rn = f.rn + 1)
+SELECT key, event_id, ts, CAST(cnt AS BIGINT) AS count, CAST(greatest(0, {RATE_MAX} - cnt) AS BIGINT) AS remaining,
+       cnt > {RATE_MAX} AS blocked FROM f""", recursive=True)
+def q_rate_limit_stream(b):
+    ev = S.read_table_stream(b.spark, b.sf_dir, "events")
+    return S.run_to_table(S.rate_limit_stream(ev, key_col="user_id", window_ms=RATE_W, limit=RATE_MAX), "rate_limit_stream")

@@ -140,6 +140,14 @@ class Bound:
             p.fat_g.alias("fat_snapshot"),
         )
 
+    @cached_property
+    def order_lines(self) -> DataFrame:
+        """Order items without the product snapshots: one scan, no join."""
+        return self.raw("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
+            F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
+            _dec(F.col("l_extendedprice"), 18, 2).alias("subtotal"))
+
     @cached_property
     def suppliers(self) -> DataFrame:
         s = self.raw("supplier")
@@ -412,6 +420,55 @@ class Bound:
             (F.col("l_suppkey") % 10).alias("supplier_id"),
             _dec(F.col("l_extendedprice"), 18, 2).alias("unit_price"))
 
+    @cached_property
+    def voucher_feed(self) -> DataFrame:
+        """A marketing feed: codes in mixed case with blanks, new, repeated and incomplete rows."""
+        s = self.raw("supplier")
+        k, n = F.col("s_suppkey"), F.col("s_suppkey") % 40
+        names = self.vouchers.select(F.col("voucher_id").alias("_v"), F.col("code").alias("_c"))
+        j = s.join(names, n == F.col("_v"), "left")
+        code = F.when(k % 9 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), F.lower(F.coalesce(
+            F.col("_c"), F.concat(F.lit("new"), n.cast("string")))), F.lit(" ")))
+        return j.select(code.alias("code"),
+                        F.when(k % 7 == 0, F.lit(None)).when(k % 2 == 0, "percent").otherwise("fixed").alias("discount_type"),
+                        _dec(F.lit(5) + k % 20, 10, 2).alias("discount_value"),
+                        F.lit(None).cast("decimal(10,0)").alias("min_order"), k.alias("seq"))
+
+    @cached_property
+    def supplier_feed(self) -> DataFrame:
+        """A supplier feed from customers: known ids are renamed, new ids are added, some lack a name."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        return c.select((k % 150).alias("supplier_id"),
+                        F.when(k % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit("supplier "), k.cast("string"))).alias("name"),
+                        F.when(k % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("new contact "), k.cast("string")))
+                        .alias("contact_name"), k.alias("seq"))
+
+    @cached_property
+    def checked(self) -> dict[str, DataFrame]:
+        """Frames for the constraint checks, with rows that break the rules."""
+        o, u, v, s = self.orders, self.users, self.vouchers, self.subscriptions
+        oid, uid, vid = F.col("order_id"), F.col("user_id"), F.col("voucher_id")
+        lines = self.order_lines.withColumn("product_id", F.when(F.col("line_no") == 7, F.col("product_id") + 100000000)
+                                            .otherwise(F.col("product_id")))
+        return {
+            "users": u.withColumn("full_name", F.when(uid % 41 == 0, F.lit(None)).otherwise(F.col("full_name")))
+                      .withColumn("role", F.when(uid % 43 == 0, "guest").otherwise(F.col("role")))
+                      .withColumn("email", F.concat(F.lit("u"), F.when(uid % 37 == 0, F.lit(0)).otherwise(uid).cast("string"),
+                                                    F.lit("@mail.test"))),
+            "products": self.products, "categories": self.categories, "plans": self.plans, "suppliers": self.suppliers,
+            "shippers": self.shippers, "menu_schedule": self.menu_schedule, "inventory_logs": self.inventory_logs,
+            "orders": o.withColumn("payment_method", F.when(oid % 97 == 0, "card").otherwise(F.col("payment_method")))
+                       .withColumn("payment_status", F.when(oid % 89 == 0, "lost").when(oid % 3 == 0, "paid").otherwise("pending"))
+                       .withColumn("user_id", F.when(oid % 83 == 0, uid + 100000000).otherwise(uid)),
+            "order_items": lines, "inventory": self.inventory, "product_ingredients": self.product_ingredients,
+            "vouchers": v.withColumn("code", F.when(vid % 11 == 0, "TWICE").otherwise(F.col("code"))),
+            "voucher_usages": self.voucher_usages.withColumn(
+                "voucher_id", F.when(F.col("usage_id") % 79 == 0, F.lit(99).cast("bigint")).otherwise(vid)),
+            "subscriptions": s.withColumn("plan_id", F.when(F.col("subscription_id") % 71 == 0, F.lit(9)).otherwise(F.col("plan_id"))),
+            "pings": self.pings,
+        }
+
     @cached_property
     def adjustments(self) -> DataFrame:
         e = self.raw("events")

@@ -172,8 +172,9 @@ def merge_dimension(current: DataFrame, feed: DataFrame, *, key: str, required:
     rejects = bad.select(*feed.columns, "reason")
     if reject_duplicate_new:
         new_keys = latest.filter(F.col("_n") > 1).join(current.select(key), key, "left_anti").select(key, "_f")
-        dup = (good.join(new_keys, key)
-               .filter(F.struct(*value_cols) != F.col("_f"))
+        # Rows of a new key other than its last one, told apart by their place in the feed.
+        place = good.groupBy(key).agg(F.max(pos).alias("_last"))
+        dup = (good.join(new_keys.select(key), key).join(place, key).filter(pos != F.col("_last"))
                .select(*feed.columns).withColumn("reason", F.lit("duplicate new key")))
         rejects = rejects.unionByName(dup)
     return merged, rejects

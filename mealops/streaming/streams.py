@@ -11,8 +11,10 @@ against a versioned per-item state table. The batch twins are Spark SQL.
 from __future__ import annotations
 
 import os
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -293,6 +295,10 @@ def rate_limit_stream(events: DataFrame, *, key_col: str = "user_id", window_ms:
         step, RATE_SCHEMA, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# The folds above run in Python workers: they travel with their code, so workers need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _LEDGER_SORT = ["created_at", "order_id", "line_no", "action_type", "quantity_change"]
 
 
