@@ -36,7 +36,7 @@ def q_order_stream(b):
 SELECT order_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, {STAGE_COLS}
 FROM status_events GROUP BY order_id""")
 def q_order_status_stream(b):
-    return _ntz(S.run_to_table(S.order_status_stream(_status_stream(b)), "order_status_stream", mode="complete"))
+    return _ntz(S.run_to_table(S.order_status_stream(_status_stream(b)), "order_status_stream", keys=["order_id"]))
 
 
 @register("shipper_position_stream", """
@@ -45,7 +45,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY order_id, shipper_id ORDER BY re
 WHERE rn = 1""")
 def q_shipper_position_stream(b):
     pings = S.pings_of(S.read_events_stream(b.spark, b.sf_dir))
-    return _ntz(S.run_to_table(S.shipper_position_stream(pings), "shipper_position_stream", mode="complete"))
+    return _ntz(S.run_to_table(S.shipper_position_stream(pings), "shipper_position_stream",
+                                keys=["order_id", "shipper_id"]))
 
 
 @register("stock_deduction_stream", """
@@ -138,10 +139,10 @@ def q_event_fanout(b):
 SELECT make_timestamp(s) AS window_start, make_timestamp(s + 30000000) AS window_end, event_type, count(*) AS n
 FROM w GROUP BY 1, 2, 3""")
 def q_recent_events(b):
-    # The sliding-window counts as a stream; complete mode keeps every window
-    # so the final table is comparable with the batch meaning.
+    # The sliding-window counts as a stream in update mode: changed windows are upserted.
     ev = S.read_events_stream(b.spark, b.sf_dir)
-    return S.run_to_table(S.recent_events(ev), "recent_events", mode="complete")
+    return S.run_to_table(S.recent_events(ev), "recent_events",
+                          keys=["window_start", "window_end", "event_type"])
 
 
 RATE_W, RATE_MAX = 86_400_000, 2

@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the frames that wrote them are garbage.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Dimension sides above this size fall back to a shuffled join.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.streaming.stateStore.providerClass":

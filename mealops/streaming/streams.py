@@ -443,13 +443,15 @@ def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     return q
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Run a streaming frame to completion (availableNow) into parquet and read it back.
 
     Output and checkpoint live under the session's checkpoint folder (a
-    shared, durable location on a cluster). ``append`` uses the file sink;
-    ``complete`` rewrites the result table from ``foreachBatch`` (the
-    stand-in for an upsert on a plain parquet table).
+    shared, durable location on a cluster). Without ``keys`` the file sink
+    appends. With ``keys`` the stream runs in update mode: a micro-batch
+    writes only its changed rows, to ``batch_id=<n>`` in overwrite mode (a
+    replayed batch rewrites the same rows and never touches older ones), and
+    the reader keeps the newest row of each key.
     """
     import uuid
 
@@ -457,13 +459,21 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    if mode == "append":
+    if not keys:
         q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def sink(batch, batch_id):
-            batch.write.mode("overwrite").parquet(out)
-        q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
-             .outputMode("complete").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return read_written(spark, out, df.schema)
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+
+    q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ck)
+         .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_written(spark, out, df.schema)
+    if not _path_exists(spark, out):
+        return spark.createDataFrame([], df.schema)
+    changes = spark.read.schema(T.StructType([*df.schema.fields]).add("batch_id", T.LongType())).parquet(out)
+    rest = [c for c in df.columns if c not in keys]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
+    return newest.select(*[F.col(f"_v.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
