@@ -163,37 +163,6 @@ def _requests(events: DataFrame, key_col: str) -> DataFrame:
                          ntz_micros(F.col("ts").cast("timestamp_ntz")).alias("_us"))
 
 
-def rate_limit_fold(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
-                    limit: int = 10) -> DataFrame:
-    """Reference fold of the rate limiter (sequential per key; used to check the parallel one).
-
-    A key's window opens at its first request and resets on the first
-    request after ``reset`` (start + window). Rows are hash-partitioned by
-    key and sorted inside each partition; ``mapInPandas`` then walks them in
-    order carrying one (count, reset) per key, so memory stays O(batch).
-    """
-    window_us = window_ms * 1000
-    r = _requests(events, key_col).repartition("key").sortWithinPartitions("key", "_us", "event_id")
-
-    def fold(batches):
-        cur_key, state = None, None
-        for b in batches:
-            if b.empty:
-                continue
-            outs = []
-            # Split the (sorted) batch into runs of one key.
-            starts = [0] + [i for i in range(1, len(b)) if b["key"].iat[i] != b["key"].iat[i - 1]] + [len(b)]
-            for s, e in zip(starts[:-1], starts[1:]):
-                k = b["key"].iat[s]
-                if k != cur_key:
-                    cur_key, state = k, None
-                res, state = _rate_fold(b.iloc[s:e], state, window_us, limit)
-                outs.append(res)
-            yield pd.concat(outs, ignore_index=True)
-
-    return r.mapInPandas(fold, RATE_SCHEMA)
-
-
 def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
                           limit: int = 10) -> DataFrame:
     """Batch rate limiter, exact and parallel even for one hot key.

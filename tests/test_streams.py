@@ -6,6 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
+from fold import rate_limit_fold
 from mealops.operators.orders import status_transitions
 from mealops.streaming import streams as S
 
@@ -60,14 +61,14 @@ def test_parallel_rate_limit_equals_sequential_fold(spark, bound):
     cols = ("key", "event_id", "count", "remaining", "blocked")
     for window_ms, limit in [(86_400_000, 2), (3_600_000, 1), (7 * 86_400_000, 5)]:
         par = S.rate_limit_violations(bound.raw("events"), window_ms=window_ms, limit=limit)
-        seq = S.rate_limit_fold(bound.raw("events"), window_ms=window_ms, limit=limit)
+        seq = rate_limit_fold(bound.raw("events"), window_ms=window_ms, limit=limit)
         assert rows(par, *cols) == rows(seq, *cols)
     # One hot key with most of the traffic, ties in time included.
     t0 = dt.datetime(2024, 1, 1)
     hot = spark.createDataFrame([(i, 0 if i % 5 else i % 3, t0 + dt.timedelta(seconds=(i // 2) * 7))
                                  for i in range(3000)], "event_id long, user_id long, ts timestamp_ntz")
     par = S.rate_limit_violations(hot, window_ms=60_000, limit=4)
-    seq = S.rate_limit_fold(hot, window_ms=60_000, limit=4)
+    seq = rate_limit_fold(hot, window_ms=60_000, limit=4)
     assert rows(par, *cols) == rows(seq, *cols)
 
 
