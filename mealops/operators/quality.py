@@ -78,18 +78,27 @@ def _row(df: DataFrame, table: str, rule: str, cols) -> DataFrame:
 
 
 def orphan_check(frames: dict[str, DataFrame], fks=FOREIGN_KEYS) -> list[DataFrame]:
-    """Child rows whose non-null reference has no parent (left anti join per FK)."""
-    out = []
+    """Child rows whose non-null reference has no parent.
+
+    The references of all children of one parent key are stacked, so each
+    parent is read and joined (left anti) once.
+    """
+    by_parent: dict[tuple, list] = {}
     for child, ccols, parent, pcols, kcols in fks:
-        if child not in frames or parent not in frames or not set(ccols) <= set(frames[child].columns):
-            continue
-        c = frames[child]
-        nn = None
-        for x in ccols:
-            nn = F.col(x).isNotNull() if nn is None else (nn & F.col(x).isNotNull())
-        p = frames[parent].select(*[F.col(a).alias(b) for a, b in zip(pcols, ccols)])
-        orphans = c.filter(nn).join(p, ccols, "left_anti")
-        out.append(_row(orphans, child, f"fk_{'_'.join(ccols)}_{parent}", kcols))
+        if child in frames and parent in frames and set(ccols) <= set(frames[child].columns):
+            by_parent.setdefault((parent, tuple(pcols)), []).append((child, ccols, kcols))
+    out = []
+    for (parent, pcols), children in by_parent.items():
+        refs = []
+        for child, ccols, kcols in children:
+            ref = [F.col(c).cast(frames[parent].schema[p].dataType).alias(f"_r{i}")
+                   for i, (c, p) in enumerate(zip(ccols, pcols, strict=True))]
+            named = frames[child].select(F.lit(child).alias("table_name"), F.lit(f"fk_{'_'.join(ccols)}_{parent}").alias("rule"),
+                                         _key(kcols).alias("key"), *ref)
+            refs.append(named.dropna(subset=[f"_r{i}" for i in range(len(pcols))]))
+        p = frames[parent].select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(pcols)])
+        orphans = union_all(refs).join(p, [f"_r{i}" for i in range(len(pcols))], "left_anti")
+        out.append(orphans.select("table_name", "rule", "key"))
     return out
 
 

@@ -151,6 +151,21 @@ def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000)
                            F.col("batch_line").alias("l"), "ts", "qty")
             .unionByName(needs.select("inventory_id", F.lit(1).alias("side"), F.col("need_order").alias("o"),
                                       F.col("need_line").alias("l"), "ts", "qty")))
+    return _allocated(both, width)
+
+
+def fifo_ledger(logs: DataFrame, *, width: int = 1000) -> DataFrame:
+    """``fifo_allocation`` of a ledger's imports to its exports, tagged in one scan."""
+    action, change = F.col("action_type"), F.col("quantity_change")
+    both = logs.filter(action.isin("import", "export")).select(
+        "inventory_id", F.when(action == "import", 0).otherwise(1).alias("side"), F.col("order_id").alias("o"),
+        F.col("line_no").alias("l"), F.col("created_at").alias("ts"),
+        F.when(action == "import", change).otherwise(-change).alias("qty"))
+    return _allocated(both, width)
+
+
+def _allocated(both: DataFrame, width: int) -> DataFrame:
+    """``both``: supply (side 0) and demand (side 1) rows."""
     r = prefix_sums(both, ["inventory_id", "side"], ["ts", "o", "l", "qty"], time_bucket("ts"),
                     {"hi": F.col("qty")})
     rng = F.struct(F.col("o"), F.col("l"), F.col("hi"))

@@ -371,8 +371,7 @@ SELECT d.inventory_id, d.need_order, d.need_line, s.batch_order, s.batch_line,
        CAST(least(s.hi, d.hi) - greatest(s.hi - s.q, d.hi - d.q) AS DOUBLE) AS qty
 FROM s JOIN d ON s.inventory_id = d.inventory_id AND s.hi - s.q < d.hi AND d.hi - d.q < s.hi""")
 def q_fifo_allocation(b):
-    logs = b.inventory_logs
-    return stock.fifo_allocation(stock.ledger_batches(logs), stock.ledger_needs(logs))
+    return stock.fifo_ledger(b.inventory_logs)
 
 
 @register("food_waste_pct", """
