@@ -8,8 +8,8 @@ label transitions, decoded by Viterbi. A document stays if the base rules
 pass and its content lines hold at least ``share`` of its characters.
 
 The field is fitted by maximum likelihood on a bounded sample of labelled
-documents: the ``sample_docs`` with the smallest hash of their id among
-those of at most ``sample_chars`` characters. Lines of good documents are
+documents: the ``sample_docs`` labels with the smallest hash of their id, and
+of their documents those of at most ``sample_chars`` characters. Lines of good documents are
 content (fixed legal phrases apart); lines of bad documents are boilerplate
 where they carry the noise that made the document bad. Everything else runs
 over whole texts.
@@ -200,8 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample_docs: int = 400, sample_chars: int = 20_000) -> LineField | None:
     """The field fitted on a bounded sample of labelled documents (see the module's text)."""
     d = rows_named(docs, doc_id, text).where(F.length(text).between(1, sample_chars))
-    rows = (d.join(rows_named(labels, doc_id, quality).where(F.col(quality).isNotNull()), doc_id)
-            .orderBy(F.xxhash64(doc_id), doc_id, text, quality).limit(sample_docs).select(text, quality).collect())
+    # The sample is drawn from the narrow labels first; at most sample_docs rows are broadcast.
+    drawn = (rows_named(labels, doc_id, quality).where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull())
+             .orderBy(F.xxhash64(doc_id), doc_id, quality).limit(sample_docs))
+    rows = (d.join(F.broadcast(drawn), doc_id).orderBy(F.xxhash64(doc_id), doc_id, text, quality).limit(sample_docs)
+            .select(text, quality).collect())
     read = [(read_document(r[0]), bool(r[1])) for r in rows]
     sequences = [(d.features, weak_labels(d, good)) for d, good in read if len(d.sizes)]
     if not sequences or len({int(v) for _, y in sequences for v in y}) < 2:
