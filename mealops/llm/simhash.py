@@ -217,7 +217,8 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     """One row of each group of ``docs``: that of the smallest id (null last; of its texts, the least hash)."""
     groups = near_groups(docs, doc_id, text, shingle, radius)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc"), F.col("mark"))).alias("f"))
-    first = first.select(F.col("f.doc").alias("__doc"), F.col("f.mark").alias("__mark"))
-    d = docs.withColumn("__of", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
-    kept = d.join(first, d[doc_id].cast("long").eqNullSafe(first["__doc"]) & (d["__of"] == first["__mark"]))
-    return kept.dropDuplicates(["__doc", "__mark"]).select(*[d[c] for c in docs.columns])
+    # Struct equality takes nulls as equal; join and de-duplication share one exchange of the texts.
+    first = first.select(F.struct(F.col("f.doc").alias("doc"), F.col("f.mark").alias("mark")).alias("__keep"))
+    mark = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    d = docs.withColumn("__row", F.struct(docs[doc_id].cast("long").alias("doc"), mark.alias("mark")))
+    return d.join(first, F.col("__row") == F.col("__keep")).dropDuplicates(["__keep"]).select(*[d[c] for c in docs.columns])
