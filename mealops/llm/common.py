@@ -11,7 +11,6 @@ from ..session import checkpoint_dir
 
 #: Words and stripped margins: ASCII white space only (fixed by the contracts).
 SPACE = " \t\n\x0b\x0c\r"
-_ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -27,9 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(c: Column) -> Column:
-    """A-Z to a-z; every other character stays."""
-    return F.translate(c, _ASCII_UPPER, _ASCII_UPPER.lower())
+def broadcast_small(table: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A written table, with a broadcast hint if its files hold at most ``most`` bytes.
+
+    Beyond that the join is left to Spark (a shuffled join, split where a key is hot).
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= most else table
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, written
+from .common import broadcast_small, shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
              .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("__spans")),
                     "secret-findings")
     d = _named(docs, text).drop("__body")
-    return (d.join(found, d["__blob"] == found["blob"], "left")
+    return (d.join(broadcast_small(found), d["__blob"] == found["blob"], "left")
             .select(*[d[c] for c in docs.columns if c not in ("secret_spans", "blob_sha256")],
                     F.coalesce(F.col("__spans"), F.array().cast(SPAN)).alias("secret_spans"),
                     F.col("__blob").alias("blob_sha256")))
