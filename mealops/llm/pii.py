@@ -257,8 +257,14 @@ def examples_of(text: str, max_units: int) -> Iterator[tuple[Lattice, np.ndarray
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 600,
         sample_chars: int = 20_000, max_units: int = 16) -> np.ndarray | None:
     """Weights fitted on a bounded sample (see the module's text); None without any labelled span."""
-    d = rows_named(docs, doc_id, text).where((F.length(text) <= sample_chars) & F.col(text).rlike("[0-9@]"))
-    texts = [r[0] for r in d.orderBy(F.xxhash64(doc_id), doc_id, text).limit(sample_docs).select(text).collect()]
+    d = (rows_named(docs, doc_id, text).where((F.length(text) <= sample_chars) & F.col(text).rlike("[0-9@]"))
+         .withColumn("__mark", F.xxhash64(text)))
+    order = [F.xxhash64(doc_id), F.col(doc_id), F.col("__mark")]
+    # The sample is drawn from ids and text hashes; its texts are fetched by a join with that short list.
+    drawn = (d.select(doc_id, "__mark").orderBy(*order).limit(sample_docs)
+             .select(F.col(doc_id).alias("__id"), F.col("__mark").alias("__of")).distinct())
+    found = d.join(F.broadcast(drawn), d[doc_id].eqNullSafe(F.col("__id")) & (d["__mark"] == F.col("__of")), "left_semi")
+    texts = [r[0] for r in found.orderBy(*order).limit(sample_docs).select(text).collect()]
     examples = [x for t in texts for x in examples_of(t, max_units)]
     if not any(gold.any() for _, gold in examples):
         return None
