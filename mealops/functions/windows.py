@@ -78,6 +78,36 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
     return out.drop(_G, *[f"__c_{n}" for n in all_sums], *[f"__r_{n}" for n in all_sums])
 
 
+def prefix_sums_and_lows(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
+                         value: Column, total: str, low: str) -> DataFrame:
+    """Inclusive running sum ``total`` of ``value``, and ``low``, the least sum on the rows before.
+
+    ``low`` is NULL on the first row of a key. A bucket's summary is its sum
+    and the least running sum within it; both are carried to later buckets.
+    """
+    keys = list(keys)
+    order_cols = _cols(order)
+    base = df.withColumn("__v", value)
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
+        out = base.withColumn(total, F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return out.withColumn(low, F.min(total).over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("__v")
+    base = _grouped(base, keys, bucket)
+    w_in = Window.partitionBy(_G).orderBy(*order_cols)
+    d = base.withColumn("__r", F.sum("__v").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = d.groupBy(_G).agg(F.sum("__v").alias("__t"), F.min("__r").alias("__m"))
+    d = d.withColumn("__l", F.min("__r").over(w_in.rowsBetween(Window.unboundedPreceding, -1)))
+    w_b = (Window.partitionBy(*_keys(keys)).orderBy(_B)
+           .rowsBetween(Window.unboundedPreceding, -1))
+    carried = (summary.withColumn("__c", F.coalesce(F.sum("__t").over(w_b), F.lit(0)))
+               .withColumn("__cl", F.min(F.col("__c") + F.col("__m")).over(w_b)).select(_G, "__c", "__cl"))
+    out = d.join(carried, _G)
+    # least() passes over NULLs: no earlier row in the bucket, or no earlier bucket.
+    out = out.select("*", (F.col("__r") + F.col("__c")).alias(total),
+                     F.least(F.col("__l") + F.col("__c"), F.col("__cl")).alias(low))
+    return out.drop(_G, "__v", "__r", "__l", "__c", "__cl")
+
+
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
                     cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the same key.

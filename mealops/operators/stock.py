@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import days_until, dbl, expiry_status, lit_date, ratio, stock_status, with_scalars
-from ..functions.windows import last_non_null, prefix_sums, time_bucket
+from ..functions.windows import last_non_null, prefix_sums, prefix_sums_and_lows, time_bucket
 
 
 def inventory_by_category(inventory: DataFrame, category: str | Column | None = None) -> DataFrame:
@@ -125,6 +125,33 @@ def low_stock_crossings(logs: DataFrame, inventory: DataFrame) -> DataFrame:
             .drop("min_quantity"))
 
 
+def floored(opening: Column, run: Column, low: Column) -> Column:
+    """Stock after a running change ``run`` when every step is floored at 0.
+
+    ``low`` is the least running change so far (NULL before the first row);
+    what the floor kept back until now is the part of opening + low under 0.
+    """
+    return opening + run - F.least(F.lit(0), opening + low)
+
+
+def low_stock_crossings_floored(logs: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``low_stock_crossings`` with stock floored at 0 after every ledger row.
+
+    The reference deducts down to 0 at most, so an import after a long run of
+    exports lifts the item from 0 and a later fall is a crossing of its own.
+    """
+    r = prefix_sums_and_lows(logs, ["inventory_id"], _LEDGER_ORDER, time_bucket("created_at"),
+                             F.col("quantity_change"), "run", "low")
+    inv = inventory.select("inventory_id", "quantity", "min_quantity")
+    j = r.join(inv, "inventory_id")
+    before = floored(F.col("quantity"), F.col("run") - F.col("quantity_change"), F.col("low"))
+    after = floored(F.col("quantity"), F.col("run"), F.least("low", "run"))
+    return (j.select("inventory_id", "order_id", "line_no", "created_at",
+                     before.alias("before"), after.alias("after"), "min_quantity")
+            .filter((F.col("before") > F.col("min_quantity")) & (F.col("after") <= F.col("min_quantity")))
+            .drop("min_quantity"))
+
+
 def low_stock_notifications(crossings: DataFrame, inventory: DataFrame) -> DataFrame:
     """One admin notice per ledger row that takes an item to or below its minimum."""
     # Role, type, title and the words of the message.

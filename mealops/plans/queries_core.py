@@ -358,6 +358,37 @@ def q_low_stock_crossings(b):
     return stock.low_stock_crossings(b.inventory_logs, b.inventory)
 
 
+# Stock floored at 0 after every ledger row: what the floor kept back is the running minimum under 0.
+FLOORED_SQL = """c AS (SELECT l.*, i.name, i.min_quantity, i.quantity AS opening,
+    row_number() OVER (PARTITION BY l.inventory_id ORDER BY created_at, order_id, line_no, action_type, quantity_change) AS rn,
+    i.quantity + sum(quantity_change) OVER (PARTITION BY l.inventory_id
+      ORDER BY created_at, order_id, line_no, action_type, quantity_change ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x
+  FROM inventory_logs l JOIN inventory i ON i.inventory_id = l.inventory_id),
+f AS (SELECT *, x - least(0, min(x) OVER (PARTITION BY inventory_id ORDER BY rn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS after FROM c),
+x AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY inventory_id ORDER BY rn), opening) AS before FROM f)"""
+
+FLOORED_CROSSINGS_SQL = f"""
+, {FLOORED_SQL}
+SELECT inventory_id, order_id, line_no, created_at, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after
+FROM x WHERE before > min_quantity AND after <= min_quantity"""
+
+
+@register("low_stock_crossings_floored", FLOORED_CROSSINGS_SQL)
+def q_low_stock_crossings_floored(b):
+    return stock.low_stock_crossings_floored(b.inventory_logs, b.inventory)
+
+
+@register("low_stock_notifications_floored", f"""
+, {FLOORED_SQL}
+SELECT inventory_id, order_id, line_no, created_at, 'admin' AS target_role, 'inventory_alert' AS type,
+       'Cảnh báo kho nguyên liệu' AS title,
+       'Nguyên liệu "' || name || '" còn ' || CAST(CAST(after AS DECIMAL(18,2)) AS VARCHAR) || ' (dưới mức tối thiểu)' AS message
+FROM x WHERE before > min_quantity AND after <= min_quantity""")
+def q_low_stock_notifications_floored(b):
+    return stock.low_stock_notifications(stock.low_stock_crossings_floored(b.inventory_logs, b.inventory), b.inventory)
+
+
 @register("fifo_allocation", """
 , s AS (SELECT inventory_id, order_id AS batch_order, line_no AS batch_line, quantity_change AS q,
           sum(quantity_change) OVER (PARTITION BY inventory_id ORDER BY created_at, order_id, line_no, quantity_change

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import streams as S
 from .catalog import register
+from .queries_core import FLOORED_CROSSINGS_SQL
 
 STAGE_COLS = ", ".join(f"min(ts) FILTER (WHERE status = '{s}') AS {s}_at" for s in S.STAGES)
 
@@ -101,6 +102,10 @@ x AS (SELECT r.inventory_id, r.order_id, r.line_no, r.created_at, i.quantity + r
 SELECT inventory_id, order_id, line_no, created_at, CAST(before AS DOUBLE) AS before, CAST(after AS DOUBLE) AS after
 FROM x WHERE before > min_quantity AND after <= min_quantity""")
 def q_low_stock_alert_stream(b):
+    return _low_stock_alerts(b, S.low_stock_batch)
+
+
+def _low_stock_alerts(b, fold):
     li = S.read_table_stream(b.spark, b.sf_dir, "lineitem")
     rf = F.col("l_returnflag")
     qty = F.col("l_quantity").cast("decimal(10,2)")
@@ -115,12 +120,18 @@ def q_low_stock_alert_stream(b):
     from ..session import checkpoint_dir
     base = os.path.join(checkpoint_dir(b.spark), "streams", f"low_stock-{uuid.uuid4().hex[:12]}")
     out = os.path.join(base, "alerts")
-    q = S.low_stock_alert_stream(ledger, b.inventory, out, os.path.join(base, "state"), os.path.join(base, "ck"))
+    q = S.low_stock_alert_stream(ledger, b.inventory, out, os.path.join(base, "state"), os.path.join(base, "ck"),
+                                 fold=fold)
     q.awaitTermination()
     cols = ["inventory_id", "order_id", "line_no", "created_at", "before", "after"]
     return b.spark.read.parquet(out).select(*cols)
 
 
+@register("low_stock_alert_stream_floored", FLOORED_CROSSINGS_SQL)
+def q_low_stock_alert_stream_floored(b):
+    return _low_stock_alerts(b, S.low_stock_floored_batch)
+
+
 @register("event_fanout", """
 , e AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'new_order' WHEN 'view' THEN 'order_status_update'
           WHEN 'click' THEN 'shipper_location' WHEN 'purchase' THEN 'pickup_ready' ELSE 'inventory_updated' END AS event FROM events)

@@ -302,15 +302,38 @@ def low_stock_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) ->
     return alerts, new_state
 
 
+def low_stock_floored_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``low_stock_batch`` with stock, and so the state, floored at 0 after every ledger row."""
+    from ..functions.windows import prefix_sums_and_lows, time_bucket
+    from ..operators.stock import floored
+    run = prefix_sums_and_lows(batch, ["inventory_id"], _LEDGER_SORT, time_bucket("created_at"),
+                               F.col("quantity_change"), "run", "low")
+    mins = inventory.select("inventory_id", "min_quantity")
+    j = run.join(state, "inventory_id").join(mins, "inventory_id")
+    before = floored(F.col("qty"), F.col("run") - F.col("quantity_change"), F.col("low"))
+    after = floored(F.col("qty"), F.col("run"), F.least("low", "run"))
+    alerts = (j.select("inventory_id", "order_id", "line_no", "created_at",
+                       before.alias("before"), after.alias("after"), "min_quantity")
+              .filter((F.col("before") > F.col("min_quantity")) & (F.col("after") <= F.col("min_quantity")))
+              .select("inventory_id", "order_id", "line_no", "created_at",
+                      F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after")))
+    delta = run.groupBy("inventory_id").agg(F.sum("quantity_change").alias("d"), F.min("run").alias("m"))
+    after_batch = floored(F.col("qty"), F.coalesce("d", F.lit(0)), F.col("m"))
+    new_state = (state.join(delta, "inventory_id", "left")
+                 .select("inventory_id", after_batch.cast("decimal(18,2)").alias("qty")))
+    return alerts, new_state
+
+
 def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str, state_dir: str,
-                           checkpoint: str):
+                           checkpoint: str, *, fold=low_stock_batch):
     """Start the low-stock crossing stream (``foreachBatch`` + versioned state table).
 
     State = last quantity per item, kept as a parquet table with one version
     per micro-batch (``state_dir/batch_id=<n>``); batch n reads version n−1
     (or the inventory's opening stock) and overwrites version n and its
     alerts (``out_dir/batch_id=<n>``), so a replayed batch is idempotent.
-    Everything runs as Spark SQL: no Python per row or per key.
+    Everything runs as Spark SQL: no Python per row or per key. ``fold`` is
+    the step per micro-batch (``low_stock_floored_batch`` floors stock at 0).
     """
     opening = inventory.select("inventory_id", F.col("quantity").cast("decimal(18,2)").alias("qty"))
 
@@ -321,7 +344,7 @@ def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str
         state = spark.read.parquet(prev) if batch_id > 0 else opening
         df = df.persist()   # read by the running sums and by the state delta
         try:
-            alerts, new_state = low_stock_batch(df, state, inventory)
+            alerts, new_state = fold(df, state, inventory)
             alerts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
             new_state.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
         finally:
