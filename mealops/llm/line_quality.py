@@ -4,13 +4,16 @@ Base rules count words, symbols, repeated lines and words in repeated 5-word
 windows of the whole text. The method then labels every line that has a word
 as content or boilerplate: a linear-chain conditional random field with
 features of the line (symbols, capitals, repeats, legal phrases, ...) and
-label transitions, decoded by Viterbi. A document stays if the base rules
+label transitions, decoded by Viterbi. Phrases are counted in the whole line,
+as hits per word: one hit is full weight in a line of up to 64 words and
+shrinks with the words beyond, so one mention in a long content line does not
+condemn it. A document stays if the base rules
 pass and its content lines hold at least ``share`` of its characters.
 
 The field is fitted by maximum likelihood on a bounded sample of labelled
 documents: the ``sample_docs`` labels with the smallest hash of their id, and
 of their documents those of at most ``sample_chars`` characters. Lines of good documents are
-content (fixed legal phrases apart); lines of bad documents are boilerplate
+content (lines with a legal phrase per 64 words apart); lines of bad documents are boilerplate
 where they carry the noise that made the document bad. Everything else runs
 over whole texts.
 
@@ -42,6 +45,8 @@ _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGIT = bytes(range(48, 58))
 N_FEATURES = 11
+# Fixed value: a line is legal or navigation text if it holds a phrase for every so many words.
+PHRASE_WORDS = 64
 _WINDOW = 5
 
 
@@ -50,11 +55,12 @@ def line_features(line: bytes, words: list[bytes], repeated: bool) -> list[float
     upper = len(line) - len(line.translate(None, _UPPER))
     lower = len(line) - len(line.translate(None, _LOWER))
     symbols = len(line) - len(line.translate(None, SYMBOLS))
-    low = line[:400].lower()
+    low = line.lower()
+    hits = sum(low.count(p) for p in PHRASES)
     return [1.0, min(1.0, symbols / n), min(1.0, line.count(b"!") / n), upper / (upper + lower + 1),
             (size - len(line.translate(None, _DIGIT))) / size if size > 1 else 0.0, min(1.0, line.count(b"|") / n),
             float(n < 3), float(line.rstrip()[-1:] in (b".", b"!", b"?")), float(repeated),
-            float(any(p in low for p in PHRASES)), 1.0 - len(set(words)) / n if n >= 10 else 0.0]
+            min(1.0, PHRASE_WORDS * hits / n), 1.0 - len(set(words)) / n if n >= 10 else 0.0]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -193,7 +199,7 @@ def weak_labels(doc: Document, good: bool) -> np.ndarray:
     """Line labels from a document label: legal phrases, and in bad documents noisy lines, are boilerplate."""
     f = doc.features
     noisy = (f[:, 1] >= 0.15) | (f[:, 2] >= 0.3) | (f[:, 3] >= 0.6) | (f[:, 5] >= 0.15)
-    return ((f[:, 9] > 0) | (noisy & (not good))).astype(np.int64)
+    return ((f[:, 9] >= 1) | (noisy & (not good))).astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
