@@ -9,13 +9,21 @@ whole (lengths, Luhn sum, dotted quads, first and last character, what stands
 around it, ...) for every kind. Bounded-entity dynamic programming picks
 boundaries and kinds together, in time linear in the island.
 
+The method cannot add a span of more than ``max_units`` units (16): numbers
+written digit by digit and addresses of many parts come from the base patterns
+or not at all. A span's length in characters is not bounded, and base spans
+are whole whatever their length.
+
 Words without a digit or ``@`` cannot be part of a span (their score is minus
 infinity), so islands can be decoded one by one without changing the result.
 
 The weights are fitted by maximum likelihood (forward-backward over
 segments) on a bounded sample: the islands of the ``sample_docs`` documents
 with the smallest hash of their id among those of at most ``sample_chars``
-characters that hold a digit or ``@``; the base spans are the labels.
+characters that hold a digit or ``@``; the base spans are the labels. Islands
+of more than 2,000 characters, and islands with a base span that is no
+candidate (more than ``max_units`` units, or reaching over the island's end),
+give no example; all are decoded in the result.
 
 Defined cases: null or empty text -> no spans; no labelled span in the
 sample -> base spans alone; equal spans are kept once per kind; null ids and
@@ -158,7 +166,7 @@ def _segments(island: str, max_units: int) -> tuple[list[int], Iterator[tuple[in
                 continue
             for i in range(max(0, j - max_units), j):
                 text = island[marks[i]:marks[j]]
-                if text[0] != " " and len(text) <= 256 and _SIGN.search(text):
+                if text[0] != " " and _SIGN.search(text):
                     yield i, j, segment_features(text, island[marks[i] - 1] if i else "",
                                                  island[marks[j]:marks[j] + 1], j - i)
     return marks, run()
@@ -236,6 +244,7 @@ def fit_spans(examples: list[tuple[Lattice, np.ndarray]], rounds: int = 40, rate
 
 
 def examples_of(text: str, max_units: int) -> Iterator[tuple[Lattice, np.ndarray]]:
+    """Islands of up to 2,000 characters whose base spans are all candidates, with the gold marks."""
     spans = base_spans(text)
     for at, island in islands(text):
         if len(island) > 2000:
@@ -243,15 +252,20 @@ def examples_of(text: str, max_units: int) -> Iterator[tuple[Lattice, np.ndarray
         lat = lattice(island, max_units)
         if not len(lat.starts):
             continue
-        gold, place = np.zeros((len(lat.starts), len(KINDS))), {}
+        gold, place, fits = np.zeros((len(lat.starts), len(KINDS))), {}, True
         for s, (i, j) in enumerate(zip(lat.starts, lat.ends, strict=True)):
             place[(at + lat.bounds[i], at + lat.bounds[j])] = s
         taken = at
         for start, kind, end in spans:              # overlapping base spans: the first is the label
-            if (start, end) in place and start >= taken:
-                gold[place[(start, end)], kind] = 1
-                taken = end
-        yield lat, gold
+            if end <= at or start >= at + len(island) or start < taken and (start, end) in place:
+                continue
+            if (start, end) not in place:
+                fits = False
+                break
+            gold[place[(start, end)], kind] = 1
+            taken = end
+        if fits:
+            yield lat, gold
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 600,
