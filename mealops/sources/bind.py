@@ -487,6 +487,29 @@ class Bound:
             F.lit(None).cast("int").alias("calories"),
             F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("seq1"), ln.alias("seq2"))
 
+    @cached_property
+    def delivery_addresses(self) -> DataFrame:
+        # One default address per customer; every fourth has a second one.
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        nth = F.explode(F.when(k % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("nth")
+        return c.select(k.alias("user_id"), F.col("c_nationkey").cast("string").alias("nation"), nth).select(
+            (F.col("user_id") * 2 + F.col("nth")).alias("address_id"),
+            "user_id",
+            F.when(F.col("nth") == 0, "home").otherwise("office").alias("label"),
+            F.concat(F.lit("nation "), F.col("nation")).alias("address"),
+            (F.col("nth") == 0).alias("is_default"),
+        )
+
+    @cached_property
+    def loyalty_transactions(self) -> DataFrame:
+        # One accrual per order of a known user that earns a point (pricing.loyalty_accrual).
+        pts = F.floor((F.col("subtotal") - F.col("discount_amount")) / F.lit(10000)).cast("int")
+        return (self.orders.filter(F.col("user_id").isNotNull())
+                .select(F.col("order_id").alias("txn_id"), "user_id", "order_id", pts.alias("points_change"),
+                        F.lit("order").alias("reason"), "created_at")
+                .filter(F.col("points_change") > 0))
+
     def frames(self) -> dict[str, DataFrame]:
         names = ["users", "categories", "products", "subscription_plans", "subscriptions",
                  "orders", "order_items", "suppliers", "inventory", "product_ingredients",

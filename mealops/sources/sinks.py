@@ -27,6 +27,17 @@ def load_tables(spark: SparkSession, path: str, names=None) -> dict[str, DataFra
             for name in names or DOMAIN}
 
 
+def write_tables(frames: dict[str, DataFrame], path: str) -> None:
+    """Write domain tables as ``<path>/<table>.parquet`` in the types of their schemas.
+
+    Columns outside a table's schema are left out, as ``load_tables`` would.
+    """
+    for name, df in frames.items():
+        types = {f.name: f.dataType for f in DOMAIN[name].fields}
+        (df.select(*[F.col(c).cast(types[c]).alias(c) for c in df.columns if c in types])
+         .write.mode("overwrite").parquet(os.path.join(path, f"{name}.parquet")))
+
+
 def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows) for a set of frames, one aggregate per table."""
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
