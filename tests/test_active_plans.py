@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import ROOT
+from support import ROOT
 from mealops.operators import subs
 
 

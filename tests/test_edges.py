@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
-from conftest import ROOT, rows
+from support import ROOT, rows
 from pyspark.sql import functions as F
 
 from mealops.operators import customers, orders, pricing, reports, stock

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import rows
+from support import rows
 from mealops.operators.delivery import notification_feed
 
 NOTICES = "notification_id long, target_role string, user_id long, type string, title string, is_read boolean, created_at timestamp_ntz"

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from mealops.functions.windows import prefix_sums_and_lows
 from mealops.operators import stock
 from mealops.streaming import streams as S

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from mealops.operators import customers, orders, pricing, promo, stock, subs
 
 

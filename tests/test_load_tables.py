@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SMALL
+from support import SMALL
 from mealops.plans.catalog import QUERIES
 from mealops.plans.queries_io import DOMAIN_NAME
 from mealops.sources import sinks

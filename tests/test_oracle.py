@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from conftest import ROOT, SMALL
+from support import ROOT, SMALL
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from mealops.functions.windows import global_position, last_non_null, prefix_sums, previous_values
 from mealops.operators import customers, quality, reports, stock
 from mealops.sources import sinks

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL, rows
+from support import SMALL, rows
 from fold import rate_limit_fold
 from mealops.operators.orders import status_transitions
 from mealops.streaming import streams as S
