@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, line_quality, packing, pii, secret_scan, sharding, simhash, warc
+from . import (bpe, exact_dedup, line_dedup, line_quality, packing, pii, resample, secret_scan, sharding, simhash,
+               warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +157,56 @@ def op9(spark, sf_dir):
     return found.select("doc_id", *[_count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
                         F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
                         secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+#: CRC-32 in DuckDB: a byte at a time over a text's UTF-8 bytes, with a table made by its rule.
+_CRC_SQL = """
+  crc_table AS (
+    SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+                ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),"""
+
+
+def crc32_sql(text: str) -> str:
+    """A DuckDB expression for the unsigned CRC-32 of the UTF-8 bytes of ``text``; ``t`` is the table in scope."""
+    octets = (f"list_transform(range(strlen({text})), lambda i: CAST(('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2]) "
+              "AS BIGINT))")
+    step = "lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, {step}), 4294967295::BIGINT)"
+
+
+_RESAMPLE_SQL = "WITH " + _CRC_SQL + r"""
+  texts AS (
+    SELECT 'd' AS side, doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS x FROM documents
+    UNION ALL SELECT 'b', NULL, -row_number() OVER (), coalesce(text, '') FROM benchmark),
+  words AS (
+    SELECT side, row_id, unnest(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+  counted AS (SELECT side, row_id, word, count(*) AS n FROM words GROUP BY ALL),
+  hashed AS (SELECT word, """ + crc32_sql("word") + """ % 10000 AS bucket
+             FROM (SELECT DISTINCT word FROM counted), crc_table),
+  per_bucket AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+    FROM counted JOIN hashed USING (word) GROUP BY bucket),
+  gain AS (
+    SELECT bucket, CAST(floor(1000.0::DOUBLE * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                   / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS g FROM per_bucket),
+  mean AS (
+    SELECT row_id, sum(n) AS n, sum(n * g) AS total
+    FROM counted JOIN hashed USING (word) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY row_id),
+  scored AS (
+    SELECT doc_id, row_id, coalesce(n, 0) AS n,
+           coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight,
+           CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[:8] AS BIGINT) AS h
+    FROM texts LEFT JOIN mean USING (row_id) WHERE side = 'd'),
+  ranked AS (
+    SELECT doc_id, n, weight, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score,
+           row_id FROM scored),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM ranked)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+       CASE WHEN n >= 20 AND place <= 10 * (SELECT count(*) FROM ranked WHERE n >= 20) // 100 THEN place END AS rank
+FROM placed"""
+
+
+@_query("op13_importance_resampling", _RESAMPLE_SQL)
+def op13(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
