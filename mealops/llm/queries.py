@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, exact_dedup, line_dedup, line_quality, packing, pii, resample, secret_scan, sharding, simhash,
-               warc)
+from . import (bpe, exact_dedup, line_dedup, line_quality, packing, pii, prefix_trie, resample, secret_scan,
+               sharding, simhash, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,38 @@ FROM placed"""
 @_query("op13_importance_resampling", _RESAMPLE_SQL)
 def op13(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TRIE_SQL = "WITH " + _CRC_SQL + r"""
+  turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+           length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+  ids AS (SELECT conv_id, """ + crc32_sql("CAST(conv_id AS VARCHAR)") + r""" % 6 AS h
+          FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+  mixed AS (
+    SELECT i.conv_id, t.pos, 0 AS part, t.k, t.n FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 100 AND t.pos <= h
+    UNION ALL SELECT i.conv_id, t.pos, 1, t.k, t.n FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos > h),
+  lists AS (SELECT i.conv_id, coalesce(list(k ORDER BY part, pos) FILTER (k IS NOT NULL), []) AS ks,
+                   coalesce(list(n ORDER BY part, pos) FILTER (k IS NOT NULL), []) AS ns
+            FROM ids i LEFT JOIN mixed USING (conv_id) GROUP BY i.conv_id),
+  members AS (SELECT conv_id, d, array_to_string(ks[:d], '') AS path, array_to_string(ks[:d - 1], '') AS up,
+                     CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, len(ks) = d AS ends
+              FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM lists)),
+  nodes AS (SELECT path, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM members GROUP BY path, d),
+  grown AS (SELECT p.path, p.d, count(c.path) AS n_children FROM nodes p LEFT JOIN nodes c ON c.up = p.path AND c.d = p.d + 1
+            GROUP BY p.path, p.d),
+  full_nodes AS (SELECT * FROM nodes JOIN grown USING (path, d)),
+  below AS (
+    SELECT path[:64 * a] AS path, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved
+    FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below b USING (path, d) LEFT JOIN nodes p ON f.d > 0 AND p.path = f.up AND p.d = f.d - 1"""
+
+
+@_query("op11_conversation_trie", _TRIE_SQL)
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
