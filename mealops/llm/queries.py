@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, exact_dedup, line_dedup, line_quality, packing, pii, prefix_trie, resample, secret_scan,
+from . import (ann, bpe, exact_dedup, line_dedup, line_quality, packing, pii, prefix_trie, resample, secret_scan,
                sharding, simhash, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,8 @@ FROM full_nodes f JOIN below b USING (path, d) LEFT JOIN nodes p ON f.d > 0 AND
 @_query("op11_conversation_trie", _TRIE_SQL)
 def op11(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_nearest_neighbours")
+def op12(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
