@@ -1,20 +1,28 @@
 """Byte-level BPE encoding and decoding by DuckDB queries per partition (operator 5).
 
 *Encoding.* A task splits its texts by the pre-tokenizer pattern and gathers
-the words it has not met. Their bytes become rows (word, position, token) of
-a DuckDB table; each round of a recursive query joins neighbouring rows to
-the merge table and contracts each word's leftmost pair of least rank, until
-no word has a pair left. A document's ids are its words'
-ids in order.
+the words it has not met. Two bytes that stand together in no token of the
+vocabulary are never merged, so a word is cut there first; the pieces' bytes
+become rows (piece, position, token) of a DuckDB table, joined to the merge
+table. Each round of a recursive query contracts every piece's leftmost pair
+of least rank and joins the two pairs that this makes, until no piece has a
+pair left. A document's ids are its words' ids in order.
+
+A contraction a round would cost a long piece the square of its length. Pieces
+over ``long_piece`` bytes go through a second recursive query, in lots of
+their own: a round contracts all of a piece's pairs of least rank that do not
+overlap, from the left, unless one of the pairs that this makes (or would make
+on the way) has a lower rank; then it contracts the leftmost alone. So the
+order of contractions is that of the first query.
 
 *Decoding.* The ids become rows (document, position, id), join the
 vocabulary, and an ordered aggregation puts each document's bytes together;
 long id lists are cut into segments that are joined afterwards.
 
-A contraction a round costs a word the square of its length, so words over
-``long_word`` bytes (runs of one character, mostly) are merged with a heap
-instead, in the same order of pairs. DuckDB runs in memory with one thread
-and a fixed memory limit; words and ids are handed to it in bounded lots.
+DuckDB runs in memory with one thread; words and ids are handed to it in
+bounded lots, and its memory limit is fixed but for a piece that is longer
+than a lot. Encoder, vocabulary and the words learned last (two generations
+of ``most / 2``) stay with a Python worker for its next tasks.
 
 Defined cases: null or empty text -> no ids, empty bytes; null ids array
 decodes to empty bytes; an id outside the vocabulary raises an error; null
@@ -25,7 +33,6 @@ other columns are carried by ``decode`` and not by ``encode``.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,26 +41,67 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_named, text_of
+from .common import rows_named, text_of, worker_state
 
-# One round: every unfinished word's tokens as rows (word, position), each row joined with its right neighbour
-# to the merge table; the least (rank, position) of a word is contracted, and a word without any pair is done.
-_ENCODE = """
-WITH RECURSIVE state(done, word, toks) AS (
-  SELECT false, word, list(tok ORDER BY pos) FROM lot GROUP BY word
+_NONE = 2147483647                 # the rank of a pair that is no token
+_SHIFT = 4294967296                # a pair's key: left * _SHIFT + right
+
+# state: a piece's tokens, the merged token of every two neighbours (which is their rank), and the least of these.
+_ENCODE = f"""
+WITH RECURSIVE state(best, piece, toks, ranks) AS (
+  SELECT coalesce(min(m.tok), {_NONE}), piece, list(lot.tok ORDER BY pos),
+         list(coalesce(m.tok, {_NONE}) ORDER BY pos) FILTER (nxt IS NOT NULL)
+  FROM lot LEFT JOIN merges m ON m.key = lot.tok * {_SHIFT} + nxt GROUP BY piece
+  UNION ALL
+  SELECT coalesce(list_min(ranks), {_NONE}), piece, toks, ranks
+  FROM (
+    SELECT piece, list_concat(toks[:p - 1], [best], toks[p + 2:]) AS toks,
+           list_concat(ranks[:greatest(p - 2, 0)], CASE WHEN p > 1 THEN [coalesce(a.tok, {_NONE})] ELSE [] END,
+                       CASE WHEN p < len(ranks) THEN [coalesce(b.tok, {_NONE})] ELSE [] END, ranks[p + 2:]) AS ranks
+    FROM (SELECT *, list_position(ranks, best) AS p FROM state WHERE best < {_NONE})
+    LEFT JOIN merges a ON a.key = toks[p - 1] * {_SHIFT} + best
+    LEFT JOIN merges b ON b.key = best * {_SHIFT} + toks[p + 2])
+)
+SELECT piece, unnest(toks) AS tok FROM (SELECT * FROM state WHERE best = {_NONE} ORDER BY piece)"""
+
+# The same with all occurrences of a piece's least pair in one round. In a run of overlapping occurrences every other
+# one is taken; a taken place's left neighbour is the merged token where the place before it is taken, too.
+_ENCODE_LONG = f"""
+WITH RECURSIVE state(done, piece, toks) AS (
+  SELECT false, piece, list(tok ORDER BY pos) FROM lot GROUP BY piece
   UNION ALL
-  SELECT b.key IS NULL, s.word,
-         CASE WHEN b.key IS NULL THEN toks
-              ELSE list_concat(list_append(toks[:b.key % 65536], b.key // 65536), toks[b.key % 65536 + 3:]) END
-  FROM (SELECT * FROM state WHERE NOT done) s
-  JOIN (SELECT word, min(m.tok * 65536 + pos) AS key
-        FROM (SELECT word, unnest(toks) AS left_tok, unnest(list_append(toks[2:], NULL)) AS right_tok,
-                     unnest(range(len(toks))) AS pos
-              FROM state WHERE NOT done)
-        LEFT JOIN merges m ON m.first = left_tok AND m.second = right_tok
-        GROUP BY word) b USING (word)
+  SELECT any_value(best) = {_NONE}, piece,
+         list(CASE WHEN taken THEN best ELSE tok END ORDER BY pos) FILTER (NOT coalesce(gone, false))
+  FROM (
+    SELECT *, lag(taken) OVER (PARTITION BY piece ORDER BY pos) AS gone
+    FROM (
+      SELECT * EXCLUDE (taken),
+             taken AND (NOT clash OR pos = min(pos) FILTER (taken) OVER (PARTITION BY piece)) AS taken
+      FROM (
+        SELECT t.*, bool_or(taken AND least(coalesce(a.tok, {_NONE}), coalesce(b.tok, {_NONE})) < best)
+                    OVER (PARTITION BY piece) AS clash
+        FROM (
+          SELECT *, CASE WHEN lag(taken, 2) OVER (PARTITION BY piece ORDER BY pos) THEN best ELSE before END AS lower
+          FROM (
+            SELECT *, hit AND row_number() OVER (PARTITION BY piece, hit, run ORDER BY pos) % 2 = 1 AS taken
+            FROM (
+              SELECT *, pos - row_number() OVER (PARTITION BY piece, hit ORDER BY pos) AS run
+              FROM (
+                SELECT *, best < {_NONE} AND rank = best AS hit
+                FROM (
+                  SELECT n.*, coalesce(m.tok, {_NONE}) AS rank,
+                         min(coalesce(m.tok, {_NONE})) OVER (PARTITION BY piece) AS best
+                  FROM (
+                    SELECT *, lag(tok) OVER (PARTITION BY piece ORDER BY pos) AS before,
+                           lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS nxt,
+                           lead(tok, 2) OVER (PARTITION BY piece ORDER BY pos) AS third
+                    FROM (SELECT piece, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM state WHERE NOT done)
+                  ) n LEFT JOIN merges m ON m.key = n.tok * {_SHIFT} + nxt))))) t
+        LEFT JOIN merges a ON taken AND a.key = lower * {_SHIFT} + best
+        LEFT JOIN merges b ON taken AND b.key = best * {_SHIFT} + third)))
+  GROUP BY piece
 )
-SELECT word, unnest(toks) AS tok FROM (SELECT * FROM state WHERE done ORDER BY word)"""
+SELECT piece, unnest(toks) AS tok FROM (SELECT * FROM state WHERE done ORDER BY piece)"""
 
 _DECODE = """
 SELECT part, string_agg(v.hex, '' ORDER BY pos) AS hex
@@ -66,100 +114,111 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _database(memory: str):
+def _database(memory: int):
     import duckdb
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory}MB", "temp_directory": ""})
     con.execute("SET preserve_insertion_order = false")
     return con
 
 
 class Encoder:
-    """Words to ids; remembers up to ``most`` words."""
+    """Words to ids; remembers the words of its last two generations, ``most`` in all."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: str, lot: int, long_word: int, most: int = 400_000):
-        self.ranks, self.lot, self.long_word, self.most = ranks, lot, min(long_word, 65535), most
+    def __init__(self, path: str, memory: int, lot: int, long_piece: int, most: int):
+        ranks = load_ranks(path)
+        self.ranks, self.memory, self.lot, self.long_piece, self.most = ranks, memory, lot, long_piece, most
         self.known: dict[str, bytes] = {}
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
-                 if t[:i] in ranks and t[i:] in ranks]
-        first, second, tok = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
+        self.older: dict[str, bytes] = {}
+        keys, toks = zip(*[(ranks[t[:i]] * _SHIFT + ranks[t[i:]], r) for t, r in ranks.items()
+                           for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], strict=True)
         self.con = _database(memory)
-        table = pa.table({"first": first, "second": second, "tok": pa.array(tok, pa.int64())})
-        self.con.register("pairs", table)
+        self.con.register("pairs", pa.table({"key": pa.array(keys, pa.int64()), "tok": pa.array(toks, pa.int64())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.con.unregister("pairs")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        short = []
+        self.met = np.zeros((256, 256), bool)                  # bytes that stand together in some token
+        for t in ranks:
+            for x, y in zip(t, t[1:], strict=False):
+                self.met[x, y] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Afterwards all ``words`` are known."""
+        if len(self.known) + len(words) > self.most // 2:
+            self.older, self.known = self.known, {}
+        new = []
         for w in words:
+            if w in self.known:
+                continue
+            ids = self.older.get(w)
             b = w.encode("utf-8", "replace")
-            if b in self.ranks:                            # a word that is a token stays whole
-                self.known[w] = np.array([self.ranks[b]], "<u4").tobytes()
-            elif len(b) > self.long_word:
-                self.known[w] = np.array(self._heap(b), "<u4").tobytes()
+            if ids is None and b in self.ranks:                # a word that is a token stays whole
+                ids = np.array([self.ranks[b]], "<u4").tobytes()
+            if ids is None:
+                new.append((w, b))
             else:
-                short.append((w, b))
-        for low in range(0, len(short), self.lot):
-            self._contract(short[low:low + self.lot])
-
-    def _contract(self, words: list[tuple[str, bytes]]) -> None:
-        sizes = np.array([len(b) for _, b in words])
+                self.known[w] = ids
+        new.sort()
+        for low in range(0, len(new), self.lot):
+            self._words(new[low:low + self.lot])
+
+    def _words(self, words: list[tuple[str, bytes]]) -> None:
+        joined = np.frombuffer(b"".join(b for _, b in words), np.uint8)
+        ends = np.cumsum([len(b) for _, b in words])
+        head = np.ones(len(joined), bool)                      # where a piece begins
+        head[1:] = ~self.met[joined[:-1], joined[1:]]
+        head[np.concatenate(([0], ends[:-1]))] = True
+        starts = np.flatnonzero(head)
+        stops = np.append(starts[1:], len(joined))
+        sizes = stops - starts
+        ids: list[bytes] = [b""] * len(starts)
+        short = np.flatnonzero(sizes <= self.long_piece)
+        lots = [(_ENCODE, short)] if len(short) else []
+        long, held = [], 0
+        for i in np.flatnonzero(sizes > self.long_piece).tolist():
+            long.append(i)
+            held += sizes[i]
+            if held > 100_000:
+                lots, long, held = [*lots, (_ENCODE_LONG, np.array(long))], [], 0
+        if long:
+            lots.append((_ENCODE_LONG, np.array(long)))
+        for query, pieces in lots:
+            for i, tok in zip(pieces.tolist(), self._contract(query, joined, starts[pieces], stops[pieces]), strict=True):
+                ids[i] = tok
+        of = np.searchsorted(starts, np.concatenate(([0], ends)))
+        for (w, _), a, b in zip(words, of[:-1].tolist(), of[1:].tolist(), strict=True):
+            self.known[w] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+
+    def _contract(self, query: str, joined: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        sizes = stops - starts
         ends = np.cumsum(sizes)
-        lot = pa.table({"word": np.repeat(np.arange(len(words)), sizes),
-                        "pos": np.arange(ends[-1]) - np.repeat(ends - sizes, sizes),
-                        "tok": self.single[np.frombuffer(b"".join(b for _, b in words), np.uint8)]})
+        at = np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
+        tok = self.single[joined[at]]
+        last = np.zeros(len(tok), bool)
+        last[ends - 1] = True
+        lot = pa.table({"piece": np.repeat(np.arange(len(starts)), sizes), "pos": np.arange(len(tok)), "tok": tok,
+                        "nxt": pa.array(np.append(tok[1:], 0), mask=last)})
+        more = len(tok) // 1000                                # a piece beyond a lot: about a kilobyte a byte
+        if more > self.memory:
+            self.con.execute(f"SET memory_limit = '{more}MB'")
         self.con.register("lot", lot)
-        out = self.con.sql(_ENCODE).to_arrow_table()
+        out = self.con.sql(query).to_arrow_table()
         self.con.unregister("lot")
-        word, tok = np.asarray(out["word"]), np.asarray(out["tok"]).astype("<u4").tobytes()
-        cuts = np.searchsorted(word, np.arange(len(words) + 1)) * 4
-        for (w, _), a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.known[w] = tok[a:b]
-
-    def _heap(self, b: bytes) -> list[int]:
-        """The same merges for one long word: a heap of (rank, position) over a linked list."""
-        ends = list(range(1, len(b) + 1))                  # the piece at i is b[i:ends[i]]; 0 once merged away
-        before = list(range(-1, len(b) - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = ends[i]
-            if j < len(b):
-                rank = self.ranks.get(b[i:ends[j]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, ends[j]))
-
-        for i in range(len(b)):
-            offer(i)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = ends[i]
-            if not j or j >= len(b) or ends[j] != stop:    # one of the two pieces has changed
-                continue
-            ends[i], ends[j] = stop, 0
-            if stop < len(b):
-                before[stop] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        out, i = [], 0
-        while i < len(b):
-            out.append(self.ranks[b[i:ends[i]]])
-            i = ends[i]
-        return out
-
-
-def _encoded(path: str, pattern: str, memory: str, lot: int, long_word: int):
+        if more > self.memory:
+            self.con.execute(f"SET memory_limit = '{self.memory}MB'")
+        piece, ids = np.asarray(out["piece"]), np.asarray(out["tok"]).astype("<u4").tobytes()
+        cuts = (np.searchsorted(piece, np.arange(len(starts) + 1)) * 4).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _encoded(path: str, pattern: str, memory: int, lot: int, long_piece: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, split = Encoder(load_ranks(path), memory, lot, long_word), regex.compile(pattern)
+        enc = worker_state(("bpe-encoder", path, memory, lot, long_piece, most),
+                           lambda: Encoder(path, memory, lot, long_piece, most))
+        split = regex.compile(pattern)
 
         def out(docs: list, texts: list[list[str]]) -> pa.RecordBatch:
-            new = set().union(*texts).difference(enc.known)
-            enc.learn(sorted(new))
-            get = enc.known.__getitem__
-            ids = [b"".join(map(get, t)) for t in texts]
-            if len(enc.known) > enc.most:
-                enc.known = {}
+            enc.learn(set().union(*texts))
+            ids = [b"".join(map(enc.known.__getitem__, t)) for t in texts]
             offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             return pa.record_batch([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
@@ -181,22 +240,36 @@ def _encoded(path: str, pattern: str, memory: str, lot: int, long_word: int):
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
-           memory: str = "200MB", lot: int = 5000, long_word: int = 128) -> DataFrame:
-    """(doc_id, ids array<int>): the texts by the rank file ``ranks`` (a path readable on every machine)."""
+           memory: int = 200, lot: int = 20_000, long_piece: int = 128, most: int = 400_000) -> DataFrame:
+    """(doc_id, ids array<int>): the texts by the rank file ``ranks`` (a path readable on every machine).
+
+    ``memory`` is DuckDB's limit in MB, ``most`` bounds the words that a worker remembers (and is exceeded only
+    by a lot of texts with more different words).
+    """
     d = rows_named(docs, doc_id, text)
     return (d.select(F.col(doc_id).cast("long"), text_of(d, text))
-            .mapInArrow(_encoded(ranks, pattern, memory, lot, long_word), "doc_id long, ids array<int>")
+            .mapInArrow(_encoded(ranks, pattern, memory, lot, long_piece, most), "doc_id long, ids array<int>")
             .withColumnRenamed("doc_id", doc_id))
 
 
-def _decoded(path: str, memory: str, lot: int, at: int):
+class Vocabulary:
+    """The tokens' bytes as a DuckDB table, and their sizes by id."""
+
+    def __init__(self, path: str, memory: int):
+        ranks = load_ranks(path)
+        self.con = _database(memory)
+        self.con.register("given", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()),
+                                             "hex": [t.hex() for t in ranks]}))
+        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+        self.con.unregister("given")
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
+
+
+def _decoded(path: str, memory: int, lot: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con, ranks = _database(memory), load_ranks(path)
-        con.register("given", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()),
-                                        "hex": [t.hex() for t in ranks]}))
-        con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
-        size[list(ranks.values())] = [len(t) for t in ranks]
+        known = worker_state(("bpe-vocabulary", path, memory), lambda: Vocabulary(path, memory))
+        con, size = known.con, known.size
 
         def joined(parts: list[np.ndarray]) -> list[bytes]:
             n = np.array([len(p) for p in parts])
@@ -239,7 +312,7 @@ def _decoded(path: str, memory: str, lot: int, at: int):
     return run
 
 
-def decode(encoded: DataFrame, ranks: str, ids: str = "ids", memory: str = "200MB", lot: int = 100_000) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str, ids: str = "ids", memory: int = 200, lot: int = 100_000) -> DataFrame:
     """``encoded`` with ``decoded`` (binary): the bytes of its ``ids``."""
     from pyspark.sql.types import BinaryType, StructType
     schema = StructType([*encoded.schema.fields]).add("decoded", BinaryType())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +46,15 @@ def text_of(df: DataFrame, text_col: str = "text") -> Column:
 def rows_named(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns cannot clash with ours."""
     return df.select(*[df[n] for n in names])
+
+
+def worker_state(key, make: Callable):
+    """``make()``, kept in this Python worker for later tasks of the same key.
+
+    Functions of this package reach a worker pickled by value, each time with globals of their own; a module in
+    ``sys.modules`` outlives them (Spark reuses workers).
+    """
+    kept = sys.modules.setdefault("mealops_worker_state", types.ModuleType("mealops_worker_state")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
