@@ -11,6 +11,12 @@ prefix of the sort order (a day, for instance):
 3. a window over the small summary carries values across buckets;
 4. an equi-join on (key, bucket) puts the carried values back.
 
+A time bucket splits a key only where its rows spread over time. ``RANGES``
+splits any key, also one with a third of the rows at one instant: the rows are
+range-partitioned by (key, order), with splitters that Spark samples, and the
+bucket is the range. A key spans at most as many ranges as there are
+partitions, so the scan over the summary stays small whatever the key holds.
+
 Key and bucket travel as one struct, whose equality treats nulls as equal, so
 rows with a null key or bucket stay, and window, summary and join share one
 partitioning. Results are exactly those of the single-level window for any
@@ -24,6 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bucket by sampled ranges of (key, order), see above.
+RANGES = "__range"
 _G = "__group"
 _B = f"{_G}.__bucket"
 
@@ -33,7 +41,23 @@ def time_bucket(col: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(col))
 
 
-def _grouped(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """``df`` range-partitioned by (keys, order), with the number of each row's range as ``RANGES``.
+
+    Rows that are equal in all of these are dealt out, too, by their place in the input. The frame is
+    checkpointed, so that ranges and rows stay together however often and wherever it is read.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    d = df.withColumn("__place", F.monotonically_increasing_id())
+    d = d.repartitionByRange(*[F.col(k) for k in keys], *_cols(order), F.col("__place")).drop("__place")
+    return d.withColumn(RANGES, F.spark_partition_id()).checkpoint()
+
+
+def _grouped(df: DataFrame, keys: list[str], order: Sequence, bucket) -> DataFrame:
+    if isinstance(bucket, str) and bucket == RANGES:
+        df = ranged(df, keys, order)
+        return df.withColumn(_G, F.struct(*keys, F.col(RANGES).alias("__bucket"))).drop(RANGES)
     return df.withColumn(_G, F.struct(*keys, bucket.alias("__bucket")))
 
 
@@ -45,13 +69,13 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str | None,
                 sums: dict[str, Column], seq: str | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` per key in ``order``.
 
     ``seq`` (optional) names a 1-based position column. ``bucket`` must be
-    monotone in ``order`` (e.g. the day of the leading timestamp); ``None``
-    uses a single-level window.
+    monotone in ``order`` (e.g. the day of the leading timestamp) or
+    ``RANGES``; ``None`` uses a single-level window.
     """
     keys = list(keys)
     order_cols = _cols(order)
@@ -64,7 +88,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
         for name, c in all_sums.items():
             out = out.withColumn(name, F.sum(c).over(w))
         return out
-    base = _grouped(df, keys, bucket)
+    base = _grouped(df, keys, order, bucket)
     summary = base.groupBy(_G).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in all_sums.items()])
     w_in = (Window.partitionBy(_G).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, 0))
@@ -78,7 +102,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
     return out.drop(_G, *[f"__c_{n}" for n in all_sums], *[f"__r_{n}" for n in all_sums])
 
 
-def prefix_sums_and_lows(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
+def prefix_sums_and_lows(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str | None,
                          value: Column, total: str, low: str) -> DataFrame:
     """Inclusive running sum ``total`` of ``value``, and ``low``, the least sum on the rows before.
 
@@ -92,7 +116,7 @@ def prefix_sums_and_lows(df: DataFrame, keys: Sequence[str], order: Sequence, bu
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         out = base.withColumn(total, F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return out.withColumn(low, F.min(total).over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("__v")
-    base = _grouped(base, keys, bucket)
+    base = _grouped(base, keys, order, bucket)
     w_in = Window.partitionBy(_G).orderBy(*order_cols)
     d = base.withColumn("__r", F.sum("__v").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
     summary = d.groupBy(_G).agg(F.sum("__v").alias("__t"), F.min("__r").alias("__m"))
@@ -108,7 +132,7 @@ def prefix_sums_and_lows(df: DataFrame, keys: Sequence[str], order: Sequence, bu
     return out.drop(_G, "__v", "__r", "__l", "__c", "__cl")
 
 
-def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
+def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str | None,
                     cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the same key.
 
@@ -121,7 +145,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket:
         w = Window.partitionBy(*keys).orderBy(*order_cols)
         p = F.lag(packed).over(w)
         return df.select("*", *[p[c].alias(prefix + c) for c in cols])
-    base = _grouped(df, keys, bucket)
+    base = _grouped(df, keys, order, bucket)
     # Last row of each (key, bucket): max_by over the full sort key.
     sort_key = F.struct(*order_cols)
     summary = base.groupBy(_G).agg(F.max_by(packed, sort_key).alias("__last"))
@@ -136,7 +160,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence, bucket:
     return out.drop(_G, "__prev", "__first", "__carry")
 
 
-def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None,
+def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str | None,
                   col: str | dict[str, str], out: str | None = None) -> DataFrame:
     """Forward fill: ``out`` = last non-null ``col`` at or before each row of a key.
 
@@ -150,7 +174,7 @@ def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
         w = (Window.partitionBy(*keys).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0))
         return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(o) for c, o in pairs.items()])
-    base = _grouped(df, keys, bucket)
+    base = _grouped(df, keys, order, bucket)
     sort_key = F.struct(*order_cols)
     summary = base.groupBy(_G).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), sort_key)).alias(f"__l_{o}") for c, o in pairs.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import days_until, dbl, expiry_status, lit_date, ratio, stock_status, with_scalars
-from ..functions.windows import last_non_null, prefix_sums, prefix_sums_and_lows, time_bucket
+from ..functions.windows import RANGES, last_non_null, prefix_sums, prefix_sums_and_lows
 
 
 def inventory_by_category(inventory: DataFrame, category: str | Column | None = None) -> DataFrame:
@@ -100,9 +100,10 @@ _LEDGER_ORDER = ["created_at", "order_id", "line_no", "action_type", "quantity_c
 def stock_running_balance(logs: DataFrame) -> DataFrame:
     """Running Σ quantity_change per item in ledger order (position ``seq``).
 
-    Two-level window (item, hour) so a hot item spreads over many tasks.
+    A scan over ranges of (item, ledger order), so a hot item spreads over
+    many tasks, also if all its rows carry one instant.
     """
-    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, time_bucket("created_at"),
+    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, RANGES,
                     {"balance": F.col("quantity_change")}, seq="seq")
     return r.select("inventory_id", "order_id", "line_no", "seq", "balance")
 
@@ -111,9 +112,10 @@ def low_stock_crossings(logs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Ledger rows where stock moves from above min_quantity to at or below it.
 
     Opening stock is the inventory quantity; each row's ``after`` is opening +
-    running Σ change and ``before`` = after − change.
+    running Σ change and ``before`` = after − change. Stock may fall below 0
+    here; ``low_stock_crossings_floored`` is what the reference does.
     """
-    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, time_bucket("created_at"),
+    r = prefix_sums(logs, ["inventory_id"], _LEDGER_ORDER, RANGES,
                     {"run": F.col("quantity_change")})
     inv = inventory.select("inventory_id", "quantity", "min_quantity")
     j = r.join(inv, "inventory_id")
@@ -140,7 +142,7 @@ def low_stock_crossings_floored(logs: DataFrame, inventory: DataFrame) -> DataFr
     The reference deducts down to 0 at most, so an import after a long run of
     exports lifts the item from 0 and a later fall is a crossing of its own.
     """
-    r = prefix_sums_and_lows(logs, ["inventory_id"], _LEDGER_ORDER, time_bucket("created_at"),
+    r = prefix_sums_and_lows(logs, ["inventory_id"], _LEDGER_ORDER, RANGES,
                              F.col("quantity_change"), "run", "low")
     inv = inventory.select("inventory_id", "quantity", "min_quantity")
     j = r.join(inv, "inventory_id")
@@ -163,15 +165,16 @@ def low_stock_notifications(crossings: DataFrame, inventory: DataFrame) -> DataF
         F.concat(F.lit('Nguyên liệu "'), F.col("name"), F.lit('" còn '), left, F.lit(" (dưới mức tối thiểu)")).alias("message"))
 
 
-def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000) -> DataFrame:
+def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int | None = None) -> DataFrame:
     """First-in-first-out allocation of needs to stock batches, per item.
 
     ``batches``/``needs``: (inventory_id, <id cols>, ts, qty), qty > 0, ids
     ``batch_order, batch_line`` / ``need_order, need_line``. Supply and
     demand become cumulative ranges; each allocation starts at a range
     boundary, so a forward fill over the merged boundaries yields every
-    (batch, need) overlap in O(rows) without pairing rows. ``width`` is the
-    bucket size (in quantity units) that splits hot items across tasks.
+    (batch, need) overlap in O(rows) without pairing rows. Both scans run over
+    ranges of their order, so a hot item is many tasks; with ``width`` the
+    second one runs over spans of so many quantity units.
     """
     # Supply and demand ranges in one pass: tag each side, key by (item, side).
     both = (batches.select("inventory_id", F.lit(0).alias("side"), F.col("batch_order").alias("o"),
@@ -181,7 +184,7 @@ def fifo_allocation(batches: DataFrame, needs: DataFrame, *, width: int = 1000)
     return _allocated(both, width)
 
 
-def fifo_ledger(logs: DataFrame, *, width: int = 1000) -> DataFrame:
+def fifo_ledger(logs: DataFrame, *, width: int | None = None) -> DataFrame:
     """``fifo_allocation`` of a ledger's imports to its exports, tagged in one scan."""
     action, change = F.col("action_type"), F.col("quantity_change")
     both = logs.filter(action.isin("import", "export")).select(
@@ -191,15 +194,15 @@ def fifo_ledger(logs: DataFrame, *, width: int = 1000) -> DataFrame:
     return _allocated(both, width)
 
 
-def _allocated(both: DataFrame, width: int) -> DataFrame:
+def _allocated(both: DataFrame, width: int | None) -> DataFrame:
     """``both``: supply (side 0) and demand (side 1) rows."""
-    r = prefix_sums(both, ["inventory_id", "side"], ["ts", "o", "l", "qty"], time_bucket("ts"),
+    r = prefix_sums(both, ["inventory_id", "side"], ["ts", "o", "l", "qty"], RANGES,
                     {"hi": F.col("qty")})
     rng = F.struct(F.col("o"), F.col("l"), F.col("hi"))
     r = r.select("inventory_id", (F.col("hi") - F.col("qty")).alias("pos"),
                  F.when(F.col("side") == 0, rng).alias("b"), F.when(F.col("side") == 1, rng).alias("n"))
     bounds = r.groupBy("inventory_id", "pos").agg(F.max("b").alias("b"), F.max("n").alias("n"))
-    bucket = F.floor(F.col("pos") / F.lit(width))
+    bucket = RANGES if width is None else F.floor(F.col("pos") / F.lit(width))
     ff = last_non_null(bounds, ["inventory_id"], ["pos"], bucket, {"b": "fb", "n": "fn"})
     qty = F.least(F.col("fb.hi"), F.col("fn.hi")) - F.col("pos")
     return (ff.filter(F.col("fb").isNotNull() & F.col("fn").isNotNull())

@@ -13,7 +13,9 @@ from __future__ import annotations
 import os
 import sys
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,79 +165,154 @@ def _requests(events: DataFrame, key_col: str) -> DataFrame:
                          ntz_micros(F.col("ts").cast("timestamp_ntz")).alias("_us"))
 
 
+RATE_BLOCK = "key string, range int, first long, n long, entry binary, reset binary, count binary"
+
+
+def _window_starts(us: np.ndarray, window_us: int) -> np.ndarray:
+    """For every request as the start of a window: the start of the last window that its chain opens here.
+
+    The next window opens at the first request after start + window; the chains of all starts are followed
+    together, by jumps of doubled length.
+    """
+    jump = np.searchsorted(us, us + window_us, side="right")
+    last = np.arange(len(us))
+    jump = np.append(jump, len(us))
+    while True:
+        on = jump[:-1] < len(us)
+        if not on.any():
+            return last
+        last = np.where(on, last[np.minimum(jump[:-1], len(us) - 1)], last)
+        jump[:-1] = jump[jump[:-1]]
+
+
+def _blocks(batches):
+    """Runs of one key in sorted Arrow batches -> (key, range, columns of the run)."""
+    held, at = [], None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        ids = np.asarray(batch.column(batch.schema.names.index("key")).dictionary_encode(null_encoding="encode").indices)
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            run = t.slice(a, b - a)
+            key = (run.column("key")[0].as_py(), run.column("range")[0].as_py())
+            if held and key != at:
+                yield *at, pa.concat_tables(held)
+                held = []
+            at = key
+            held.append(run)
+    if held:
+        yield *at, pa.concat_tables(held)
+
+
+def _rate_maps(window_us: int):
+    """Sorted requests of a range -> what its first and its last key make of a window that is open before them.
+
+    A block (a key's requests in a range) turns an open window that ends at x into the window open after it.
+    Requests up to x belong to the open window; the first one after x, request i, starts the next. ``entry`` holds
+    the requests' times, ``reset`` and ``count`` the end of the last window that is opened from request i on, and
+    its requests. Only requests within a window's length of the first one, and the next, can be request i.
+    """
+    def run(batches):
+        first, last = None, None
+        for block in _blocks(batches):
+            if first is None:
+                first = block
+            last = block
+        for key, part, t in ([] if first is None else [first] if first is last else [first, last]):
+            us = t.column("_us").to_numpy()
+            m = min(len(us), int(np.searchsorted(us, us[0] + window_us, side="right")) + 1)
+            start = _window_starts(us, window_us)[:m]
+            yield pa.record_batch([pa.array([key], pa.string()), pa.array([part], pa.int32()),
+                                   pa.array([int(us[0])], pa.int64()), pa.array([len(us)], pa.int64()),
+                                   pa.array([us[:m].astype("<i8").tobytes()], pa.binary()),
+                                   pa.array([(us[start] + window_us).astype("<i8").tobytes()], pa.binary()),
+                                   pa.array([(len(us) - start).astype("<i8").tobytes()], pa.binary())],
+                                  names=["key", "range", "first", "n", "entry", "reset", "count"])
+
+    return run
+
+
+def _rate_carry(batches):
+    """Maps sorted by (key, range) -> the window (reset, count) that is open before each block; null: none."""
+    at, reset, count = object(), None, 0
+    for batch in batches:
+        keys, parts, resets, counts = [], [], [], []
+        for r in batch.to_pylist():
+            if r["key"] != at:
+                at, reset, count = r["key"], None, 0
+            keys.append(r["key"])
+            parts.append(r["range"])
+            resets.append(reset)
+            counts.append(count)
+            us = np.frombuffer(r["entry"], "<i8")
+            i = 0 if reset is None else int(np.searchsorted(us, reset, side="right"))
+            if i < len(us):
+                reset = int(np.frombuffer(r["reset"], "<i8")[i])
+                count = int(np.frombuffer(r["count"], "<i8")[i])
+            else:
+                count += r["n"]
+        yield pa.record_batch([pa.array(keys, pa.string()), pa.array(parts, pa.int32()), pa.array(resets, pa.int64()),
+                               pa.array(counts, pa.int64())], names=["key", "range", "reset", "before"])
+
+
+def _rate_counts(window_us: int, limit: int):
+    """Sorted requests with the window open before their block -> their counts."""
+    def run(batches):
+        for key, _, t in _blocks(batches):
+            us = t.column("_us").to_numpy()
+            reset, before = t.column("reset")[0].as_py(), t.column("before")[0].as_py()
+            i = 0 if reset is None else int(np.searchsorted(us, reset, side="right"))
+            starts = np.zeros(len(us), bool)
+            at = i
+            while at < len(us):                                # one step a window
+                starts[at] = True
+                at = int(np.searchsorted(us, us[at] + window_us, side="right"))
+            place = np.arange(len(us))
+            count = place - np.maximum.accumulate(np.where(starts, place, -1)) + 1
+            count[:i] = (before or 0) + place[:i] + 1
+            yield pa.record_batch([t.column("key").combine_chunks().cast(pa.string()), t.column("event_id").combine_chunks(),
+                                   t.column("ts").combine_chunks(), pa.array(count, pa.int64()),
+                                   pa.array(np.maximum(limit - count, 0), pa.int64()), pa.array(count > limit)],
+                                  names=RATE_SCHEMA.fieldNames())
+    return run
+
+
 def rate_limit_violations(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
                           limit: int = 10) -> DataFrame:
-    """Batch rate limiter, exact and parallel even for one hot key.
+    """Batch rate limiter, exact and parallel even for one hot key, with one shuffle of the requests.
 
     Windows open at a key's first request; the next window opens at the
-    first request after start + window. So window starts form a chain
-    ``start -> next(start)`` where ``next(i)`` is the first request later
-    than ``t_i + window``. Steps, all joins/aggregates on (key, position):
-
-    1. position ``seq`` of each request per key (two-level running count);
-    2. ``next(i)`` = 1 + number of requests with t <= t_i + window, found as
-       a forward fill over requests merged with the probe times;
-    3. the chain from position 1 is marked by pointer doubling: the marked
-       set grows along ``next^(2^k)`` while ``next^(2^(k+1))`` is composed by
-       a self join, so about log2(windows per key) rounds (each round is
-       checkpointed to cut the lineage);
-    4. each request's window start is the last marked position before it
-       (forward fill); count = seq − start + 1.
+    first request after start + window, so window starts form a chain.
+
+    1. Requests are range-partitioned by (key, time, event), so a hot key is
+       many blocks; the ranges are checkpointed.
+    2. Only the first and the last key of a range can have requests in other
+       ranges. For these a block becomes a function: from the end of the
+       window that is open before it to the window open after it, as a step
+       function over the requests that can be its first window start. All
+       chains of a block are followed at once.
+    3. One scan over these functions (two a range at most) composes them in
+       order and tells each block the window it begins in.
+    4. Every block counts its requests from there.
+
+    A block's times are held by its task (8 bytes a request), a function's
+    steps by the scan, one function at a time. A null key is a key like any
+    other.
     """
-    from ..functions.windows import last_non_null, prefix_sums, time_bucket
-    from ..session import checkpoint_dir
-    spark = events.sparkSession
-    checkpoint_dir(spark)
+    from ..functions.windows import RANGES, ranged
     w_us = window_ms * 1000
-    r = _requests(events, key_col)
-    # Positions feed every later step: materialise them once (reliable checkpoint).
-    r = prefix_sums(r, ["key"], ["_us", "event_id"], time_bucket("ts"), {}, seq="seq").checkpoint()
-    # 2. next(i): probes at t_i + window merged with the requests; a probe
-    #    sorts after requests with the same time, so the fill counts them.
-    reqs = r.select("key", "_us", F.lit(0).alias("_kind"), "event_id", F.col("seq").alias("_s"),
-                    F.lit(None).cast("long").alias("_q"))
-    probes = r.select("key", (F.col("_us") + F.lit(w_us)).alias("_us"), F.lit(1).alias("_kind"),
-                      F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("_s"),
-                      F.col("seq").alias("_q"))
-    merged = reqs.unionByName(probes)
-    bucket = F.date_trunc("hour", F.timestamp_micros("_us"))
-    filled = last_non_null(merged, ["key"], ["_us", "_kind", "event_id"], bucket, "_s", "_le")
-    n_per_key = r.groupBy("key").agg(F.max("seq").alias("_n"))
-    nxt = (filled.filter(F.col("_kind") == 1)
-           .join(n_per_key.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")))
-           .select("key", F.col("_q").alias("seq"),
-                   F.when(F.coalesce("_le", F.lit(0)) + 1 <= F.col("_n"),
-                          F.coalesce("_le", F.lit(0)) + 1).alias("nxt")))
-    # 3. pointer doubling from position 1 of every key. After round k the
-    #    marked set holds the chain nodes at distance < 2^k; the jump by 2^k
-    #    from them yields exactly the nodes at distance 2^k .. 2^(k+1)-1, so
-    #    the rounds never overlap and the loop ends on the first empty step.
-    #    Jumps that leave the key's requests are dropped, so the jump table
-    #    shrinks from round to round. A null key is one key like any other.
-    jump = nxt.filter(F.col("nxt").isNotNull()).checkpoint()
-    marked = r.filter(F.col("seq") == 1).select("key", "seq")
-    rnd = 0
-    while True:
-        m, j = marked.alias("m"), jump.alias("j")
-        step = (m.join(j, F.col("m.key").eqNullSafe(F.col("j.key")) & (F.col("m.seq") == F.col("j.seq")))
-                .select("m.key", F.col("j.nxt").alias("seq")).checkpoint())
-        if step.isEmpty():
-            break
-        marked = marked.unionByName(step)
-        rnd += 1
-        if rnd % 4 == 0:
-            marked = marked.checkpoint()
-        jump = (jump.alias("a").join(jump.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key"))
-                                     & (F.col("a.nxt") == F.col("b.seq")))
-                .select("a.key", "a.seq", "b.nxt").checkpoint())
-    # 4. window start of every request = last marked position at or before it.
-    starts = marked.select(F.col("key").alias("_k"), F.col("seq").alias("_start"))
-    tagged = r.join(starts, F.col("key").eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("_start")), "left")
-    ff = last_non_null(tagged, ["key"], ["seq"], time_bucket("ts"), "_start", "_from")
-    count = (F.col("seq") - F.col("_from") + 1).cast("long")
-    return ff.select("key", "event_id", "ts", count.alias("count"),
-                     F.greatest(F.lit(limit) - count, F.lit(0)).cast("long").alias("remaining"),
-                     (count > limit).alias("blocked"))
+    r = ranged(_requests(events, key_col), ["key"], ["_us", "event_id"]).withColumnRenamed(RANGES, "range")
+    order = ["key", "_us", "event_id"]                         # within the ranges, which stay as they are
+    maps = r.sortWithinPartitions(*order).select("key", "range", "_us").mapInArrow(_rate_maps(w_us), RATE_BLOCK)
+    carried = (maps.repartition("key").sortWithinPartitions("key", "range")
+               .mapInArrow(_rate_carry, "key string, range int, reset long, before long").checkpoint())
+    # Two rows a partition at most, each with a key: bounded by the number of partitions, not by the requests.
+    c = F.broadcast(carried.withColumnsRenamed({"key": "_k", "range": "_r"}))
+    told = r.join(c, F.col("key").eqNullSafe(F.col("_k")) & (F.col("range") == F.col("_r")), "left")
+    return (told.select("key", "range", "event_id", "ts", "_us", "reset", "before").sortWithinPartitions(*order)
+            .mapInArrow(_rate_counts(w_us, limit), RATE_SCHEMA))
 
 
 def rate_limit_stream(events: DataFrame, *, key_col: str = "user_id", window_ms: int = 60_000,
