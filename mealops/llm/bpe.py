@@ -317,3 +317,18 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", memory: int = 200,
     from pyspark.sql.types import BinaryType, StructType
     schema = StructType([*encoded.schema.fields]).add("decoded", BinaryType())
     return encoded.mapInArrow(_decoded(ranks, memory, lot, encoded.columns.index(ids)), schema)
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
+               memory: int = 200, lot: int = 20_000, long_piece: int = 128, most: int = 800_000,
+               decode_lot: int = 100_000) -> DataFrame:
+    """(doc_id, ids, decoded): ``decode`` of ``encode``, both in the same Python worker.
+
+    The ids do not travel between workers, and half as many workers learn words; so each may remember more.
+    """
+    coded = _encoded(ranks, pattern, memory, lot, long_piece, most)
+    back = _decoded(ranks, memory, decode_lot, 1)
+    d = rows_named(docs, doc_id, text)
+    return (d.select(F.col(doc_id).cast("long"), text_of(d, text))
+            .mapInArrow(lambda batches: back(coded(batches)), "doc_id long, ids array<int>, decoded binary")
+            .withColumnRenamed("doc_id", doc_id))
