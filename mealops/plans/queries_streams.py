@@ -186,3 +186,60 @@ SELECT key, event_id, ts, CAST(cnt AS BIGINT) AS count, CAST(greatest(0, {RATE_M
 def q_rate_limit_stream(b):
     ev = S.read_table_stream(b.spark, b.sf_dir, "events")
     return S.run_to_table(S.rate_limit_stream(ev, key_col="user_id", window_ms=RATE_W, limit=RATE_MAX), "rate_limit_stream")
+
+
+ONCE_TTL_MS = 7 * 86_400_000
+
+
+@register("stock_deduction_once_stream", f"""
+, p AS (SELECT *, lag(status) OVER w AS prev_status, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > {ONCE_TTL_MS * 1000}, false) AS paused
+        FROM status_events WINDOW w AS (PARTITION BY order_id ORDER BY ts, event_id)),
+s AS (SELECT *, count(*) FILTER (paused) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS spell FROM p),
+tr AS (SELECT order_id, spell, arg_min(event_id, (ts, event_id)) AS event_id FROM s
+       WHERE status = 'preparing' AND prev_status IS NOT NULL AND prev_status <> 'preparing' AND NOT paused GROUP BY 1, 2),
+nd AS (SELECT pi.inventory_id, oi.order_id, sum(oi.quantity * pi.qty_per_portion) AS need
+       FROM order_items oi JOIN product_ingredients pi ON pi.product_id = oi.product_id
+       WHERE oi.order_id IN (SELECT order_id FROM tr) AND oi.order_id IN (SELECT order_id FROM orders_b)
+         AND pi.inventory_id IN (SELECT inventory_id FROM inventory)
+       GROUP BY 1, 2)
+SELECT tr.event_id, tr.order_id, nd.inventory_id, 'export' AS action_type, CAST(-nd.need AS DOUBLE) AS quantity_change
+FROM tr JOIN nd ON nd.order_id = tr.order_id""")
+def q_stock_deduction_once_stream(b):
+    """Every third event is delivered twice; an order is deducted once in a spell of events."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    frames = {"orders": b.orders, "order_items": b.order_lines,
+              "product_ingredients": b.product_ingredients, "inventory": b.inventory}
+    base = os.path.join(checkpoint_dir(b.spark), "streams", f"deduct_once-{uuid.uuid4().hex[:12]}")
+    again = _status_stream(b).filter(F.col("event_id") % 3 == 0)
+    q = S.stock_deduction_once_stream(_status_stream(b).unionByName(again), frames, os.path.join(base, "ledger"),
+                                      os.path.join(base, "ck"), ttl_ms=ONCE_TTL_MS)
+    q.awaitTermination()
+    schema = S.stock_deduction_twin(b.status_events, frames).schema
+    return S.read_written(b.spark, os.path.join(base, "ledger"), schema)
+
+
+@register("late_event_counts", """
+, wm AS (SELECT epoch_ms(max(ts)) - 86400000 AS ms FROM events WHERE event_id % 10 <> 0)
+SELECT count(*) FILTER (NOT late) AS n_on_time, count(*) FILTER (late) AS n_late
+FROM (SELECT event_id % 10 = 0 AND epoch_us(ts) <= ms * 1000 AS late FROM events, wm)""")
+def q_late_event_counts(b):
+    """A tenth of the events arrives after the others: those later than a day are dropped, and counted."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    base = os.path.join(checkpoint_dir(b.spark), "streams", f"late-{uuid.uuid4().hex[:12]}")
+    feed, out = os.path.join(base, "feed"), os.path.join(base, "out")
+    events = b.raw("events")
+    late = 0
+    for arriving in (events.filter(F.col("event_id") % 10 != 0), events.filter(F.col("event_id") % 10 == 0)):
+        arriving.write.mode("append").parquet(feed)
+        stream = b.spark.readStream.schema(events.schema).parquet(feed).withColumn("ts", F.col("ts").cast("timestamp"))
+        q = (S.on_time(stream, "1 day").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
+        late += S.reported(q).late_rows
+    kept = S.read_written(b.spark, out, events.withColumn("ts", F.col("ts").cast("timestamp")).schema)
+    return kept.agg(F.count(F.lit(1)).alias("n_on_time")).select("n_on_time", F.lit(late).cast("long").alias("n_late"))

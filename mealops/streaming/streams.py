@@ -5,13 +5,14 @@ same on a static frame (the batch twin, used for checks) and on a streaming
 one. The folds that Spark SQL cannot state across micro-batches (rate limiting,
 the previous status of an order) use ``applyInPandasWithState`` with O(1)
 state per key; low-stock crossings fold each micro-batch with Spark SQL
-against a versioned per-item state table. The batch twins are Spark SQL.
+against a log of per-item states. The batch twins are Spark SQL.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from ..functions.rules import ntz_micros
 from ..operators.orders import STAGES, status_transitions
 from ..operators.stock import bom_explosion
 from ..sources.schemas import RAW
+from .statelog import StateLog
 
 # ----------------------------------------------------------------- sources
 
@@ -402,28 +404,30 @@ def low_stock_floored_batch(batch: DataFrame, state: DataFrame, inventory: DataF
 
 
 def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str, state_dir: str,
-                           checkpoint: str, *, fold=low_stock_batch):
-    """Start the low-stock crossing stream (``foreachBatch`` + versioned state table).
-
-    State = last quantity per item, kept as a parquet table with one version
-    per micro-batch (``state_dir/batch_id=<n>``); batch n reads version n−1
-    (or the inventory's opening stock) and overwrites version n and its
-    alerts (``out_dir/batch_id=<n>``), so a replayed batch is idempotent.
-    Everything runs as Spark SQL: no Python per row or per key. ``fold`` is
-    the step per micro-batch (``low_stock_floored_batch`` floors stock at 0).
+                           checkpoint: str, *, fold=low_stock_batch, compact_every: int = 16):
+    """Start the low-stock crossing stream (``foreachBatch`` + a log of changed items).
+
+    State = last quantity per item, kept by ``StateLog``: batch n reads the
+    newest quantities of its own items (the inventory's opening stock where
+    there is none yet), and writes its alerts (``out_dir/batch_id=<n>``) and
+    the quantities of the items it changed, both in overwrite mode, so a
+    replayed batch is idempotent. Everything runs as Spark SQL: no Python per
+    row or per key. ``fold`` is the step per micro-batch
+    (``low_stock_floored_batch`` floors stock at 0).
     """
-    opening = inventory.select("inventory_id", F.col("quantity").cast("decimal(18,2)").alias("qty"))
+    opening = inventory.select("inventory_id", F.col("quantity").cast("decimal(18,2)").alias("opening"))
+    schema = T.StructType([inventory.schema["inventory_id"], T.StructField("qty", T.DecimalType(18, 2))])
 
     def sink(df, batch_id):
-        spark = df.sparkSession
-        # Version n - 1 must be there for n > 0; a lost one fails the batch.
-        prev = os.path.join(state_dir, f"batch_id={batch_id - 1}")
-        state = spark.read.parquet(prev) if batch_id > 0 else opening
-        df = df.persist()   # read by the running sums and by the state delta
+        log = StateLog(df.sparkSession, state_dir, ["inventory_id"], schema, compact_every)
+        df = df.persist()   # read by the running sums, the items in scope and the state delta
         try:
-            alerts, new_state = fold(df, state, inventory)
+            items = df.select("inventory_id").distinct()
+            state = (opening.join(items, "inventory_id", "left_semi").join(log.before(batch_id), "inventory_id", "left")
+                     .select("inventory_id", F.coalesce("qty", "opening").alias("qty")))
+            alerts, changed = fold(df, state, inventory)
             alerts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
-            new_state.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
+            log.write(batch_id, changed)
         finally:
             df.unpersist()
 
@@ -457,8 +461,10 @@ def stock_deduction_stream(status_stream: DataFrame, frames: dict, out_dir: str,
     Transitions need the previous status of each order across batches; the
     stateful step keeps it per order.
     """
-    trans = entering_status(status_stream, "preparing")
+    return _deducting(entering_status(status_stream, "preparing"), frames, out_dir, checkpoint)
 
+
+def _deducting(trans: DataFrame, frames: dict, out_dir: str, checkpoint: str):
     def sink(df, batch_id):
         # The micro-batch is read twice below: materialise it once.
         df = df.persist()
@@ -492,6 +498,77 @@ def entering_status(status_events: DataFrame, target: str) -> DataFrame:
         step, TRANS_SCHEMA, "status string", "append", GroupStateTimeout.NoTimeout)
 
 
+ONCE_STATE = "status string, last long, deducted boolean"
+
+
+def entering_once(status_events: DataFrame, target: str, *, watermark: str = "1 hour", ttl_ms: int = 7 * 86_400_000
+                  ) -> DataFrame:
+    """Stateful first entry into ``target`` per order, with state that expires.
+
+    Events delivered again are dropped by id (``dropDuplicatesWithinWatermark``), and so are events later than the
+    watermark. An order is deducted once: later entries of the same order do
+    not count. After ``ttl_ms`` without an event an order is done with: its
+    state is removed by an event-time timer, and an event after such a pause
+    begins anew (that rule holds whether or not the timer has come by, so the
+    result does not depend on how events are cut into micro-batches).
+    """
+    ttl_us = ttl_ms * 1000
+    once = status_events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+
+    def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
+        prev, last, deducted = state.get if state.exists else (None, None, False)
+        us = rows["ts"].astype("datetime64[us, UTC]" if rows["ts"].dt.tz is not None else "datetime64[us]").astype("int64")
+        hits = []
+        for at, (t, status) in enumerate(zip(us.to_numpy().tolist(), rows["status"], strict=True)):
+            if last is not None and t - last > ttl_us:
+                prev, deducted = None, False
+            if status == target and prev is not None and prev != target and not deducted:
+                hits.append(at)
+                deducted = True
+            prev, last = status, t
+        ends = last // 1000 + ttl_ms + 1
+        if ends > state.getCurrentWatermarkMs():
+            state.update((prev, last, deducted))
+            state.setTimeoutTimestamp(ends)
+        else:
+            state.remove()
+        yield rows.iloc[hits][["order_id", "event_id", "ts"]]
+
+    return once.groupBy("order_id").applyInPandasWithState(
+        step, TRANS_SCHEMA, ONCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_entries(status_events: DataFrame, target: str, *, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Batch twin of ``entering_once``: the first entry into ``target`` per order and spell of events no more than
+    ``ttl_ms`` apart."""
+    from ..functions.windows import RANGES, prefix_sums, previous_values
+    e = status_events.dropDuplicates(["event_id"])
+    e = previous_values(e, ["order_id"], ["ts", "event_id"], RANGES, ["status", "ts"])
+    paused = F.col("prev_ts").isNotNull() & (ntz_micros(F.col("ts").cast("timestamp_ntz"))
+                                             - ntz_micros(F.col("prev_ts").cast("timestamp_ntz")) > ttl_ms * 1000)
+    e = e.withColumn("_new", paused.cast("int"))
+    e = prefix_sums(e, ["order_id"], ["ts", "event_id"], RANGES, {"_spell": F.col("_new")})
+    hit = (F.col("status") == target) & F.col("prev_status").isNotNull() & (F.col("prev_status") != target) & (F.col("_new") == 0)
+    first = e.where(hit).groupBy("order_id", "_spell").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    return first.select("order_id", "f.event_id", "f.ts")
+
+
+def stock_deduction_once_stream(status_stream: DataFrame, frames: dict, out_dir: str, checkpoint: str, *,
+                                watermark: str = "1 hour", ttl_ms: int = 7 * 86_400_000):
+    """``stock_deduction_stream`` that deducts an (order, item) once and forgets orders that are done with."""
+    return _deducting(entering_once(status_stream, "preparing", watermark=watermark, ttl_ms=ttl_ms), frames, out_dir,
+                      checkpoint)
+
+
+def stock_deduction_once_twin(status_events: DataFrame, frames: dict, *, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    return stock_deduction_batch(first_entries(status_events, "preparing", ttl_ms=ttl_ms), frames["orders"],
+                                 frames["order_items"], frames["product_ingredients"], frames["inventory"])
+
+
 def stock_deduction_twin(status_events: DataFrame, frames: dict) -> DataFrame:
     return stock_deduction_batch(status_transitions(status_events, "preparing"), frames["orders"],
                                  frames["order_items"], frames["product_ingredients"], frames["inventory"])
@@ -504,6 +581,41 @@ def read_written(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
+@dataclass
+class Report:
+    """What a run's progress says, over all its micro-batches."""
+
+    input_rows: int = 0
+    late_rows: int = 0
+    state_rows: list[int] = field(default_factory=list)     # rows in state after each batch, all operators
+
+
+def reported(query) -> Report:
+    """Wait for a query that ends by itself and sum up its progress.
+
+    Progress is read while the query runs, so batches beyond the engine's list of recent ones count, too. Late
+    rows are rows that a stateful operator dropped for the watermark; an aggregate counts them after its partial
+    aggregation, ``dropDuplicatesWithinWatermark`` as they come in.
+    """
+    seen: dict[int, dict] = {}
+    running = True
+    while running:
+        running = not query.awaitTermination(1)
+        seen.update({p["batchId"]: p for p in query.recentProgress})
+    out = Report()
+    for _, p in sorted(seen.items()):
+        ops = p["stateOperators"]
+        out.input_rows += p["numInputRows"]
+        out.late_rows += sum(o["numRowsDroppedByWatermark"] for o in ops)
+        out.state_rows.append(sum(o["numRowsTotal"] for o in ops))
+    return out
+
+
+def on_time(events: DataFrame, watermark: str) -> DataFrame:
+    """Events that are new and not later than the watermark; the run's report counts the late ones exactly."""
+    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     """Drive a streaming frame to completion into a memory table (tests, smoke runs)."""
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
