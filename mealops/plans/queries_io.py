@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import quality
 from ..session import checkpoint_dir
 from ..sources import sinks
+from ..sources.versions import VersionedTables
 from .catalog import register
 
 BOUND_TABLES = ["users", "categories", "products", "plans", "subscriptions", "orders", "order_items",
@@ -92,6 +93,53 @@ def q_append_receipts(b):
     return inv
 
 
+def _store(b, name: str) -> VersionedTables:
+    return VersionedTables(b.spark, f"{checkpoint_dir(b.spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _received(b, name: str) -> VersionedTables:
+    """A store with the receipts committed, and committed again: the second time changes nothing."""
+    store = _store(b, name)
+    for _ in range(2):
+        sinks.commit_receipts(store, b.receipts, batch_id="receipts-1", as_of="2001-08-01 08:00:00", id_offset=10000000)
+    return store
+
+
+RECEIVED_SQL = """received AS (SELECT receipt_id + 10000000 AS inventory_id, 'RC-' || CAST(receipt_id AS VARCHAR) AS inventory_code,
+  supplier_id, name, quantity, expiry_date FROM receipts WHERE name IS NOT NULL AND quantity > 0 AND expiry_date IS NOT NULL)"""
+
+
+@register("receipts_committed", f"""
+, {RECEIVED_SQL}
+SELECT r.inventory_id, r.inventory_code, CAST(r.quantity AS DOUBLE) AS quantity, l.action_type, CAST(l.q AS DOUBLE) AS quantity_change
+FROM received r JOIN (SELECT inventory_id, 'import' AS action_type, quantity AS q FROM received) l USING (inventory_id)""")
+def q_receipts_committed(b):
+    """Both tables of one commit, read back and joined."""
+    store = _received(b, "receipts")
+    logs = store.read("inventory_logs").select("inventory_id", "action_type", "quantity_change")
+    return store.read("inventory").select("inventory_id", "inventory_code", "quantity").join(logs, "inventory_id")
+
+
+@register("adjustments_committed", """
+, last AS (SELECT inventory_code, quantity FROM (
+    SELECT *, row_number() OVER (PARTITION BY inventory_code ORDER BY ts DESC, event_id DESC) AS rn FROM adjustments) t WHERE rn = 1)
+SELECT i.inventory_id, CAST(coalesce(l.quantity, i.quantity) AS DOUBLE) AS quantity,
+       CASE WHEN l.inventory_code IS NULL THEN 1 ELSE 2 END AS n_logs, CAST(coalesce(l.quantity, i.quantity) AS DOUBLE) AS logged
+FROM inventory i LEFT JOIN last l ON l.inventory_code = i.inventory_code""")
+def q_adjustments_committed(b):
+    """Opening stock, then adjustments, twice with one batch id: the stored stock and its ledger agree."""
+    store, at = _store(b, "adjustments"), F.lit("2001-08-01 08:00:00").cast("timestamp_ntz")
+    inv = b.inventory.select("inventory_id", "inventory_code", "quantity", at.alias("updated_at"))
+    logs = inv.select("inventory_id", F.lit("import").alias("action_type"), F.col("quantity").alias("quantity_change"),
+                      F.col("quantity").alias("quantity_after"), F.lit("opening").alias("reason"), at.alias("created_at"))
+    store.commit("opening", append={"inventory": inv, "inventory_logs": logs})
+    for _ in range(2):
+        sinks.commit_adjustments(store, b.adjustments, batch_id="adjust-1", as_of="2001-08-01 09:00:00")
+    ledger = store.read("inventory_logs").groupBy("inventory_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_logs"), F.sum("quantity_change").alias("logged"))
+    return store.read("inventory").select("inventory_id", "quantity").join(ledger, "inventory_id")
+
+
 @register("append_receipts_logs", """
 SELECT receipt_id + 10000000 AS inventory_id, 'import' AS action_type, CAST(quantity AS DOUBLE) AS quantity_change,
        CAST(quantity AS DOUBLE) AS quantity_after, 'goods receipt' AS reason, TIMESTAMP '2001-08-01 08:00:00' AS created_at

@@ -222,6 +222,41 @@ def q_create_orders_rejects(b):
     return _created(b, "rejects")
 
 
+@register("create_orders_all", f"""
+, {CREATE_SQL},
+used AS (SELECT v.voucher_id, v.used_count + coalesce(u.n, 0) AS used_count
+  FROM vouchers v LEFT JOIN (SELECT applied_voucher_id, count(*) AS n FROM vres WHERE applied_voucher_id IS NOT NULL GROUP BY 1) u
+    ON u.applied_voucher_id = v.voucher_id)
+SELECT 'orders' AS frame, count(*) AS n_rows, CAST(sum(total) AS DOUBLE) AS amount FROM made
+UNION ALL SELECT 'order_items', count(*), CAST(sum(s) AS DOUBLE) FROM pr
+UNION ALL SELECT 'voucher_usages', count(*), CAST(sum(discount) AS DOUBLE) FROM vres WHERE applied_voucher_id IS NOT NULL
+UNION ALL SELECT 'voucher_counts', count(*), CAST(sum(used_count) AS DOUBLE) FROM used
+UNION ALL SELECT 'loyalty_transactions', count(*), CAST(sum(points) AS DOUBLE) FROM pts
+UNION ALL SELECT 'loyalty_points', count(DISTINCT user_id), CAST(sum(points) AS DOUBLE) FROM pts
+UNION ALL SELECT 'notifications', count(*), CAST(sum(order_id) AS DOUBLE) FROM made
+UNION ALL SELECT 'rejects', count(*), CAST(sum(order_id) AS DOUBLE) FROM asked WHERE subtotal IS NULL""")
+def q_create_orders_all(b):
+    """All eight frames of a batch in one commit, each counted and summed from the stored table."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from ..session import checkpoint_dir
+    from ..sources.versions import VersionedTables
+    store = VersionedTables(b.spark, f"{checkpoint_dir(b.spark).rstrip('/')}/placed-{uuid.uuid4().hex[:12]}")
+    pricing.place_orders(store, b.order_requests, b.order_request_items, b.products, b.vouchers, as_of=STOCK_AS_OF,
+                         batch_id="batch-1")
+    amounts = {"orders": "total", "order_items": "line_subtotal", "voucher_usages": "discount_amount",
+               "voucher_counts": "used_count", "loyalty_transactions": "points", "loyalty_points": "points",
+               "notifications": "order_id", "rejects": "order_id"}
+    parts = [store.read(name).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(c).cast("double").alias("amount"))
+             .select(F.lit(name).alias("frame"), "n_rows", "amount") for name, c in amounts.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 ACCRUAL_SQL = """acc AS (SELECT * FROM (SELECT user_id, order_id,
     CAST(floor((subtotal - discount_amount) / 10000) AS BIGINT) AS points FROM orders_b WHERE user_id IS NOT NULL) t
   WHERE points > 0)"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import DOMAIN
+from .versions import VersionedTables
 
 BOM = "﻿"
 
@@ -118,6 +119,32 @@ def append_receipts(receipts: DataFrame, inventory_path: str, logs_path: str, *,
         inv.unpersist()
 
 
+def commit_receipts(store: VersionedTables, receipts: DataFrame, *, batch_id: str, as_of, id_offset: int = 0) -> int:
+    """Receipts and their log rows as one commit (both or neither); a batch id counts once. Returns the version."""
+    inv, logs = receipt_rows(receipts, as_of=as_of, id_offset=id_offset)
+    return store.commit(batch_id, append={"inventory": inv, "inventory_logs": logs})
+
+
+def commit_adjustments(store: VersionedTables, adjustments: DataFrame, *, batch_id: str, as_of) -> int:
+    """The stored inventory with new quantities, and the ``adjust`` log rows, as one commit. Returns the version."""
+    base = store.version()
+    current = store.read("inventory", base)
+    new, logs = apply_stock_adjustments(current, adjustments, as_of=as_of)
+    changed = new.select("inventory_id", F.col("quantity").alias("_q"), F.col("updated_at").alias("_at"))
+    types = {f.name: f.dataType for f in current.schema.fields}
+    inv = current.join(changed, "inventory_id").select(*[
+        F.col("_q").cast(types[c]).alias(c) if c == "quantity" else F.coalesce("_at", c).alias(c) if c == "updated_at"
+        else F.col(c) for c in current.columns])
+    return store.commit(batch_id, append={"inventory_logs": logs}, replace={"inventory": inv}, base=base)
+
+
+def commit_dimension(store: VersionedTables, table: str, feed: DataFrame, *, batch_id: str, **merge) -> int:
+    """``merge_dimension`` of a feed into a stored table; the table and its rejects as one commit."""
+    base = store.version()
+    merged, rejects = merge_dimension(store.read(table, base), feed, **merge)
+    return store.commit(batch_id, append={f"{table}_rejects": rejects}, replace={table: merged}, base=base)
+
+
 def apply_stock_adjustments(inventory: DataFrame, adjustments: DataFrame, *, as_of) -> tuple[DataFrame, DataFrame]:
     """Set quantities by inventory_code; the last adjustment per code wins.
 
