@@ -50,6 +50,10 @@ from .common import rows_named, shared_folder, text_of, written
 _URN = "urn:capture:page:"
 
 
+_LINES_PER_FILE = 1_000_000        # index lines in a file ...
+_LINES_PER_TASK = 200_000          # ... and looked up by a task
+
+
 @dataclass(frozen=True)
 class Archive:
     """Where the archive's files are, and the first key of each index file, in order."""
@@ -57,6 +61,8 @@ class Archive:
     folder: str
     first_keys: list[bytes]
     index_files: list[str]
+    n_records: int = 0
+    n_bytes: int = 0
 
 
 def url_key(url: str | None) -> str:
@@ -206,11 +212,13 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         "page", "url", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("kind"), "refers_to",
         "size", "digest", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
     entries = written(marked.mapInArrow(_writer(folder, date, roll, level), _ENTRY_SQL), "warc-entries")
+    n, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     run, schema = _indexer(folder, block, level)
-    ranged = entries.repartitionByRange(index_files, "key") if index_files else entries.repartitionByRange("key")
-    top = sorted((bytes(r.first), r.file) for r in ranged.sortWithinPartitions("key", "file", "offset")
-                 .mapInArrow(run, schema).collect())              # one row per index file
-    return Archive(folder, [k for k, _ in top], [f for _, f in top])
+    # The number of files follows the records; a number that is given is left alone by adaptive execution.
+    files = index_files or max(spark.sparkContext.defaultParallelism, -(-n // _LINES_PER_FILE))
+    top = sorted((bytes(r.first), r.file) for r in entries.repartitionByRange(files, "key")
+                 .sortWithinPartitions("key", "file", "offset").mapInArrow(run, schema).collect())  # one row a file
+    return Archive(folder, [k for k, _ in top], [f for _, f in top], n, size)
 
 
 def _assigned(arch: Archive):
@@ -283,12 +291,22 @@ def _reader(folder: str, keep_payload: bool):
 
 
 def lookup(spark: SparkSession, arch: Archive, wanted: DataFrame, page_id: str = "page_id", url: str = "url",
-           keep_payload: bool = True, stripe: int = 16 << 20) -> DataFrame:
-    """The records of the wanted (page id, url) pairs, read from the archive by range."""
+           keep_payload: bool = True, stripe: int | None = None, per_task: int = 64 << 20) -> DataFrame:
+    """The records of the wanted (page id, url) pairs, read from the archive by range.
+
+    Index lines are dealt out by key range and records by stripes of their files, to numbers of tasks that follow
+    the archive's lines and bytes (about ``per_task`` bytes a task, and all cores at least): the places that are
+    shuffled say nothing of the bytes behind them.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    lookups = max(cores, -(-arch.n_records // _LINES_PER_TASK))
+    readers = max(cores, -(-arch.n_bytes // per_task))
+    stripe = stripe or max(1, min(per_task // 4, -(-arch.n_bytes // (4 * readers))))
     w = rows_named(wanted, page_id, url).select(F.col(page_id).cast("long"), F.col(url).cast("string")).distinct()
     run, schema = _reader(arch.folder, keep_payload)
     places = (w.mapInArrow(_assigned(arch), "cdx int, key binary").distinct()
-              .repartition("cdx").sortWithinPartitions("cdx", "key").mapInArrow(_found(arch), _ENTRY_SQL))
+              .repartitionByRange(lookups, "cdx", "key").sortWithinPartitions("cdx", "key")
+              .mapInArrow(_found(arch), _ENTRY_SQL))
     return (places.select("file", "offset", "length", F.floor(F.col("offset") / stripe).alias("stripe"))
-            .repartition("file", "stripe").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+            .repartition(readers, "file", "stripe").sortWithinPartitions("file", "offset").select("file", "offset", "length")
             .mapInArrow(run, schema))
