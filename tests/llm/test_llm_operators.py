@@ -247,13 +247,12 @@ def test_bpe_as_tiktoken(spark, awkward):
         (i, tuple(enc.encode_ordinary(t or "")), (t or "").encode()) for i, t in H.AWKWARD)
 
 
-def test_recursive_query_and_heap_agree():
-    ranks = bpe.load_ranks(RANKS)
-    words = [H.prose(s, 3).replace(" ", "")[:60] for s in range(200)] + [" " * 40, "a" * 61, "é" * 31, "=-" * 20]
-    query, heap = bpe.Encoder(ranks, "200MB", 50, 1000), bpe.Encoder(ranks, "200MB", 50, 1)
-    query.learn(words)
-    heap.learn(words)
-    assert query.known == heap.known
+def test_recursive_queries_agree():
+    words = {H.prose(s, 3).replace(" ", "")[:60] for s in range(200)} | {" " * 40, "a" * 61, "é" * 31, "=-" * 20}
+    single, many = bpe.Encoder(RANKS, 200, 50, 1000, 10_000), bpe.Encoder(RANKS, 200, 50, 1, 10_000)
+    single.learn(words)
+    many.learn(words)
+    assert single.known == many.known
 
 
 def test_decode_rejects_unknown_ids(spark):
