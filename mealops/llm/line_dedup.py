@@ -7,9 +7,14 @@
 2. A streaming fold per segment merges the maps: a bit set by two tasks
    becomes a twice bit (``twice |= once & new``). A key held by two documents
    always ends with all its bits in *twice*; other keys do so rarely.
-3. The twice map has a fixed size (``filter_bits``, 16 MiB by default,
-   whatever the input), so it may be broadcast. A fuller map only means more
-   suspects, never another result.
+3. Up to ``filter_bits / 12`` lines (newlines are counted first) the twice map
+   has the fixed size of ``filter_bits`` (16 MiB by default), so it may be
+   broadcast, and every task tests its own lines.
+   Beyond that the maps stay distributed: the hashes themselves are shuffled
+   by segment, as many segments as the lines need, a task folds a segment's
+   two maps and tests the segment's hashes against them, and the hashes that
+   pass are joined to the lines (broadcast if they are few). Either way a
+   key that passes by mistake only means a suspect more, never another result.
 4. Only lines whose key passes the twice map are shuffled, with their whole
    key: an aggregate (combined before the shuffle) confirms the key in two
    documents and finds the smallest; the lines of other documents go.
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, broadcast_small, written
 
 _WORDS_PER_SEGMENT = 8192
 _FLUSH = 1 << 20
@@ -138,55 +143,166 @@ def twice_map(texts: DataFrame, filter_bits: int, min_key: int) -> np.ndarray:
     return out
 
 
-def _suspects(shared, words: int, min_key: int):
+def _hash_lots(segments: int, min_key: int):
+    """Batches of texts -> (segment, hashes seen in one document, hashes seen in two) per lot of lines."""
+    schema = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+
+    def fold(parts: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        seg = (h % np.uint64(segments)).astype(np.int64)
+        order = np.argsort(seg, kind="stable")
+        h, n, seg = h[order], n[order], seg[order]
+        cuts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1], True])
+        cols: list[list] = [[], [], []]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, many = h[a:b], n[a:b] > 1
+            for col, x in zip(cols, (int(seg[a]), own[~many].tobytes(), own[many].tobytes()), strict=True):
+                col.append(x)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(shared.value, np.uint64)
+        parts, held = [], 0
         for batch in batches:
-            ids, marks, at, keys = [], [], [], []
+            for text in batch.column(0):
+                keys = set(_keys(text.as_py(), min_key))
+                if keys:
+                    parts.append(_hashes(keys))
+                    held += len(keys)
+                if held >= _FLUSH:
+                    yield fold(parts)
+                    parts, held = [], 0
+        if parts:
+            yield fold(parts)
+
+    return run, "segment int, once binary, twice binary"
+
+
+def _segment_suspects(segments: int):
+    """Lots sorted by segment -> the hashes that pass the segment's twice map. One segment is held at a time."""
+
+    def passed(lots: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        once, twice, hashes = np.zeros(_WORDS_PER_SEGMENT, np.uint64), np.zeros(_WORDS_PER_SEGMENT, np.uint64), []
+        for single, many in lots:
+            for raw, both in ((single, False), (many, True)):
+                h = np.frombuffer(raw, np.uint64)
+                if not len(h):
+                    continue
+                hashes.append(h)
+                at, bits = _or_by_word(*_word_and_mask(h // np.uint64(segments), _WORDS_PER_SEGMENT))
+                twice[at] |= bits if both else once[at] & bits
+                once[at] |= bits
+        h = np.unique(np.concatenate(hashes))
+        w, m = _word_and_mask(h // np.uint64(segments), _WORDS_PER_SEGMENT)
+        return pa.record_batch([pa.array(h[(twice[w] & m) == m].view(np.int64))], names=["hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lots = None, []
+        for batch in batches:
+            for seg, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seg != at and lots:
+                    yield passed(lots)
+                    lots = []
+                at = seg
+                lots.append((once, twice))
+        if lots:
+            yield passed(lots)
+
+    return run
+
+
+def suspect_hashes(texts: DataFrame, n_lines: int, min_key: int) -> DataFrame:
+    """(hash): the hashes of line keys that may be in two documents, from maps that stay distributed."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    segments = max(1, -(-12 * n_lines // (64 * _WORDS_PER_SEGMENT)))
+    run, schema = _hash_lots(segments, min_key)
+    return (texts.mapInArrow(run, schema).repartition(max(cores, -(-segments // 16)), "segment")
+            .sortWithinPartitions("segment").mapInArrow(_segment_suspects(segments), "hash long"))
+
+
+def count_lines(texts: DataFrame) -> int:
+    body = F.col(texts.columns[0])
+    return texts.agg(F.coalesce(F.sum(F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1),
+                                F.lit(0))).first()[0]
+
+
+_LINE = "doc long, mark long, at int, key binary"
+
+
+def _line_rows(min_key: int, tested):
+    """(doc, mark, body) batches -> (doc, mark, at, key, hash) of the lines that ``tested`` (of hashes) lets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = tested()
+        for batch in batches:
+            ids, marks, at, keys, hashes = [], [], [], [], []
             for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                        batch.column(2), strict=True):
                 lines = (text.as_py() or "").encode("utf-8", "replace").split(b"\n")
                 own = [(i, k) for i, k in enumerate(map(line_key, lines)) if long_enough(k, min_key)]
                 if not own:
                     continue
-                w, m = _word_and_mask(_hashes([k for _, k in own]), words)
-                for j in np.flatnonzero((twice[w] & m) == m):
+                h = _hashes([k for _, k in own])
+                for j in np.flatnonzero(test(h)):
                     ids.append(doc)
                     marks.append(mark)
                     at.append(own[j][0])
                     keys.append(own[j][1])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()),
-                                   pa.array(at, pa.int32()), pa.array(keys, pa.binary())],
-                                  names=["doc", "mark", "at", "key"])
+                    hashes.append(h[j])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(at, pa.int32()),
+                                   pa.array(keys, pa.binary()), pa.array(np.array(hashes, np.uint64).view(np.int64))],
+                                  names=["doc", "mark", "at", "key", "hash"])
     return run
 
 
+def _passing(shared, words: int):
+    """A test of hashes against the broadcast twice map."""
+    def tested():
+        twice = np.frombuffer(shared.value, np.uint64)
+
+        def test(h: np.ndarray) -> np.ndarray:
+            w, m = _word_and_mask(h, words)
+            return (twice[w] & m) == m
+        return test
+    return tested
+
+
+def _suspects(bodies: DataFrame, filter_bits: int, min_key: int) -> DataFrame:
+    """``bodies`` (doc, mark, body) -> (doc, mark, at, key) of all lines whose key may be in two documents."""
+    spark, words = bodies.sparkSession, filter_bits // 64
+    texts = bodies.select("body")
+    n_lines = count_lines(texts)
+    if 12 * n_lines <= filter_bits:
+        shared = spark.sparkContext.broadcast(twice_map(texts, filter_bits, min_key).tobytes())
+        return bodies.mapInArrow(_line_rows(min_key, _passing(shared, words)), _LINE + ", hash long").drop("hash")
+    # Tables of their own, so that the join can split a line that very many documents share.
+    hashes = broadcast_small(written(suspect_hashes(texts, n_lines, min_key), "line-hashes"))
+    every = bodies.mapInArrow(_line_rows(min_key, lambda: lambda h: np.ones(len(h), bool)), _LINE + ", hash long")
+    return every.join(hashes, "hash").drop("hash")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_key: int = 10,
                 filter_bits: int = 1 << 27) -> DataFrame:
     """``docs`` with ``text`` cut to its kept lines, and ``n_lines``, ``n_dropped`` (long) added."""
-    spark, words = docs.sparkSession, filter_bits // 64
-    if words % _WORDS_PER_SEGMENT:
+    if filter_bits // 64 % _WORDS_PER_SEGMENT:
         raise ValueError(f"filter_bits must be a multiple of {64 * _WORDS_PER_SEGMENT}")
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    mark = F.xxhash64(body)                       # tells rows apart that repeat a document id
-    shared = spark.sparkContext.broadcast(twice_map(docs.select(body), filter_bits, min_key).tobytes())
-    lines = written(docs.select(docs[doc_id].cast("long"), mark, body)
-                    .mapInArrow(_suspects(shared, words, min_key), "doc long, mark long, at int, key binary"),
-                    "line-suspects")
+    # All columns travel as one struct, so that no name can clash with ours.
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    body = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
+    # The mark tells rows apart that repeat a document id.
+    d = d.select("row", F.col("row")[doc_id].cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
+    lines = written(_suspects(d.select("doc", "mark", "body"), filter_bits, min_key), "line-suspects")
     order = F.struct(F.col("doc").isNotNull(), F.col("doc"))           # null before all others
     # A table of its own, so that the join can split a line that very many documents share.
     first = written(lines.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
              .where("low != high").select("key", F.col("low.doc").alias("keeper")), "line-keepers")
     gone = (lines.join(first, "key").where(~F.col("doc").eqNullSafe(F.col("keeper")))
-            .groupBy("doc", "mark").agg(F.collect_set("at").alias("__gone")))
-    d = docs.withColumn("__body", body).withColumn("__mark", mark)
-    joined = d.join(gone, d[doc_id].cast("long").eqNullSafe(gone["doc"]) & (d["__mark"] == gone["mark"]), "left")
-    parts = F.split(F.col("__body"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col("__body")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n"))
-    out = joined.withColumn("__parts", parts)
+            .groupBy("doc", "mark").agg(F.collect_set("at").alias("gone"))
+            .select(F.col("doc").alias("of"), F.col("mark").alias("of_mark"), "gone"))
+    joined = (d.join(gone, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+              .withColumn("parts", F.split(F.col("body"), "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("body")).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get(F.col("parts"), i)), "\n"))
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[kept.alias(c) if c == text else d[c] for c in carried],
-                      F.size("__parts").cast("long").alias("n_lines"),
-                      F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_dropped"))
+    return joined.select(*[kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in carried],
+                         F.size("parts").cast("long").alias("n_lines"),
+                         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
