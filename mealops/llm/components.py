@@ -2,9 +2,11 @@
 
 Every round links each node to the smallest node it knows of; edges shrink to
 stars around the smallest node of each component in a logarithmic number of
-rounds. Minima are aggregates (combined before the shuffle) joined back to
-the edges, so a node with very many edges is never gathered in one task.
-Each round is checkpointed; only two numbers per round reach the driver.
+rounds. Minima are aggregates (combined before the shuffle), written and
+joined back to the edges: broadcast if they are few, and else by a join of two
+plain exchanges, which Spark can split at a node with very many edges (it
+cannot split a join with an aggregate). Each round is checkpointed; only two
+numbers per round reach the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import broadcast_small, shared_folder, written
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -20,11 +22,11 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     node it touches, small star the smaller ones and itself."""
     if large:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        out = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "star-low")
+        out = both.join(broadcast_small(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        low = e.groupBy("a").agg(F.min("b").alias("low"))
-        out = e.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
+        low = written(e.groupBy("a").agg(F.min("b").alias("low")), "star-low")
+        out = e.join(broadcast_small(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b")))
     return out.where("a > b").distinct()
 

@@ -183,7 +183,9 @@ def near_links(fps: DataFrame, radius: int = 3, per_bucket: int = 4096) -> DataF
     buckets = max(1, -(-n // per_bucket))
     run, schema = _variants(radius, buckets)
     blocks = fps.repartition(max(1, -(-n // _BLOCK)), fps.columns[0]).mapInArrow(run, schema)
-    return (blocks.repartition("bucket").sortWithinPartitions("bucket")
+    # Twice as many tasks as buckets, so that a task holds few of them however many there are.
+    tasks = max(2 * buckets, fps.sparkSession.sparkContext.defaultParallelism)
+    return (blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_stars(radius), "a long, b long").distinct())
 
 
@@ -220,5 +222,7 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     # Struct equality takes nulls as equal; join and de-duplication share one exchange of the texts.
     first = first.select(F.struct(F.col("f.doc").alias("doc"), F.col("f.mark").alias("mark")).alias("__keep"))
     mark = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    d = docs.withColumn("__row", F.struct(docs[doc_id].cast("long").alias("doc"), mark.alias("mark")))
-    return d.join(first, F.col("__row") == F.col("__keep")).dropDuplicates(["__keep"]).select(*[d[c] for c in docs.columns])
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                    F.struct(docs[doc_id].cast("long").alias("doc"), mark.alias("mark")).alias("own"))
+    return (d.join(first, F.col("own") == F.col("__keep")).dropDuplicates(["__keep"])
+            .select(*[F.col("row")[c].alias(c) for c in docs.columns]))
