@@ -27,7 +27,8 @@ of ``most / 2``) stay with a Python worker for its next tasks.
 Defined cases: null or empty text -> no ids, empty bytes; null ids array
 decodes to empty bytes; an id outside the vocabulary raises an error; null
 document ids and repeated rows are carried; empty table -> empty result;
-other columns are carried by ``decode`` and not by ``encode``.
+other columns are carried by ``decode`` (one named ``decoded`` is replaced) and
+not by ``encode``.
 """
 
 from __future__ import annotations
@@ -315,8 +316,9 @@ def _decoded(path: str, memory: int, lot: int, at: int):
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", memory: int = 200, lot: int = 100_000) -> DataFrame:
     """``encoded`` with ``decoded`` (binary): the bytes of its ``ids``."""
     from pyspark.sql.types import BinaryType, StructType
-    schema = StructType([*encoded.schema.fields]).add("decoded", BinaryType())
-    return encoded.mapInArrow(_decoded(ranks, memory, lot, encoded.columns.index(ids)), schema)
+    e = encoded.select(*[encoded[c] for c in encoded.columns if c != "decoded"])
+    schema = StructType([*e.schema.fields]).add("decoded", BinaryType())
+    return e.mapInArrow(_decoded(ranks, memory, lot, e.columns.index(ids)), schema)
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text",

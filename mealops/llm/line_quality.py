@@ -8,11 +8,12 @@ label transitions, decoded by Viterbi. Phrases are counted in the whole line,
 as hits per word: one hit is full weight in a line of up to 64 words and
 shrinks with the words beyond, so one mention in a long content line does not
 condemn it. A document stays if the base rules
-pass and its content lines hold at least ``share`` of its characters.
+pass and its content lines hold at least ``share`` of the bytes of its lines.
 
 The field is fitted by maximum likelihood on a bounded sample of labelled
 documents: the ``sample_docs`` labels with the smallest hash of their id, and
-of their documents those of at most ``sample_chars`` characters. Lines of good documents are
+of their documents those of at most ``sample_chars`` characters, in runs of at
+most ``sample_lines`` lines. Lines of good documents are
 content (lines with a legal phrase per 64 words apart); lines of bad documents are boilerplate
 where they carry the noise that made the document bad. Everything else runs
 over whole texts.
@@ -21,7 +22,8 @@ Defined cases: null text -> no words (base rule fails); no labelled document
 or only one class -> no field, and the base rules decide alone; a document
 without any line with a word has content share 1 (the base rules reject it);
 null ids and repeated rows are carried; empty table -> empty result; ``keep``
-returns the columns of its input whatever their names.
+returns the columns of its input whatever their names, ``decide`` replaces a
+column named ``__quality``.
 """
 
 from __future__ import annotations
@@ -203,7 +205,7 @@ def weak_labels(doc: Document, good: bool) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
-        sample_docs: int = 400, sample_chars: int = 20_000) -> LineField | None:
+        sample_docs: int = 400, sample_chars: int = 20_000, sample_lines: int = 200) -> LineField | None:
     """The field fitted on a bounded sample of labelled documents (see the module's text)."""
     d = rows_named(docs, doc_id, text).where(F.length(text).between(1, sample_chars))
     # The sample is drawn from the narrow labels first; at most sample_docs rows are broadcast.
@@ -212,7 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = (d.join(F.broadcast(drawn), doc_id).orderBy(F.xxhash64(doc_id), doc_id, text, quality).limit(sample_docs)
             .select(text, quality).collect())
     read = [(read_document(r[0]), bool(r[1])) for r in rows]
-    sequences = [(d.features, weak_labels(d, good)) for d, good in read if len(d.sizes)]
+    whole = [(d.features, weak_labels(d, good)) for d, good in read if len(d.sizes)]
+    # A step of the fit goes over all runs at once, so its time follows the longest run.
+    sequences = [(f[a:a + sample_lines], y[a:a + sample_lines]) for f, y in whole for a in range(0, len(y), sample_lines)]
     if not sequences or len({int(v) for _, y in sequences for v in y}) < 2:
         return None
     return fit_field(sequences)
@@ -224,18 +228,22 @@ _DECISION = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(
                           T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
 
+def _decisions(field: LineField | None, share: float, texts: pa.Array) -> list[tuple]:
+    out = []
+    for text in texts:
+        d = read_document(text.as_py())
+        content = field.content_share(d) if field else 1.0
+        out.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed,
+                    content, not d.base_failed and content >= share))
+    return out
+
+
 def _decided(field: LineField | None, share: float, at: int):
     names = [f.name for f in _DECISION.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(at):
-                d = read_document(text.as_py())
-                content = field.content_share(d) if field else 1.0
-                out.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed,
-                            content, not d.base_failed and content >= share))
-            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            cols = list(zip(*_decisions(field, share, batch.column(at)), strict=True)) or [[]] * len(names)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             made = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
             yield pa.record_batch([*batch.columns, made], names=[*batch.schema.names, "__quality"])
@@ -243,12 +251,21 @@ def _decided(field: LineField | None, share: float, at: int):
     return run
 
 
+def _keeping(field: LineField | None, share: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([d[-1] for d in _decisions(field, share, batch.column(at))], pa.bool_()))
+
+    return run
+
+
 def decide(docs: DataFrame, field: LineField | None, text: str = "text", share: float = 0.5) -> DataFrame:
     """``docs`` with a struct ``__quality``: the base counts, base_failed, content_share and kept."""
-    schema = T.StructType([*docs.schema.fields]).add("__quality", _DECISION)
-    return docs.mapInArrow(_decided(field, share, docs.columns.index(text)), schema)
+    d = docs.select(*[docs[c] for c in docs.columns if c != "__quality"])
+    schema = T.StructType([*d.schema.fields]).add("__quality", _DECISION)
+    return d.mapInArrow(_decided(field, share, d.columns.index(text)), schema)
 
 
 def keep(docs: DataFrame, field: LineField | None, text: str = "text", share: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    return decide(docs, field, text, share).where("__quality.kept").drop("__quality")
+    return docs.mapInArrow(_keeping(field, share, docs.columns.index(text)), docs.schema)

@@ -21,7 +21,8 @@ AWKWARD = [
     (17, "Licensed under the Apache License, Version 2.0.\n" + "Plain words of a clean text follow here now. " * 3),
 ]
 CLASH = ("kept", "size", "shard", "slot", "blob", "key", "doc", "mark", "fp", "root", "spans", "base", "n_lines",
-         "secret_spans", "digest", "len", "sha", "n", "low")
+         "secret_spans", "digest", "len", "sha", "n", "low", "__quality", "__spans", "__blob", "__gone", "__body", "__mark",
+         "__parts", "__row", "__keep", "row", "own", "decoded", "gone", "of", "parts", "hash", "at", "segment")
 
 
 def frame(spark, rows, extra: bool = True):

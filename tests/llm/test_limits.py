@@ -1,6 +1,8 @@
 """Memory, spill, very long texts and many matches; parallel reads; clashing names of our own columns."""
 
+import collections
 import random
+import re
 import sys
 import time
 
@@ -8,7 +10,7 @@ import helpers as H
 import pytest
 from pyspark.sql import functions as F
 
-from mealops.llm import exact_dedup, secret_scan, warc
+from mealops.llm import components, exact_dedup, line_dedup, line_quality, secret_scan, simhash, warc
 
 
 # 3 ------------------------------------------------------------------ exact dedup
@@ -152,3 +154,69 @@ def test_very_long_pages(spark):
                                "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.lookup(spark, warc.archive(df), df).collect()}
     assert got == {1: (9_000_000, "response", None), 2: (9_000_000, "revisit", 1), 3: (0, "response", None)}
+
+
+# 10 ----------------------------------------------------------------- line dedup
+
+def test_filter_beyond_its_bound(spark):
+    """More lines than the broadcast filter is for: the maps stay distributed, and the result is the same."""
+    rng = random.Random(7)
+    texts = ["\n".join(f"line number {rng.randint(0, 60_000)}" if rng.random() < .5 else "the most frequent line" if k % 9 else "tiny"
+                       for k in range(500)) for _ in range(100)]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, "the most frequent line"), (200, None)]
+    docs = H.frame(spark, rows).repartition(6)
+    small = 64 * line_dedup._WORDS_PER_SEGMENT
+    assert 12 * line_dedup.count_lines(docs.select("text")) > small
+    bodies = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), F.col("text").alias("body"))
+    few = line_dedup._suspects(bodies, small, 10).count()
+    assert few < 0.75 * sum(len(t.split("\n")) for t in texts)                       # the filter does filter
+    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs, filter_bits=small).collect())
+    assert got == collections.Counter((i, t) for (i, _), t in zip(rows, H.line_kept(rows), strict=True))
+    assert got == collections.Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
+
+
+def test_no_line_of_two_documents_is_lost():
+    """Per segment: a hash that two lots hold, or one lot holds twice, always passes."""
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    own = [rng.integers(0, 2 ** 64, 40_000, np.uint64) for _ in range(3)]
+    shared = rng.integers(0, 2 ** 64, 500, np.uint64)
+    lots = [(x.tobytes(), b"") for x in own] + [(shared[:300].tobytes(), b""), (shared[:300].tobytes(), shared[300:].tobytes())]
+    batch = pa.record_batch([pa.array([0] * len(lots), pa.int32()), pa.array([a for a, _ in lots], pa.binary()),
+                             pa.array([b for _, b in lots], pa.binary())], names=["segment", "once", "twice"])
+    out = np.concatenate([b.column(0).to_numpy() for b in line_dedup._segment_suspects(1)(iter([batch]))]).view(np.uint64)
+    assert set(shared.tolist()) <= set(out.tolist())
+
+
+# 1 ------------------------------------------------------------------ components, SimHash
+
+def test_a_star_with_a_hub(spark):
+    edges = spark.range(1, 20_001).selectExpr("0L as a", "id as b").unionByName(
+        spark.range(20_001, 20_101).selectExpr("id as a", "id + 100 as b"))
+    got = components.components(edges).groupBy("root").count().orderBy(F.col("count").desc())
+    assert got.first()[:2] == (0, 20_001) and got.count() == 101
+
+
+def test_buckets_are_dealt_to_tasks_of_their_number(spark):
+    fps = spark.range(9000).select(F.xxhash64("id").alias("fp")).distinct()
+    plan = simhash.near_links(fps, per_bucket=500)._jdf.queryExecution().logical().toString()
+    buckets = -(-fps.count() // 500)
+    assert re.search(rf"RepartitionByExpression \[bucket#\d+\], {2 * buckets}\b", plan), plan
+
+
+# 4 ------------------------------------------------------------------ quality rules
+
+def test_long_sequences_are_cut_for_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_quality, "fit_field", lambda s: seen.extend(len(y) for _, y in s))
+    docs = H.frame(spark, [(1, "words of a text\n" * 900), (2, "#### $$$$ !!!!\n" * 500)])
+    line_quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality long"))
+    assert max(seen) == 200 and sum(seen) == 1400
+
+
+def test_decide_and_keep_take_own_names(spark):
+    df = H.frame(spark, [(1, "word " * 30), (2, "some different words make up this text of more than ten of them")])
+    assert "__quality" in df.columns
+    assert line_quality.keep(df, None).columns == df.columns
+    assert line_quality.decide(df, None).select("__quality.kept").count() == 2

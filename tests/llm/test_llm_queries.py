@@ -4,6 +4,7 @@ import base64
 import collections
 import os
 import sys
+import zlib
 
 import duckdb
 import helpers as H
@@ -19,7 +20,7 @@ import __spark_entry__ as E  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from check_oracle import TABLES, duck_type, rows_of, spark_type  # noqa: E402
 
-from mealops.llm import line_quality, pii, queries  # noqa: E402
+from mealops.llm import line_quality, pii, queries, sharding  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,6 +71,47 @@ def test_op1_brute_force(spark, documents):
         collections.Counter((i, f"{f:016x}", low[root[f]]) for i, f in fps.items())
 
 
+def test_op2_brute_force(spark, documents):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in documents}
+    pieces = E.queries()["op2_packing"](spark, SMALL).collect()
+    seqs, at = collections.defaultdict(list), collections.Counter()
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        own = ids[p.doc_id][p.start:p.start + p.length]
+        assert (p.start, p.doc_tokens, len(own)) == (at[p.doc_id], len(ids[p.doc_id]), p.length) and p.length > 0
+        assert p.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
+        at[p.doc_id] += p.length
+        seqs[p.sequence_id].append((p.offset, p.length))
+    assert at == {i: len(x) for i, x in ids.items()}
+    for parts in seqs.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(seqs) * 2048 < 1.1 * sum(at.values()) + 2048 * 8
+
+
+def test_op7_brute_force(spark, documents):
+    rows = E.queries()["op7_sharding"](spark, SMALL).collect()
+    text = dict(documents)
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        raw = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key")
+        assert 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    plain, more = sharding.layout(), sharding.grown(sharding.layout())
+    sample = spark.createDataFrame([(r.doc_id, "other text") for r in rows], "doc_id long, text string")
+    again = {r.doc_id: r.shard for r in sharding.shard_documents(sample, plain).collect()}
+    assert again == {r.doc_id: r.shard for r in rows}                     # doc_id and shard count decide
+    moved = {r.doc_id: r.shard for r in sharding.shard_documents(sample, more).collect()}
+    assert moved == {r.doc_id: r.grown_shard for r in rows}
+
+
 def test_op4_brute_force(spark, documents):
     got = E.queries()["op4_quality_rules"](spark, SMALL)
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
