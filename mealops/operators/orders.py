@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import dbl, ntz_micros, status_rank
+from ..functions.rules import dbl, lit_date, ntz_micros, status_rank
 from ..functions.windows import previous_values, time_bucket
 
 STAFF_ROLES = ("admin", "kitchen")
@@ -160,8 +160,9 @@ def preparing_exists(orders: DataFrame, transitions: DataFrame) -> DataFrame:
 STAGES = ["pending", "confirmed", "preparing", "ready", "done"]
 
 
-def status_durations(status_events: DataFrame) -> DataFrame:
-    """Minutes between the first time each stage was reached, per order.
+def stage_steps(status_events: DataFrame) -> DataFrame:
+    """(order_id, step, day, minutes): the time between the first times two stages that follow each other were
+    reached, and the day the first of them was.
 
     One conditional aggregate per order (partial aggregation before the
     shuffle), then the stage pairs are unpivoted.
@@ -170,13 +171,50 @@ def status_durations(status_events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == s, F.col("ts"))).alias(f"t_{s}") for s in STAGES])
     pairs = list(zip(STAGES[:-1], STAGES[1:]))
     steps = F.array(*[
-        F.struct(F.lit(f"{a}->{b}").alias("step"),
+        F.struct(F.lit(f"{a}->{b}").alias("step"), F.to_date(f"t_{a}").alias("day"),
                  ((ntz_micros(f"t_{b}") - ntz_micros(f"t_{a}")) / F.lit(60_000_000.0)).alias("minutes"))
         for a, b in pairs])
     return (firsts.select("order_id", F.inline(steps))
             .filter(F.col("minutes").isNotNull()))
 
 
+def status_durations(status_events: DataFrame) -> DataFrame:
+    """Minutes between the first time each stage was reached, per order."""
+    return stage_steps(status_events).select("order_id", "step", "minutes")
+
+
+def duration_sketches(steps: DataFrame, *, k: int = 400) -> DataFrame:
+    """(step, day, n, sketch): a quantile sketch (KLL) of the minutes per step and day.
+
+    Sketches merge, so a table of them (some kilobytes a step and day, however
+    many orders) answers any range of days. The rank error is below 1% for
+    k = 400 (about 2.3 / k ** 0.9, in 99 of 100 sketches).
+    """
+    return steps.groupBy("step", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("minutes", F.lit(k)).alias("sketch"))
+
+
+def duration_percentiles(sketches: DataFrame, *, date_from, date_to, probs=(0.5, 0.9, 0.99)) -> DataFrame:
+    """(step, p, n, minutes) over the days from ``date_from`` to ``date_to``, by merging their sketches."""
+    days = sketches.filter(F.col("day").between(lit_date(date_from), lit_date(date_to)))
+    merged = days.groupBy("step").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    each = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))
+                              .alias("minutes")) for p in probs])
+    return merged.select("step", "n", F.inline(each)).select("step", "p", "n", "minutes")
+
+
+def rank_checked(percentiles: DataFrame, steps: DataFrame, *, date_from, date_to, error: float) -> DataFrame:
+    """(step, p, n, within): whether each percentile's rank among the exact minutes is within ``error`` of p."""
+    q = percentiles.select(F.col("step").alias("_step"), "p", F.col("minutes").alias("_q"))
+    own = steps.filter(F.col("day").between(lit_date(date_from), lit_date(date_to)))
+    # A handful of rows (steps x probabilities), each counted against its step's minutes.
+    j = own.join(F.broadcast(q), F.col("step") == F.col("_step"))
+    ranks = j.groupBy("step", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("minutes") < F.col("_q")).alias("_lt"),
+                                       F.count_if(F.col("minutes") <= F.col("_q")).alias("_le"))
+    return ranks.select("step", "p", "n", ((F.col("_lt") / F.col("n") <= F.col("p") + error)
+                                           & (F.col("_le") / F.col("n") >= F.col("p") - error)).alias("within"))
+
+
 def status_history_check(status_events: DataFrame, buckets: bool = True) -> DataFrame:
     """Flag moves that go backward or skip a stage; cancel is allowed from anywhere."""
     bucket = time_bucket("ts") if buckets else None

@@ -63,3 +63,36 @@ def voucher_eligibility(users: DataFrame, orders: DataFrame, active_subs: DataFr
     salted = v.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     own = tags.join(salted, ["cond", "salt"]).select("user_id", "voucher_id", F.lit("own").alias("scope"))
     return everyone.unionByName(own)
+
+
+def condition_bitmaps(users: DataFrame, orders: DataFrame, active_subs: DataFrame, *, as_of) -> DataFrame:
+    """(cond, bucket, bits): per voucher condition the customers that meet it, one bit each.
+
+    A row covers 32,768 user ids (4 KiB), so the table's size follows the
+    customers and not customers x vouchers, and each group is bounded.
+    ``all`` holds every customer; the other conditions are those of
+    ``voucher_eligibility``.
+    """
+    cust = users.filter(F.col("role") == "customer").select("user_id")
+    before = orders.filter((F.col("status") != "cancelled")
+                           & (F.col("created_at") < lit_date(as_of).cast("timestamp_ntz"))
+                           & F.col("user_id").isNotNull()).select("user_id", F.lit(True).alias("ordered")).distinct()
+    active = active_subs.select("user_id", F.lit(True).alias("subscribed")).distinct()
+    tagged = cust.join(before, "user_id", "left").join(active, "user_id", "left")
+    fresh = F.col("ordered").isNull()
+    conds = F.array(F.lit("all"), F.when(fresh, "new_user"), F.when(fresh, "first_order"),
+                    F.when(F.col("subscribed"), "subscription"))
+    each = tagged.select("user_id", F.explode(F.array_compact(conds)).alias("cond"))
+    return (each.groupBy("cond", F.bitmap_bucket_number("user_id").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("bits")))
+
+
+def vouchers_of(asked: DataFrame, bitmaps: DataFrame, vouchers: DataFrame, *, as_of) -> DataFrame:
+    """(user_id, voucher_id): the usable vouchers of the asked customers, expanded for these alone."""
+    a = asked.select("user_id", F.bitmap_bucket_number("user_id").alias("bucket"),
+                     F.bitmap_bit_position("user_id").alias("bit"))
+    octet = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = (a.join(bitmaps, "bucket").where(F.getbit(octet, (F.col("bit") % 8).cast("int")) == 1)
+           .select("user_id", "cond"))
+    v = vouchers.filter(usable(as_of)).select("voucher_id", F.col("condition_type").alias("cond"))
+    return met.join(v, "cond").select("user_id", "voucher_id")

@@ -165,6 +165,24 @@ def q_status_durations(b):
 RANK_SQL = "CASE {c} WHEN 'pending' THEN 1 WHEN 'confirmed' THEN 2 WHEN 'preparing' THEN 3 WHEN 'ready' THEN 4 WHEN 'delivering' THEN 5 WHEN 'done' THEN 6 WHEN 'cancelled' THEN 7 END"
 
 
+DURATION_DAYS = {"date_from": "2024-01-03", "date_to": "2024-01-20"}
+
+
+@register("status_duration_percentiles", """
+, firsts AS (SELECT order_id, min(ts) FILTER (WHERE status = 'pending') AS t0, min(ts) FILTER (WHERE status = 'confirmed') AS t1,
+               min(ts) FILTER (WHERE status = 'preparing') AS t2, min(ts) FILTER (WHERE status = 'ready') AS t3,
+               min(ts) FILTER (WHERE status = 'done') AS t4 FROM status_events GROUP BY order_id),
+steps AS (SELECT 'pending->confirmed' AS step, t0 AS a, t1 AS b FROM firsts UNION ALL SELECT 'confirmed->preparing', t1, t2 FROM firsts
+          UNION ALL SELECT 'preparing->ready', t2, t3 FROM firsts UNION ALL SELECT 'ready->done', t3, t4 FROM firsts)
+SELECT step, p, count(*) AS n, true AS within FROM steps, (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS p)
+WHERE a IS NOT NULL AND b IS NOT NULL AND CAST(a AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY step, p""")
+def q_status_duration_percentiles(b):
+    """Percentiles of a range of days from daily sketches, each with its rank checked against all exact minutes."""
+    steps = ord_ops.stage_steps(b.status_events)
+    found = ord_ops.duration_percentiles(ord_ops.duration_sketches(steps), **DURATION_DAYS)
+    return ord_ops.rank_checked(found, steps, error=0.02, **DURATION_DAYS)
+
+
 @register("status_history_check", f"""
 , e AS (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS prev_status FROM status_events),
 c AS (SELECT order_id, event_id, prev_status AS from_status, status AS to_status,

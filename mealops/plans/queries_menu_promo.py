@@ -382,3 +382,19 @@ UNION ALL SELECT NULL, voucher_id, 'all' FROM vouchers WHERE condition_type = 'a
 def q_voucher_eligibility(b):
     return promo.voucher_eligibility(b.users, b.orders, _active_subs(b), b.vouchers, as_of=STOCK_AS_OF)
 
+
+@register("vouchers_of_customers", f"""
+, {ACTIVE_SUBS_SQL},
+cust AS (SELECT user_id FROM users WHERE role = 'customer'),
+fresh AS (SELECT user_id FROM cust WHERE user_id NOT IN (SELECT user_id FROM orders_b WHERE status <> 'cancelled'
+            AND created_at < TIMESTAMP '2001-08-01' AND user_id IS NOT NULL)),
+tags AS (SELECT user_id, 'all' AS cond FROM cust UNION ALL SELECT user_id, 'new_user' FROM fresh
+         UNION ALL SELECT user_id, 'first_order' FROM fresh
+         UNION ALL SELECT user_id, 'subscription' FROM cust WHERE user_id IN (SELECT user_id FROM asub))
+SELECT t.user_id, v.voucher_id FROM tags t JOIN vouchers v ON v.condition_type = t.cond
+WHERE t.user_id % 50 = 3 AND {USABLE_SQL.replace('is_active', 'v.is_active')}""")
+def q_vouchers_of_customers(b):
+    """Bitmaps over all customers; the pairs of every fiftieth customer are asked for."""
+    bitmaps = promo.condition_bitmaps(b.users, b.orders, _active_subs(b), as_of=STOCK_AS_OF)
+    asked = b.users.filter("user_id % 50 = 3").select("user_id")
+    return promo.vouchers_of(asked, bitmaps, b.vouchers, as_of=STOCK_AS_OF)

@@ -243,3 +243,31 @@ def q_late_event_counts(b):
         late += S.reported(q).late_rows
     kept = S.read_written(b.spark, out, events.withColumn("ts", F.col("ts").cast("timestamp")).schema)
     return kept.agg(F.count(F.lit(1)).alias("n_on_time")).select("n_on_time", F.lit(late).cast("long").alias("n_late"))
+
+
+@register("daily_revenue_kept", """
+SELECT CAST(created_at AS DATE) AS report_date, count(*) AS total_orders, CAST(sum(total) AS DOUBLE) AS total_revenue,
+       CAST(sum(discount_amount) AS DOUBLE) AS total_discount
+FROM orders_b WHERE status <> 'cancelled' AND order_id % 7 <> 0 GROUP BY 1""")
+def q_daily_revenue_kept(b):
+    """Orders come in versions, in mixed order: placed without a discount, then as they are, then some cancelled."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    base = os.path.join(checkpoint_dir(b.spark), "streams", f"kept-{uuid.uuid4().hex[:12]}")
+    o, version = b.orders, F.col("version")
+    kept = o.select("order_id", F.explode(F.when(F.col("order_id") % 7 == 0, F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<bigint>"))
+                                          .otherwise(F.array(F.lit(0), F.lit(1)).cast("array<bigint>"))).alias("version"),
+                    F.to_date("created_at").alias("day"), "status", "subtotal", "total", "discount_amount")
+    kept = kept.select(
+        "order_id", "version", "day",
+        F.when(version == 0, "pending").when(version == 2, "cancelled").otherwise(F.col("status")).alias("status"),
+        F.when(version == 0, F.col("subtotal")).otherwise(F.col("total")).cast("decimal(18,2)").alias("total"),
+        F.when(version == 0, F.lit(0)).otherwise(F.col("discount_amount")).cast("decimal(18,2)").alias("discount"))
+    feed, state = os.path.join(base, "feed"), os.path.join(base, "state")
+    for turn in range(3):                            # an order's versions come in any of the orders of three
+        kept.where((F.col("order_id") * 2 + version) % 3 == turn).write.mode("append").parquet(feed)
+        stream = b.spark.readStream.schema(S.KEPT_ORDER).parquet(feed)
+        S.kept_revenue_stream(stream, state, os.path.join(base, "ck"), compact_every=2).awaitTermination()
+    return S.kept_revenue(b.spark, state, compact_every=2)

@@ -435,6 +435,78 @@ def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str
             .trigger(availableNow=True).start())
 
 
+KEPT_ORDER = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("version", T.LongType()),
+                           T.StructField("day", T.DateType()), T.StructField("status", T.StringType()),
+                           T.StructField("total", T.DecimalType(18, 2)), T.StructField("discount", T.DecimalType(18, 2))])
+KEPT_DAY = T.StructType([T.StructField("report_date", T.DateType()), T.StructField("total_orders", T.LongType()),
+                         T.StructField("total_revenue", T.DecimalType(28, 2)),
+                         T.StructField("total_discount", T.DecimalType(28, 2))])
+
+
+def _shares(orders: DataFrame, sign: int) -> DataFrame:
+    """What orders add to their day (or take from it): nothing where they are cancelled."""
+    return orders.filter(F.col("status") != "cancelled").select(
+        F.col("day").alias("report_date"), F.lit(sign).cast("long").alias("n"),
+        (F.col("total") * sign).cast("decimal(28,2)").alias("t"), (F.col("discount") * sign).cast("decimal(28,2)").alias("d"))
+
+
+def order_changes(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """(order_id, new, old) of the orders that a micro-batch of order versions changes.
+
+    Of an order's versions the highest counts, whenever it comes.
+    """
+    rest = [c for c in KEPT_ORDER.names if c != "order_id"]
+    newest = batch.groupBy("order_id").agg(F.max_by(F.struct(*rest), "version").alias("new"))
+    old = known.select("order_id", F.struct(*rest).alias("old"))
+    return newest.join(old, "order_id", "left").where(
+        F.col("old").isNull() | (F.col("new.version") > F.col("old.version")))
+
+
+def day_changes(changes: DataFrame, days: DataFrame) -> DataFrame:
+    """The days that ``order_changes`` touch: an order's old part is taken from its day, the new one added."""
+    delta = (_shares(changes.select("new.*"), 1).unionByName(_shares(changes.where("old is not null").select("old.*"), -1))
+             .groupBy("report_date").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("d").alias("d")))
+    zero = F.lit(0)
+    return delta.join(days, "report_date", "left").select(
+        "report_date", (F.coalesce("total_orders", zero) + F.col("n")).alias("total_orders"),
+        (F.coalesce("total_revenue", zero) + F.col("t")).cast("decimal(28,2)").alias("total_revenue"),
+        (F.coalesce("total_discount", zero) + F.col("d")).cast("decimal(28,2)").alias("total_discount"))
+
+
+def kept_revenue_stream(changes: DataFrame, state_dir: str, checkpoint: str, *, compact_every: int = 16):
+    """Start a stream that keeps daily revenue up to date from order versions (``KEPT_ORDER`` columns).
+
+    Two logs of changed rows under ``state_dir``: ``orders`` holds each
+    order's newest version, ``days`` the sums of the days. Both are read as of
+    the batch before, so a replayed batch changes nothing twice.
+    ``kept_revenue`` reads the days.
+    """
+    def sink(df, batch_id):
+        spark = df.sparkSession
+        orders = StateLog(spark, os.path.join(state_dir, "orders"), ["order_id"], KEPT_ORDER, compact_every)
+        days = StateLog(spark, os.path.join(state_dir, "days"), ["report_date"], KEPT_DAY, compact_every)
+        changed = order_changes(df, orders.before(batch_id)).persist()    # read for the orders and for the days
+        try:
+            days.write(batch_id, day_changes(changed, days.before(batch_id)))
+            orders.write(batch_id, changed.select("order_id", "new.*"))
+        finally:
+            changed.unpersist()
+        spark.range(1).write.mode("overwrite").parquet(os.path.join(state_dir, "done", f"batch_id={batch_id}"))
+
+    return (changes.select(*KEPT_ORDER.names).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def kept_revenue(spark: SparkSession, state_dir: str, *, compact_every: int = 16) -> DataFrame:
+    """The kept days: (report_date, total_orders, total_revenue, total_discount) of days that have an order."""
+    done = os.path.join(state_dir, "done")
+    if not _path_exists(spark, done):
+        return spark.createDataFrame([], KEPT_DAY)
+    last = spark.read.parquet(done).agg(F.max("batch_id")).first()[0]
+    days = StateLog(spark, os.path.join(state_dir, "days"), ["report_date"], KEPT_DAY, compact_every)
+    return days.before(int(last) + 1).where("total_orders > 0")
+
+
 # --------------------------------------------------------- foreachBatch sink
 
 def stock_deduction_batch(transitions: DataFrame, orders: DataFrame, order_items: DataFrame,
