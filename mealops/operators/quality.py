@@ -17,7 +17,7 @@ DOMAINS = {
     ("orders", "order_type"): ["online", "walkin"],
     ("orders", "status"): ["pending", "confirmed", "preparing", "ready", "delivering", "done", "cancelled"],
     ("orders", "payment_method"): ["cod", "bank", "momo", "zalopay", "cash"],
-    ("orders", "payment_status"): ["pending", "paid", "failed"],
+    ("orders", "payment_status"): ["pending", "paid", "refunded"],
     ("inventory_logs", "action_type"): ["import", "export", "adjust", "waste"],
     ("menu_schedule", "meal_type"): ["breakfast", "lunch", "dinner", "snack"],
     ("vouchers", "discount_type"): ["percent", "fixed"],
@@ -25,17 +25,21 @@ DOMAINS = {
 }
 
 NOT_NULL = {
-    "users": ["user_id", "full_name", "role"],
-    "products": ["product_id", "name", "price"],
-    "orders": ["order_id", "order_code", "status", "order_type"],
-    "inventory": ["inventory_id", "inventory_code", "name", "quantity"],
-    "vouchers": ["voucher_id", "code", "discount_type", "discount_value"],
+    "users": ["user_id", "email", "full_name", "role", "is_active"],
+    "categories": ["name", "slug"],
+    "products": ["product_id", "name", "price", "calories", "protein_g", "carbs_g", "fat_g", "is_available"],
+    "delivery_addresses": ["user_id", "address"],
+    "orders": ["order_id", "order_code", "status", "order_type", "subtotal", "discount_amount", "total", "created_at"],
+    "suppliers": ["name"],
+    "inventory": ["inventory_id", "inventory_code", "name", "category", "quantity", "import_date", "expiry_date"],
+    "vouchers": ["voucher_id", "code", "discount_type", "discount_value", "used_count"],
     "order_items": ["order_id", "product_id", "quantity"],
-    "subscriptions": ["user_id", "plan_id", "start_date", "end_date"],
+    "subscriptions": ["user_id", "plan_id", "start_date", "end_date", "status", "period", "created_at"],
     "inventory_logs": ["inventory_id", "action_type", "quantity_change"],
     "product_ingredients": ["product_id", "inventory_id", "qty_per_portion"],
     "menu_schedule": ["schedule_date", "product_id", "meal_type"],
-    "voucher_usages": ["voucher_id", "order_id"],
+    "voucher_usages": ["voucher_id", "order_id", "discount_amount"],
+    "loyalty_transactions": ["user_id", "points_change"],
     "pings": ["order_id", "shipper_id", "latitude", "longitude"],
 }
 
@@ -66,6 +70,12 @@ FOREIGN_KEYS = [
     ("menu_schedule", ["product_id"], "products", ["product_id"], ["schedule_id"]),
     ("inventory_logs", ["inventory_id"], "inventory", ["inventory_id"], ["inventory_id", "order_id", "line_no"]),
     ("pings", ["order_id"], "orders", ["order_id"], ["event_id"]),
+    ("products", ["category"], "categories", ["name"], ["product_id"]),
+    ("inventory_logs", ["order_id"], "orders", ["order_id"], ["inventory_id", "order_id", "line_no"]),
+    ("delivery_addresses", ["user_id"], "users", ["user_id"], ["address_id"]),
+    ("loyalty_transactions", ["user_id"], "users", ["user_id"], ["txn_id"]),
+    ("loyalty_transactions", ["order_id"], "orders", ["order_id"], ["txn_id"]),
+    ("notifications", ["user_id"], "users", ["user_id"], ["notification_id"]),
 ]
 
 

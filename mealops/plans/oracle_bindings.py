@@ -182,19 +182,37 @@ SELECT user_id, CASE WHEN user_id % 41 = 0 THEN NULL ELSE full_name END AS full_
     "checked_orders": """
 SELECT order_id, order_code, CASE WHEN order_id % 83 = 0 THEN user_id + 100000000 ELSE user_id END AS user_id, status, order_type,
        CASE WHEN order_id % 97 = 0 THEN 'card' ELSE payment_method END AS payment_method,
-       CASE WHEN order_id % 89 = 0 THEN 'lost' WHEN order_id % 3 = 0 THEN 'paid' ELSE 'pending' END AS payment_status FROM orders_b""",
+       CASE WHEN order_id % 89 = 0 THEN 'lost' WHEN order_id % 3 = 0 THEN 'paid' WHEN order_id % 7 = 0 THEN 'refunded' ELSE 'pending' END AS payment_status,
+       subtotal, discount_amount, total, created_at FROM orders_b""",
     "checked_order_items": """
 SELECT l_orderkey AS order_id, l_linenumber AS line_no,
        CASE WHEN l_linenumber = 7 THEN l_partkey + 100000000 ELSE l_partkey END AS product_id,
        CAST(l_quantity AS INT) AS quantity FROM lineitem""",
     "checked_vouchers": """
-SELECT voucher_id, CASE WHEN voucher_id % 11 = 0 THEN 'TWICE' ELSE code END AS code, discount_type, discount_value, condition_type
+SELECT voucher_id, CASE WHEN voucher_id % 11 = 0 THEN 'TWICE' ELSE code END AS code, discount_type, discount_value, condition_type, used_count
 FROM vouchers""",
     "checked_voucher_usages": """
-SELECT usage_id, CASE WHEN usage_id % 79 = 0 THEN 99 ELSE voucher_id END AS voucher_id, order_id, user_id FROM voucher_usages""",
+SELECT usage_id, CASE WHEN usage_id % 79 = 0 THEN 99 ELSE voucher_id END AS voucher_id, order_id, user_id, discount_amount FROM voucher_usages""",
     "checked_subscriptions": """
-SELECT subscription_id, user_id, CASE WHEN subscription_id % 71 = 0 THEN 9 ELSE plan_id END AS plan_id, status, period, start_date, end_date
+SELECT subscription_id, user_id, CASE WHEN subscription_id % 71 = 0 THEN 9 ELSE plan_id END AS plan_id, status, period, start_date, end_date, created_at
 FROM subscriptions""",
+    "delivery_addresses": """
+SELECT c_custkey * 2 + nth AS address_id, c_custkey AS user_id, CASE WHEN nth = 0 THEN 'home' ELSE 'office' END AS label,
+       'nation ' || CAST(c_nationkey AS VARCHAR) AS address, nth = 0 AS is_default
+FROM customer, (VALUES (0), (1)) n(nth) WHERE nth = 0 OR c_custkey % 4 = 0""",
+    "loyalty_transactions": """
+SELECT order_id AS txn_id, user_id, order_id, CAST(floor((subtotal - discount_amount) / 10000) AS INT) AS points_change,
+       'order' AS reason, created_at
+FROM orders_b WHERE user_id IS NOT NULL AND floor((subtotal - discount_amount) / 10000) > 0""",
+    "checked_delivery_addresses": """
+SELECT address_id, CASE WHEN address_id % 61 = 0 THEN NULL WHEN address_id % 67 = 0 THEN user_id + 100000000 ELSE user_id END AS user_id,
+       CASE WHEN address_id % 59 = 0 THEN NULL ELSE address END AS address
+FROM delivery_addresses""",
+    "checked_loyalty_transactions": """
+SELECT txn_id, CASE WHEN txn_id % 101 = 0 THEN user_id + 100000000 ELSE user_id END AS user_id,
+       CASE WHEN txn_id % 103 = 0 THEN order_id + 100000000 ELSE order_id END AS order_id,
+       CASE WHEN txn_id % 73 = 0 THEN NULL ELSE points_change END AS points_change
+FROM loyalty_transactions""",
     "order_requests": """
 SELECT v.order_id, v.user_id, v.created_at, v.voucher_code, o.order_type, o.payment_method, o.delivery_timeslot
 FROM voucher_requests v JOIN orders_b o ON o.order_id = v.order_id""",

@@ -23,11 +23,13 @@ KEY_COLS = {"users": ["user_id"], "products": ["product_id"], "orders": ["order_
             "order_items": ["order_id", "line_no"], "suppliers": ["supplier_id"],
             "subscriptions": ["subscription_id"], "plans": ["plan_id"], "pings": ["event_id"],
             "shippers": ["shipper_id"], "voucher_usages": ["usage_id"],
-            "inventory_logs": ["inventory_id", "order_id", "line_no"]}
+            "inventory_logs": ["inventory_id", "order_id", "line_no"], "delivery_addresses": ["address_id"],
+            "loyalty_transactions": ["txn_id"], "notifications": ["notification_id"]}
 
 
 # The tables whose checked version holds rows that break the rules.
-CHECKED = ("users", "orders", "order_items", "vouchers", "voucher_usages", "subscriptions")
+CHECKED = ("users", "orders", "order_items", "vouchers", "voucher_usages", "subscriptions", "delivery_addresses",
+           "loyalty_transactions")
 
 
 def _checked_sql(table: str) -> str:

@@ -449,6 +449,7 @@ class Bound:
         """Frames for the constraint checks, with rows that break the rules."""
         o, u, v, s = self.orders, self.users, self.vouchers, self.subscriptions
         oid, uid, vid = F.col("order_id"), F.col("user_id"), F.col("voucher_id")
+        aid, tid = F.col("address_id"), F.col("txn_id")
         lines = self.order_lines.withColumn("product_id", F.when(F.col("line_no") == 7, F.col("product_id") + 100000000)
                                             .otherwise(F.col("product_id")))
         return {
@@ -459,14 +460,22 @@ class Bound:
             "products": self.products, "categories": self.categories, "plans": self.plans, "suppliers": self.suppliers,
             "shippers": self.shippers, "menu_schedule": self.menu_schedule, "inventory_logs": self.inventory_logs,
             "orders": o.withColumn("payment_method", F.when(oid % 97 == 0, "card").otherwise(F.col("payment_method")))
-                       .withColumn("payment_status", F.when(oid % 89 == 0, "lost").when(oid % 3 == 0, "paid").otherwise("pending"))
+                       .withColumn("payment_status", F.when(oid % 89 == 0, "lost").when(oid % 3 == 0, "paid")
+                                   .when(oid % 7 == 0, "refunded").otherwise("pending"))
                        .withColumn("user_id", F.when(oid % 83 == 0, uid + 100000000).otherwise(uid)),
             "order_items": lines, "inventory": self.inventory, "product_ingredients": self.product_ingredients,
             "vouchers": v.withColumn("code", F.when(vid % 11 == 0, "TWICE").otherwise(F.col("code"))),
             "voucher_usages": self.voucher_usages.withColumn(
                 "voucher_id", F.when(F.col("usage_id") % 79 == 0, F.lit(99).cast("bigint")).otherwise(vid)),
             "subscriptions": s.withColumn("plan_id", F.when(F.col("subscription_id") % 71 == 0, F.lit(9)).otherwise(F.col("plan_id"))),
-            "pings": self.pings,
+            "pings": self.pings, "notifications": self.notifications,
+            "delivery_addresses": self.delivery_addresses.withColumn(
+                "user_id", F.when(aid % 61 == 0, F.lit(None)).when(aid % 67 == 0, uid + 100000000).otherwise(uid))
+            .withColumn("address", F.when(aid % 59 == 0, F.lit(None)).otherwise(F.col("address"))),
+            "loyalty_transactions": self.loyalty_transactions.withColumn(
+                "user_id", F.when(tid % 101 == 0, uid + 100000000).otherwise(uid))
+            .withColumn("order_id", F.when(tid % 103 == 0, oid + 100000000).otherwise(oid))
+            .withColumn("points_change", F.when(tid % 73 == 0, F.lit(None)).otherwise(F.col("points_change"))),
         }
 
     @cached_property
