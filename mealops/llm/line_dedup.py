@@ -288,8 +288,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     body = F.coalesce(F.col("row")[text].cast("string"), F.lit(""))
     # The mark tells rows apart that repeat a document id.
-    d = d.select("row", F.col("row")[doc_id].cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    lines = written(_suspects(d.select("doc", "mark", "body"), filter_bits, min_key), "line-suspects")
+    named = (F.col("row")[doc_id].cast("long").alias("doc"), F.xxhash64(body).alias("mark"))
+    lines = written(_suspects(d.select(*named, body.alias("body")), filter_bits, min_key), "line-suspects")
     order = F.struct(F.col("doc").isNotNull(), F.col("doc"))           # null before all others
     # A table of its own, so that the join can split a line that very many documents share.
     first = written(lines.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
@@ -297,8 +297,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     gone = (lines.join(first, "key").where(~F.col("doc").eqNullSafe(F.col("keeper")))
             .groupBy("doc", "mark").agg(F.collect_set("at").alias("gone"))
             .select(F.col("doc").alias("of"), F.col("mark").alias("of_mark"), "gone"))
-    joined = (d.join(gone, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
-              .withColumn("parts", F.split(F.col("body"), "\n", -1)))
+    # The text moves once, within the row; its body is made again behind the join.
+    joined = (d.select("row", *named)
+              .join(gone, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+              .withColumn("body", body).withColumn("parts", F.split(F.col("body"), "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("body")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(F.col("parts"), i)), "\n"))
