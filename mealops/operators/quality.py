@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
+
 # CHECK domains of the data model.
 DOMAINS = {
     ("users", "role"): ["admin", "kitchen", "customer"],
@@ -90,8 +92,9 @@ def _row(df: DataFrame, table: str, rule: str, cols) -> DataFrame:
 def orphan_check(frames: dict[str, DataFrame], fks=FOREIGN_KEYS) -> list[DataFrame]:
     """Child rows whose non-null reference has no parent.
 
-    The references of all children of one parent key are stacked, so each
-    parent is read and joined (left anti) once.
+    The references of all children of one parent key are stacked and joined
+    (left anti) with it. Spark joins each child by itself; they share the
+    parent's shuffle, whose number of tasks follows the references.
     """
     by_parent: dict[tuple, list] = {}
     for child, ccols, parent, pcols, kcols in fks:
@@ -106,8 +109,9 @@ def orphan_check(frames: dict[str, DataFrame], fks=FOREIGN_KEYS) -> list[DataFra
             named = frames[child].select(F.lit(child).alias("table_name"), F.lit(f"fk_{'_'.join(ccols)}_{parent}").alias("rule"),
                                          _key(kcols).alias("key"), *ref)
             refs.append(named.dropna(subset=[f"_r{i}" for i in range(len(pcols))]))
-        p = frames[parent].select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(pcols)])
-        orphans = union_all(refs).join(p, [f"_r{i}" for i in range(len(pcols))], "left_anti")
+        names = [f"_r{i}" for i in range(len(pcols))]
+        p = frames[parent].select(*[F.col(c).alias(n) for n, c in zip(names, pcols, strict=True)])
+        orphans = union_all(refs).join(spread(p, names, refs), names, "left_anti")
         out.append(orphans.select("table_name", "rule", "key"))
     return out
 
@@ -142,7 +146,8 @@ def validate_constraints(frames: dict[str, DataFrame], key_cols: dict[str, list[
     for t, groups in UNIQUE.items():
         if t in frames:
             for cols in [g for g in groups if set(g) <= set(frames[t].columns)]:
-                dup = (frames[t].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
+                keys = frames[t].select(*cols)
+                dup = (spread(keys, cols, [keys]).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
                 parts.append(_row(dup, t, f"unique_{'_'.join(cols)}", cols))
     parts.extend(orphan_check(frames))
     return union_all(parts)
