@@ -13,8 +13,8 @@ found. A scan
 4. joins the findings of the current rule versions back to every row.
 
 A new rule version rescans every blob for that rule only; a new version of a
-file scans one blob. Where few blobs are unseen, their names are broadcast and
-no other text is shuffled. Spans are found with built-in functions: ``split``
+file scans one blob. Where few blobs are unseen (one in ten at most), their names are
+broadcast and no other text is shuffled; else every text moves once. Spans are found with built-in functions: ``split``
 and ``regexp_extract_all`` on one pattern give the pieces between and the
 matches; their lengths, one row a match, are summed up by a window per blob
 and rule, so the work follows the number of matches, whatever one text holds.
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,9 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}", 24),
 )
 
+#: Unseen blobs are few if they are one in so many, or fewer.
+_FEW = 10
+
 _FIELDS = [("start", T.LongType()), ("rank", T.IntegerType()), ("stop", T.LongType()), ("kind", T.StringType()),
            ("low", T.IntegerType()), ("high", T.IntegerType())]
 #: A span: code points start to stop, place and name of its kind, bytes low to high.
@@ -105,11 +108,15 @@ def unseen(docs: DataFrame, ledger: str, id_col: str, text: str, rules=RULES) ->
     seen = (spark.read.schema(LEDGER).parquet(ledger).groupBy("blob")
             .agg(F.collect_set(F.concat_ws("@", "kind", "version")).alias("seen")))
     names = F.array(*[F.lit(n) for n in _names(rules)])
-    todo = (least.join(seen, "blob", "left")
-            .select("blob", "id", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
-            .where(F.size("todo") > 0))
-    # Written, so that its size is known: few unseen blobs are broadcast, and no text moves but theirs.
-    return d.join(broadcast_small(written(todo, "secret-todo")), ["blob", "id"]).select("blob", "body", "todo")
+    asked = least.join(seen, "blob", "left").select(
+        "blob", "id", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+    # Written, so that its size is known. Few unseen blobs among many seen ones are broadcast, and no text moves; where
+    # many are unseen (a first scan), every text moves once, whatever the size, and one with many copies is spread.
+    tally = Observation()
+    counted = asked.observe(tally, F.count(F.lit(1)).alias("blobs"), F.count_if(F.size("todo") > 0).alias("unseen"))
+    todo = written(counted.where(F.size("todo") > 0), "secret-todo")
+    few = tally.get["unseen"] * _FEW <= tally.get["blobs"]
+    return d.join(broadcast_small(todo) if few else todo.hint("merge"), ["blob", "id"]).select("blob", "body", "todo")
 
 
 def update(docs: DataFrame, ledger: str, id_col: str = "doc_id", text: str = "text", rules=RULES) -> None:

@@ -123,6 +123,14 @@ def test_seen_texts_do_not_move(spark):
     assert spark.read.parquet(ledger).count() == before
 
 
+def test_a_first_scan_moves_texts_whatever_the_size(spark):
+    docs = H.frame(spark, [(i, f"text {i} token=abcdef{i}") for i in range(50)])
+    new = secret_scan.unseen(docs, secret_scan.new_ledger(spark), "doc_id", "text")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.body for r in new.collect()) == sorted(f"text {i} token=abcdef{i}" for i in range(50))
+
+
 def test_own_names_in_the_input(spark):
     names = ("__spans", "__blob", "__body", "__id", "__rep", "row", "own", "body", "blob", "id", "spans", "todo", "s", "reach")
     df = H.frame(spark, [(1, "token=abcdef1"), (2, None)])
