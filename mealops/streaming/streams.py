@@ -356,12 +356,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def low_stock_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+def low_stock_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame, keep=None) -> tuple[DataFrame, DataFrame]:
     """One micro-batch of ledger rows against the per-item stock state.
 
     Returns (crossing alerts, new state). Running sums inside the batch use
     the two-level window helper, so a hot item is split by day; the state
-    is one row per item (qty before the batch).
+    is one row per item (qty before the batch). Only ``low_stock_floored_batch``
+    uses ``keep``.
     """
     from ..functions.windows import prefix_sums, time_bucket
     run = prefix_sums(batch, ["inventory_id"], _LEDGER_SORT, time_bucket("created_at"),
@@ -381,12 +382,17 @@ def low_stock_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) ->
     return alerts, new_state
 
 
-def low_stock_floored_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``low_stock_batch`` with stock, and so the state, floored at 0 after every ledger row."""
+def low_stock_floored_batch(batch: DataFrame, state: DataFrame, inventory: DataFrame, keep=lambda df: df
+                            ) -> tuple[DataFrame, DataFrame]:
+    """``low_stock_batch`` with stock, and so the state, floored at 0 after every ledger row.
+
+    Both results read the running sums: ``keep`` may persist them.
+    """
     from ..functions.windows import prefix_sums_and_lows, time_bucket
     from ..operators.stock import floored
-    run = prefix_sums_and_lows(batch, ["inventory_id"], _LEDGER_SORT, time_bucket("created_at"),
-                               F.col("quantity_change"), "run", "low")
+    # Years: an item's hours hold hardly more than a row each, so their summary would be as long as the batch.
+    run = keep(prefix_sums_and_lows(batch, ["inventory_id"], _LEDGER_SORT, time_bucket("created_at", "year"),
+                                    F.col("quantity_change"), "run", "low"))
     mins = inventory.select("inventory_id", "min_quantity")
     j = run.join(state, "inventory_id").join(mins, "inventory_id")
     before = floored(F.col("qty"), F.col("run") - F.col("quantity_change"), F.col("low"))
@@ -420,16 +426,23 @@ def low_stock_alert_stream(ledger: DataFrame, inventory: DataFrame, out_dir: str
 
     def sink(df, batch_id):
         log = StateLog(df.sparkSession, state_dir, ["inventory_id"], schema, compact_every)
-        df = df.persist()   # read by the running sums, the items in scope and the state delta
+        kept = []
+
+        def keep(frame):
+            kept.append(frame.persist())
+            return kept[-1]
+
+        df = keep(df)   # read by the running sums, the items in scope and the state delta
         try:
             items = df.select("inventory_id").distinct()
             state = (opening.join(items, "inventory_id", "left_semi").join(log.before(batch_id), "inventory_id", "left")
                      .select("inventory_id", F.coalesce("qty", "opening").alias("qty")))
-            alerts, changed = fold(df, state, inventory)
+            alerts, changed = fold(df, state, inventory, keep)
             alerts.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
             log.write(batch_id, changed)
         finally:
-            df.unpersist()
+            for frame in kept:
+                frame.unpersist()
 
     return (ledger.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -78,3 +78,23 @@ def test_floored_state_over_batches(spark):
         state = spark.createDataFrame(new.collect(), new.schema)
     assert sorted(got) == exp
     assert {r["inventory_id"]: r["qty"] for r in state.collect()} == left
+
+
+def test_running_sums_are_made_once_a_batch(spark):
+    logs, opening = _data(200)
+    exp, left = _fold(logs, opening)
+    inv = spark.createDataFrame(opening, INVENTORY)
+    state = inv.select("inventory_id", F.col("quantity").cast("decimal(18,2)").alias("qty"))
+    kept = []
+
+    def keep(frame):
+        kept.append(frame.persist())
+        return kept[-1]
+
+    alerts, new = S.low_stock_floored_batch(spark.createDataFrame(logs, LOGS), state, inv, keep)
+    for df in (alerts, new):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan
+    assert rows(alerts, *COLS) == exp and {r["inventory_id"]: r["qty"] for r in new.collect()} == left
+    for frame in kept:
+        frame.unpersist()
